@@ -1,0 +1 @@
+"""Left empty on purpose: every input of this system is a finite table."""
