@@ -38,6 +38,16 @@ def with_log2(df: DataFrame, name: str, out: str) -> DataFrame:
     return df.withColumn(out, F.log2(F.col(name)))
 
 
+def log2_grid(c: Column | str, bits: int = 20) -> Column:
+    """log2 rounded to a multiple of 2**-bits.
+
+    Sums and medians of such targets are exact in doubles, so a report does not
+    depend on the order in which partitions are added.
+    """
+    steps = float(1 << bits)
+    return F.round(F.log2(col(c)) * F.lit(steps)) / F.lit(steps)
+
+
 def is_binomial(c: Column | str) -> Column:
     """Two-word name: no rank marker, no slash, both leading words start with a letter."""
     name = F.trim(col(c))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -66,32 +66,25 @@ def aggregate_pairs(
     distinct: Mapping[str, str],
     first: Mapping[str, tuple[str, str]] | None = None,
     extra: Sequence[Column] = (),
-    digits: int | None = None,
+    log: Callable[[Column], Column] = F.log2,
 ) -> DataFrame:
     """One row per key: medians of the value and of its log2, quartiles and IQR of the log2,
     record count, distinct counts (missing values are not counted) and first values.
 
     ``distinct`` maps output to column, ``first`` maps output to (column, order column).
-    ``digits`` rounds each record's log2 before it is interpolated.
+    ``log`` is the transform of a record's value, :func:`log2_grid` for targets that are summed later.
     """
     keys = list(keys)
-
-    def log2(c: Column) -> Column:
-        return F.log2(c) if digits is None else F.round(F.log2(c), digits)
-
-    quantiles = group_quantiles(
-        df,
-        keys,
-        value,
-        {f"median_{value}": 0.5, log_value: (0.5, log2), f"{log_value}_q25": (0.25, log2), f"{log_value}_q75": (0.75, log2)},
-    ).withColumn(f"{log_value}_iqr", F.col(f"{log_value}_q75") - F.col(f"{log_value}_q25"))
-    counts = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_records"),
+    wanted = {f"median_{value}": 0.5, log_value: (0.5, log), f"{log_value}_q25": (0.25, log), f"{log_value}_q75": (0.75, log)}
+    quantiles = group_quantiles(df, keys, value, wanted, count="n_records").withColumn(
+        f"{log_value}_iqr", F.col(f"{log_value}_q75") - F.col(f"{log_value}_q25")
+    )
+    aggs = [
         *[F.countDistinct(c).alias(out) for out, c in distinct.items()],
         *[F.min_by(c, order).alias(out) for out, (c, order) in (first or {}).items()],
         *extra,
-    )
-    return counts.join(quantiles, keys)
+    ]
+    return quantiles.join(df.groupBy(*keys).agg(*aggs), keys) if aggs else quantiles
 
 
 def context_support(pairs: DataFrame, context: str, entity: str, also: Sequence[str] = ()) -> DataFrame:
@@ -131,13 +124,14 @@ def field_distributions(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     return counts.withColumn("denominator", F.sum("records").over(W.partitionBy("field")))
 
 
-def relation_profile(df: DataFrame, keys: Sequence[str], relation: str, exact: str) -> DataFrame:
-    """Exact, censored and missing relations per key with the censored fraction."""
+def relation_profile(df: DataFrame, keys: Sequence[str], relation: str, exact: Sequence[str], censored: Sequence[str]) -> DataFrame:
+    """Exact, censored and other relations per key with the censored fraction; a missing relation is "other"."""
     r = F.col(relation)
+    is_exact, is_censored = (F.coalesce(r.isin(list(v)), F.lit(False)) for v in (exact, censored))
     counts = df.groupBy(*keys).agg(
-        F.count_if(r == exact).alias("exact"),
-        F.count_if(r != exact).alias("censored"),
-        F.count_if(r.isNull()).alias("missing"),
+        F.count_if(is_exact).alias("exact"),
+        F.count_if(is_censored).alias("censored"),
+        F.count_if(~is_exact & ~is_censored).alias("other"),
         F.count(F.lit(1)).alias("total"),
     )
     return counts.withColumn("censored_fraction", F.col("censored") / F.col("total"))

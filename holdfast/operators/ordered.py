@@ -18,6 +18,9 @@ from ..functions.seeding import key_bucket
 
 BUCKET = "order_bucket"
 
+# Rows above which a group is cut into buckets: what one task sorts or holds with ease.
+HOT_ROWS = 1_000_000
+
 
 def numeric_bucket(value: Column, steps: int = 16) -> Column:
     """Order-preserving bucket of a number: each doubling of its size is cut into ``steps`` parts."""
@@ -48,7 +51,7 @@ def ordered_sums(
         keys = ["whole_table"]
         scoped = scoped.withColumn("whole_table", F.lit(0))
     cell = [*keys, BUCKET]
-    scoped = scoped.withColumns({f"{n}_w": e.cast("bigint") if n.startswith("n") else e for n, e in sums.items()})
+    scoped = scoped.withColumns({f"{n}_w": e for n, e in sums.items()})
     earlier = W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
     group = W.partitionBy(*keys)
     totals = scoped.groupBy(*cell).agg(*[F.sum(f"{n}_w").alias(f"{n}_cell") for n in sums])
@@ -104,31 +107,49 @@ def group_quantiles(
     keys: Sequence[str],
     value: str,
     wanted: Mapping[str, float | tuple[float, Callable[[Column], Column]]],
+    count: str | None = None,
+    hot_above: int = HOT_ROWS,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group.
 
     ``wanted`` maps an output name to a probability, or to (probability,
-    increasing function): then the function is applied to the two neighbours
-    before interpolation, so one pass serves a value and its logarithm.
+    increasing function), the function being applied before interpolation.
+    ``count`` names an optional column with the group's row count.
+
+    Groups of at most ``hot_above`` rows take one aggregate. Larger ones are
+    cut into buckets and never meet in one task. There are at most
+    rows / ``hot_above`` large groups, which bounds the broadcast list of them.
     """
     keys = list(keys)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, value)
+    specs = {n: s if isinstance(s, tuple) else (s, lambda c: c) for n, s in wanted.items()}
+    hot = F.broadcast(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_above).select(*keys))
+    usual = rows.join(hot, keys, "left_anti").groupBy(*keys).agg(
+        *[F.percentile(fn(F.col(value)), F.lit(float(p))).alias(n) for n, (p, fn) in specs.items()],
+        F.count(F.lit(1)).alias("n_group"),
+    )
+    large = _bucketed_quantiles(rows.join(hot, keys, "left_semi"), keys, value, specs)
+    out = usual.unionByName(large)
+    return out.withColumnRenamed("n_group", count) if count else out.drop("n_group")
+
+
+def _bucketed_quantiles(rows: DataFrame, keys: list[str], value: str, specs: Mapping[str, tuple[float, Callable[[Column], Column]]]) -> DataFrame:
+    """Quantiles from the distinct values next to each wanted place, found by ordered sums."""
+    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     placed = ordered_sums(counts, keys, value, {"n": F.col("n")})
     first, last = F.col("n_upto") - F.col("n"), F.col("n_upto") - 1
-    same: Callable[[Column], Column] = lambda c: c
-    low, high, parts, covers = [], [], {}, F.lit(False)
-    for name, spec in wanted.items():
-        p, fn = spec if isinstance(spec, tuple) else (spec, same)
-        place = F.lit(float(p)) * (F.col("n_total") - 1).cast("double")
+    ends, parts, covers = [], [], F.lit(False)
+    for name, (p, fn) in specs.items():
+        place = F.lit(p) * (F.col("n_total") - 1).cast("double")
         at_low, at_high = F.floor(place).between(first, last), F.ceil(place).between(first, last)
         covers = covers | at_low | at_high
-        low.append(F.max(F.when(at_low, F.col(value))).alias(f"{name}_low"))
-        high.append(F.max(F.when(at_high, F.col(value))).alias(f"{name}_high"))
-        total = (F.lit(float(p)) * (F.col("n_group") - 1).cast("double"))
-        a, b = fn(F.col(f"{name}_low")), fn(F.col(f"{name}_high"))
-        parts[name] = a + (b - a) * (total - F.floor(total))
-    ends = placed.where(covers).groupBy(*keys).agg(F.max("n_total").alias("n_group"), *low, *high)
-    return ends.select(*keys, *[e.alias(n) for n, e in parts.items()])
+        ends.append(F.max(F.when(at_low, F.col(value))).alias(f"{name}_low"))
+        ends.append(F.max(F.when(at_high, F.col(value))).alias(f"{name}_high"))
+        end = F.lit(p) * (F.col("n_group") - 1).cast("double")
+        low, high = (fn(F.col(f"{name}_{side}")).cast("double") for side in ("low", "high"))
+        parts.append((low + (high - low) * (end - F.floor(end))).alias(name))
+    found = placed.where(covers).groupBy(*keys).agg(F.max("n_total").alias("n_group"), *ends)
+    return found.select(*keys, *parts, "n_group")
 
 
 def kth_smallest(df: DataFrame, keys: Sequence[str], value: str, k: Callable[[Column], Column], out: str) -> DataFrame:
