@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curation_queries  # noqa: F401  (registration)
+from . import curation_queries, metric_queries, split_queries  # noqa: F401  (registration)
 from .registry import ORACLES, QUERIES
 
 
