@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.constants import EPSILON
 from ..functions.student import t_975
 from .joins import pair_models
 from .ordered import spearman
@@ -39,8 +40,8 @@ def t_interval(df: DataFrame, keys: Sequence[str], value: str, extra: Sequence[C
 
 
 def favourable(metric: Column, difference: Column) -> Column:
-    """Whether a difference (candidate minus reference) is an improvement of that metric."""
-    return F.when(metric.isin(LOWER_IS_BETTER), difference < 0).otherwise(difference > 0)
+    """Whether a difference (candidate minus reference) is an improvement of that metric, beyond rounding noise."""
+    return F.when(metric.isin(LOWER_IS_BETTER), difference < -EPSILON).otherwise(difference > EPSILON)
 
 
 def paired_contrast(metrics: DataFrame, contrasts: Sequence[tuple[str, str]], unit: Sequence[str], columns: Sequence[str], by: Sequence[str] = (), model: str = "model") -> DataFrame:

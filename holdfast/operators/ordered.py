@@ -1,9 +1,10 @@
-"""Ordered sums, ranks, row numbers and exact quantiles that never put one group into one task.
+"""Ordered sums, ranks, row numbers and exact quantiles that never put one large group into one task.
 
-A window over a whole group would send a group holding a third of the rows to
-a single task. Here every group is first cut into order-preserving buckets;
-sums run inside a bucket, and the totals of the earlier buckets of the group
-are added. The table of bucket totals is small: one row per group and bucket.
+Groups of up to ``HOT_ROWS`` rows take a plain window or aggregate: one
+shuffle. A larger group is cut into order-preserving buckets: sums run inside
+a bucket, and the totals of the group's earlier buckets are added. A count per
+group, combined on the map side, tells which groups are large; there are at
+most rows / ``HOT_ROWS`` of them, which bounds the broadcast list.
 """
 
 from __future__ import annotations
@@ -18,10 +19,43 @@ from ..functions.seeding import key_bucket
 
 BUCKET = "order_bucket"
 
-# Rows above which a group is cut into buckets: what one task sorts or holds with ease.
+# Rows of a group that one task sorts or holds with ease.
 HOT_ROWS = 1_000_000
 
 
+class Hot:
+    """Large groups of a table: none, some (a broadcastable list of keys), or the whole table."""
+
+    def __init__(self, keys: Sequence[str], groups: DataFrame | None = None, everything: bool = False):
+        self.keys, self.groups, self.everything = list(keys), groups, everything
+
+    def usual(self, df: DataFrame) -> DataFrame | None:
+        if self.everything:
+            return None
+        return df if self.groups is None else df.join(F.broadcast(self.groups), self.keys, "left_anti")
+
+    def large(self, df: DataFrame) -> DataFrame | None:
+        if self.everything:
+            return df
+        return None if self.groups is None else df.join(F.broadcast(self.groups), self.keys, "left_semi")
+
+    def split(self, df: DataFrame, plain: Callable[[DataFrame], DataFrame], bucketed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Each part of the table by its own method."""
+        usual, large = self.usual(df), self.large(df)
+        if usual is None or large is None:
+            return plain(usual) if large is None else bucketed(large)
+        return plain(usual).unionByName(bucketed(large))
+
+
+def find_hot(df: DataFrame, keys: Sequence[str], hot_above: int = HOT_ROWS) -> Hot:
+    """Look for groups above ``hot_above`` rows. Runs one count over the rows; only its outcome reaches the driver."""
+    keys = list(keys)
+    if not keys:
+        return Hot(keys, everything=df.count() > hot_above)
+    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_above).select(*keys)
+    return Hot(keys, None if groups.isEmpty() else groups)
+
+
 def numeric_bucket(value: Column, steps: int = 16) -> Column:
     """Order-preserving bucket of a number: each doubling of its size is cut into ``steps`` parts."""
     x = value.cast("double")
@@ -38,20 +72,36 @@ def ordered_sums(
     order: str,
     sums: Mapping[str, Column],
     bucket: Column | None = None,
+    hot: Hot | None = None,
 ) -> DataFrame:
     """Add, per name in ``sums``, ``<name>_upto`` (sum over all rows of the group with an order
     value at most this row's, ties included) and ``<name>_total`` (sum over the group).
 
     ``bucket`` must not decrease with ``order``; by default it comes from :func:`numeric_bucket`.
-    Pre-aggregate to one row per (keys, order) where ties may be many.
+    Pre-aggregate to one row per (keys, order) where ties may be many. ``hot`` is the outcome of
+    :func:`find_hot` when the caller has it already.
     """
     keys = list(keys)
-    scoped = df.withColumn(BUCKET, numeric_bucket(F.col(order)) if bucket is None else bucket)
+    hot = hot or find_hot(df, keys)
+    cut = numeric_bucket(F.col(order)) if bucket is None else bucket
+    return hot.split(df, lambda x: _windowed(x, keys, order, sums), lambda x: _bucketed(x, keys, order, sums, cut))
+
+
+def _windowed(df: DataFrame, keys: list[str], order: str, sums: Mapping[str, Column]) -> DataFrame:
+    group = W.partitionBy(*keys)
+    upto = group.orderBy(order)
+    return df.select(
+        "*",
+        *[F.sum(e).over(upto).alias(f"{n}_upto") for n, e in sums.items()],
+        *[F.sum(e).over(group).alias(f"{n}_total") for n, e in sums.items()],
+    )
+
+
+def _bucketed(df: DataFrame, keys: list[str], order: str, sums: Mapping[str, Column], bucket: Column) -> DataFrame:
+    scoped = df.select("*", bucket.alias(BUCKET), *[e.alias(f"{n}_w") for n, e in sums.items()])
     if not keys:
-        keys = ["whole_table"]
-        scoped = scoped.withColumn("whole_table", F.lit(0))
+        keys, scoped = ["whole_table"], scoped.withColumn("whole_table", F.lit(0))
     cell = [*keys, BUCKET]
-    scoped = scoped.withColumns({f"{n}_w": e for n, e in sums.items()})
     earlier = W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
     group = W.partitionBy(*keys)
     totals = scoped.groupBy(*cell).agg(*[F.sum(f"{n}_w").alias(f"{n}_cell") for n in sums])
@@ -61,38 +111,37 @@ def ordered_sums(
         *[F.sum(f"{n}_cell").over(group).alias(f"{n}_total") for n in sums],
     )
     inside = W.partitionBy(*cell).orderBy(order)
-    out = scoped.withColumns({f"{n}_inside": F.sum(f"{n}_w").over(inside) for n in sums}).join(totals, cell)
-    out = out.withColumns({f"{n}_upto": F.col(f"{n}_inside") + F.col(f"{n}_before") for n in sums})
-    return out.drop(
-        BUCKET, "whole_table", *[f"{n}{s}" for n in sums for s in ("_w", "_inside", "_before")]
+    out = scoped.select("*", *[F.sum(f"{n}_w").over(inside).alias(f"{n}_inside") for n in sums]).join(totals, cell)
+    return out.select(
+        *df.columns,
+        *[(F.col(f"{n}_inside") + F.col(f"{n}_before")).alias(f"{n}_upto") for n in sums],
+        *[F.col(f"{n}_total") for n in sums],
     )
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], hex_key: str, out: str = "row_index") -> DataFrame:
     """Number the rows of each group 0, 1, ... in the order of a unique hex key; also ``group_rows``."""
     numbered = ordered_sums(df, keys, hex_key, {"n_rows": F.lit(1)}, key_bucket(F.col(hex_key)))
-    return (
-        numbered.withColumn(out, F.col("n_rows_upto") - 1)
-        .withColumnRenamed("n_rows_total", "group_rows")
-        .drop("n_rows_upto")
+    return numbered.select(
+        *df.columns, (F.col("n_rows_upto") - 1).alias(out), F.col("n_rows_total").alias("group_rows")
     )
 
 
-def average_rank(df: DataFrame, keys: Sequence[str], value: str, weight: str, out: str) -> DataFrame:
+def average_rank(df: DataFrame, keys: Sequence[str], value: str, weight: str, out: str, hot: Hot | None = None) -> DataFrame:
     """Average rank of ``value`` in its group, each row counting ``weight`` times; also ``<out>_n``."""
-    summed = ordered_sums(df, keys, value, {"nr": F.col(weight)})
+    summed = ordered_sums(df, keys, value, {"nr": F.col(weight)}, hot=hot)
     ties = F.sum(weight).over(W.partitionBy(*keys, value))
-    ranked = summed.withColumn(out, F.col("nr_upto") - (ties - 1) / F.lit(2.0))
-    return ranked.withColumnRenamed("nr_total", f"{out}_n").drop("nr_upto")
+    rank = F.col("nr_upto") - (ties - 1) / F.lit(2.0)
+    return summed.select(*df.columns, rank.alias(out), F.col("nr_total").alias(f"{out}_n"))
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "spearman") -> DataFrame:
     """Rank correlation per group with average ranks; missing below two rows or for a constant side."""
     keys = list(keys)
-    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x, y).agg(
-        F.count(F.lit(1)).alias("cell_n")
-    )
-    ranked = average_rank(average_rank(cells, keys, x, "cell_n", "rank_x"), keys, y, "cell_n", "rank_y")
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
+    hot = find_hot(rows, keys)
+    cells = rows.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("cell_n"))
+    ranked = average_rank(average_rank(cells, keys, x, "cell_n", "rank_x", hot), keys, y, "cell_n", "rank_y", hot)
     middle = (F.col("rank_x_n") + 1) / F.lit(2.0)
     dx, dy, w = F.col("rank_x") - middle, F.col("rank_y") - middle, F.col("cell_n")
     sums = ranked.groupBy(*keys).agg(
@@ -102,50 +151,55 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "spe
     return sums.select(*keys, rho.alias(out))
 
 
-def group_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    wanted: Mapping[str, float | tuple[float, Callable[[Column], Column]]],
-    count: str | None = None,
-    hot_above: int = HOT_ROWS,
-) -> DataFrame:
+Wanted = Mapping[str, float | tuple[float, Callable[[Column], Column]]]
+
+
+def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Wanted, count: str | None = None, hot_above: int = HOT_ROWS) -> DataFrame:
     """Exact linearly interpolated quantiles per group.
 
     ``wanted`` maps an output name to a probability, or to (probability,
     increasing function), the function being applied before interpolation.
     ``count`` names an optional column with the group's row count.
-
-    Groups of at most ``hot_above`` rows take one aggregate. Larger ones are
-    cut into buckets and never meet in one task. There are at most
-    rows / ``hot_above`` large groups, which bounds the broadcast list of them.
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, value)
-    specs = {n: s if isinstance(s, tuple) else (s, lambda c: c) for n, s in wanted.items()}
-    hot = F.broadcast(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_above).select(*keys))
-    usual = rows.join(hot, keys, "left_anti").groupBy(*keys).agg(
-        *[F.percentile(fn(F.col(value)), F.lit(float(p))).alias(n) for n, (p, fn) in specs.items()],
-        F.count(F.lit(1)).alias("n_group"),
-    )
-    large = _bucketed_quantiles(rows.join(hot, keys, "left_semi"), keys, value, specs)
-    out = usual.unionByName(large)
+    specs = {n: s if isinstance(s, tuple) else (s, _same) for n, s in wanted.items()}
+    hot = find_hot(rows, keys, hot_above)
+    out = hot.split(rows, lambda x: _plain_quantiles(x, keys, value, specs), lambda x: _bucketed_quantiles(x, keys, value, specs))
     return out.withColumnRenamed("n_group", count) if count else out.drop("n_group")
 
 
-def _bucketed_quantiles(rows: DataFrame, keys: list[str], value: str, specs: Mapping[str, tuple[float, Callable[[Column], Column]]]) -> DataFrame:
+def _same(c: Column) -> Column:
+    return c
+
+
+def _plain_quantiles(rows: DataFrame, keys: list[str], value: str, specs: Mapping[str, tuple[float, Callable]]) -> DataFrame:
+    """One exact quantile aggregate per function; its buffer holds the group's distinct values."""
+    by_function: dict[Callable, list[str]] = {}
+    for name, (_, fn) in specs.items():
+        by_function.setdefault(fn, []).append(name)
+    aggs, picks = [], {}
+    for i, (fn, names) in enumerate(by_function.items()):
+        probabilities = F.array(*[F.lit(float(specs[n][0])) for n in names])
+        aggs.append(F.percentile(fn(F.col(value)), probabilities).alias(f"quantiles_{i}"))
+        picks.update({n: F.col(f"quantiles_{i}")[at].alias(n) for at, n in enumerate(names)})
+    found = rows.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("n_group"))
+    return found.select(*keys, *[picks[n] for n in specs], "n_group")
+
+
+def _bucketed_quantiles(rows: DataFrame, keys: list[str], value: str, specs: Mapping[str, tuple[float, Callable]]) -> DataFrame:
     """Quantiles from the distinct values next to each wanted place, found by ordered sums."""
     counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    placed = ordered_sums(counts, keys, value, {"n": F.col("n")})
+    placed = _bucketed(counts, keys, value, {"n": F.col("n")}, numeric_bucket(F.col(value)))
     first, last = F.col("n_upto") - F.col("n"), F.col("n_upto") - 1
     ends, parts, covers = [], [], F.lit(False)
     for name, (p, fn) in specs.items():
-        place = F.lit(p) * (F.col("n_total") - 1).cast("double")
+        place = F.lit(float(p)) * (F.col("n_total") - 1).cast("double")
         at_low, at_high = F.floor(place).between(first, last), F.ceil(place).between(first, last)
         covers = covers | at_low | at_high
         ends.append(F.max(F.when(at_low, F.col(value))).alias(f"{name}_low"))
         ends.append(F.max(F.when(at_high, F.col(value))).alias(f"{name}_high"))
-        end = F.lit(p) * (F.col("n_group") - 1).cast("double")
+        end = F.lit(float(p)) * (F.col("n_group") - 1).cast("double")
         low, high = (fn(F.col(f"{name}_{side}")).cast("double") for side in ("low", "high"))
         parts.append((low + (high - low) * (end - F.floor(end))).alias(name))
     found = placed.where(covers).groupBy(*keys).agg(F.max("n_total").alias("n_group"), *ends)
@@ -155,8 +209,9 @@ def _bucketed_quantiles(rows: DataFrame, keys: list[str], value: str, specs: Map
 def kth_smallest(df: DataFrame, keys: Sequence[str], value: str, k: Callable[[Column], Column], out: str) -> DataFrame:
     """k-th smallest value of each group, k given as a function of the group's row count."""
     keys = list(keys)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    placed = ordered_sums(counts, keys, value, {"n": F.col("n")})
+    rows = df.where(F.col(value).isNotNull()).select(*keys, value)
+    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    placed = ordered_sums(counts, keys, value, {"n": F.col("n")}, hot=find_hot(rows, keys))
     wanted = k(F.col("n_total"))
     hit = (F.col("n_upto") >= wanted) & (F.col("n_upto") - F.col("n") < wanted)
     return placed.where(hit).select(*keys, F.col(value).alias(out), F.col("n_total").alias(f"{out}_n"))

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.constants import TOP_K
 from ..functions.scalar import ratio
 from ..functions.seeding import hash_int, hash_unit, seeded_key
-from .ordered import number_rows, ordered_sums
+from .ordered import Hot, find_hot, number_rows, ordered_sums
 
 
-def ranking_metrics(df: DataFrame, keys: Sequence[str], label: str, score: str, weight: str | None = None) -> DataFrame:
+def ranking_metrics(df: DataFrame, keys: Sequence[str], label: str, score: str, weight: str | None = None, hot: Hot | None = None) -> DataFrame:
     """Rows, positives, prevalence, AUROC and average precision per key; the last two are missing with one class.
 
     Rows are first added up per distinct score, so ties cost nothing and the
@@ -26,7 +26,7 @@ def ranking_metrics(df: DataFrame, keys: Sequence[str], label: str, score: str,
     per_score = df.groupBy(*keys, score).agg(
         F.sum(w * F.col(label)).cast("bigint").alias("pos"), F.sum(w).cast("bigint").alias("all")
     )
-    o = ordered_sums(per_score, keys, score, {"npos": F.col("pos"), "nall": F.col("all")})
+    o = ordered_sums(per_score, keys, score, {"npos": F.col("pos"), "nall": F.col("all")}, hot=hot or find_hot(df, keys))
     pos, count = F.col("pos").cast("double"), F.col("all").cast("double")
     below = (F.col("nall_upto") - F.col("npos_upto")).cast("double") - (count - pos)
     hits = (F.col("npos_total") - F.col("npos_upto")).cast("double") + pos

@@ -16,6 +16,7 @@ from ..functions.constants import SEEDS
 from ..functions.scalar import group_or_solo, is_solo, log2_grid
 from ..functions.seeding import hash_unit
 from ..operators.curation import aggregate_pairs
+from ..operators.ordered import group_quantiles
 from ..operators.metrics import apply_intervals, conformal_quantile, median_baseline
 from ..operators.splits import grouped_partition
 from ..session import materialize
@@ -56,10 +57,10 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def targets(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs without the distinct counts, for the evaluation reports."""
-    return aggregate_pairs(records(spark, d), PAIR_KEYS, "value", "target", {}, log=log2_grid).select(
-        *PAIR_KEYS, "target", "n_records", "target_iqr"
-    )
+    """Pairs without raw medians and distinct counts, for the evaluation reports."""
+    wanted = {"target": (0.5, log2_grid), "q25": (0.25, log2_grid), "q75": (0.75, log2_grid)}
+    q = group_quantiles(records(spark, d), PAIR_KEYS, "value", wanted, count="n_records")
+    return q.select(*PAIR_KEYS, "target", "n_records", (F.col("q75") - F.col("q25")).alias("target_iqr"))
 
 
 def entities(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +115,7 @@ def calibrate(rows: DataFrame) -> DataFrame:
 
 def predictions(spark: SparkSession, d: str, seeds: Sequence[int] = tuple(SEEDS)) -> DataFrame:
     """Calibrated test predictions of the baselines, written once because the reports read them twice."""
-    return materialize(calibrate(guesses(labelled(spark, d, seeds))))
+    return materialize(calibrate(materialize(guesses(labelled(spark, d, seeds)))))
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:

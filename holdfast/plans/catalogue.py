@@ -6,7 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curation_queries, metric_queries, split_queries  # noqa: F401  (registration)
+from . import (  # noqa: F401  (registration)
+    curation_queries,
+    metric_queries,
+    ranking_queries,
+    similarity_queries,
+    split_queries,
+)
 from .registry import ORACLES, QUERIES
 
 

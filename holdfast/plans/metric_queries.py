@@ -82,7 +82,7 @@ _PRED = ["model", "seed", "entity", "context", "y_true", "y_pred", "lower", "upp
 @query("interval_predictions", f"SELECT {', '.join(_PRED)} FROM predictions", _PRED[4:])
 def interval_predictions(spark, d):
     """Test predictions with pooled and context-wise intervals."""
-    return calibrate(guesses(labelled(spark, d))).select(*_PRED)
+    return calibrate(materialize(guesses(labelled(spark, d)))).select(*_PRED)
 
 
 @query("context_metrics", "SELECT * FROM context_metrics", ALL_METRICS)
@@ -264,7 +264,7 @@ def paired_models(spark, d):
 
 CONTRASTS = [("kind_median", "context_median"), ("kind_median", "kind_entity_only"), ("context_median", "overall_entity_only")]
 _CON = " UNION ALL ".join(f"SELECT '{a}' AS candidate, '{b}' AS reference" for a, b in CONTRASTS)
-_FAV = "sum((CASE WHEN metric IN ('mae', 'rmse', 'width', 'width_context') THEN difference < 0 ELSE difference > 0 END)::INT)::BIGINT AS favourable"
+_FAV = "sum((CASE WHEN metric IN ('mae', 'rmse', 'width', 'width_context') THEN difference < -1e-12 ELSE difference > 1e-12 END)::INT)::BIGINT AS favourable"
 
 
 @query(
@@ -424,6 +424,10 @@ def interval_by_context(spark, d):
     return means.join(records(spark, d).select("context", "class").distinct(), "context")
 
 
+CTES["assoc"] = """SELECT orders_n, spend, urgent, c_acctbal AS balance, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_nationkey::DOUBLE END AS lag_value FROM customer LEFT JOIN (
+ SELECT o_custkey, count(*)::DOUBLE AS orders_n, sum(floor(o_totalprice))::DOUBLE AS spend, (count(*) FILTER (o_orderpriority LIKE '1%'))::DOUBLE AS urgent FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey"""
+
+
 @query(
     "association_grid",
     " UNION ALL ".join(
@@ -446,10 +450,6 @@ def association_grid(spark, d):
     return contrasts.association_grid(base, ["orders_n", "spend", "urgent"], ["balance", "lag_value"])
 
 
-CTES["assoc"] = """SELECT orders_n, spend, urgent, c_acctbal AS balance, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_nationkey::DOUBLE END AS lag_value FROM customer LEFT JOIN (
- SELECT o_custkey, count(*)::DOUBLE AS orders_n, sum(floor(o_totalprice))::DOUBLE AS spend, (count(*) FILTER (o_orderpriority LIKE '1%'))::DOUBLE AS urgent FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey"""
-
-
 @query(
     "run_cost_summary",
     """SELECT event_type, rows AS runs, seconds AS value_mean, total AS value_sum, largest AS value_max, first_user AS user_id_first, spread FROM (
