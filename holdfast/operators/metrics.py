@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import COVERAGE
 from ..functions.scalar import covered, error_columns
-from .ordered import group_quantiles, kth_smallest, spearman
+from .ordered import Hot, find_hot, group_quantiles, kth_smallest, spearman
 
 POINT_METRICS = ["mae", "rmse", "spearman", "within_one", "within_two"]
 
 
-def median_baseline(train: DataFrame, keys: Sequence[str], target: str, out: str = "y_pred") -> DataFrame:
+def median_baseline(train: DataFrame, keys: Sequence[str], target: str, out: str = "y_pred", hot: Hot | None = None) -> DataFrame:
     """Median target of the training rows per key."""
-    return group_quantiles(train, keys, target, {out: 0.5})
+    return group_quantiles(train, keys, target, {out: 0.5}, hot=hot)
 
 
 def balanced_weights(df: DataFrame, by: str, out: str = "weight") -> DataFrame:
@@ -31,9 +31,9 @@ def conformal_rank(n: Column, coverage: float = COVERAGE) -> Column:
     return F.least(n, F.ceil((n + 1).cast("double") * F.lit(float(coverage))))
 
 
-def conformal_quantile(df: DataFrame, by: Sequence[str], residual: str, coverage: float = COVERAGE, out: str = "q") -> DataFrame:
+def conformal_quantile(df: DataFrame, by: Sequence[str], residual: str, coverage: float = COVERAGE, out: str = "q", hot: Hot | None = None) -> DataFrame:
     """Finite-sample quantile of the calibration residuals of each group."""
-    return kth_smallest(df, by, residual, lambda n: conformal_rank(n, coverage), out).drop(f"{out}_n")
+    return kth_smallest(df, by, residual, lambda n: conformal_rank(n, coverage), out, hot).drop(f"{out}_n")
 
 
 def apply_intervals(test: DataFrame, pooled: DataFrame, by_context: DataFrame, run: Sequence[str], context: str) -> DataFrame:
@@ -52,7 +52,7 @@ def apply_intervals(test: DataFrame, pooled: DataFrame, by_context: DataFrame, r
     )
 
 
-def regression_metrics(df: DataFrame, keys: Sequence[str], truth: str = "y_true", guess: str = "y_pred", extra: Sequence[Column] = ()) -> DataFrame:
+def regression_metrics(df: DataFrame, keys: Sequence[str], truth: str = "y_true", guess: str = "y_pred", extra: Sequence[Column] = (), hot: Hot | None = None) -> DataFrame:
     """Row count, MAE, RMSE, rank correlation and within-one / within-two shares per key."""
     scored = error_columns(df, truth, guess)
     points = scored.groupBy(*keys).agg(
@@ -63,7 +63,7 @@ def regression_metrics(df: DataFrame, keys: Sequence[str], truth: str = "y_true"
         F.avg("within_two").alias("within_two"),
         *extra,
     )
-    return points.join(spearman(df, keys, truth, guess), list(keys), "left")
+    return points.join(spearman(df, keys, truth, guess, hot=hot), list(keys), "left")
 
 
 def interval_aggregates() -> list[Column]:
@@ -84,8 +84,9 @@ def macro_mean(metrics: DataFrame, keys: Sequence[str], columns: Sequence[str],
 def scoped_metrics(pred: DataFrame, run: Sequence[str], context: str) -> DataFrame:
     """Context rows, the pooled row and the macro row of every run in one table."""
     columns = [*POINT_METRICS, "coverage", "width", "coverage_context", "width_context"]
-    own = regression_metrics(pred, [*run, context], extra=interval_aggregates()).withColumn("scope", F.lit("context"))
-    pooled = regression_metrics(pred, run, extra=interval_aggregates()).withColumns(
+    hot = find_hot(pred, run)
+    own = regression_metrics(pred, [*run, context], extra=interval_aggregates(), hot=hot.within()).withColumn("scope", F.lit("context"))
+    pooled = regression_metrics(pred, run, extra=interval_aggregates(), hot=hot).withColumns(
         {context: F.lit("__pooled__"), "scope": F.lit("pooled")}
     )
     macro = macro_mean(own, run, columns).withColumns({context: F.lit("__macro__"), "scope": F.lit("macro")})
@@ -181,8 +182,9 @@ def error_by_quality(pred: DataFrame, run: Sequence[str], count: str = "n_record
         F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"),
         F.avg("within_two").alias("within_two"),
     )
-    return points.join(group_quantiles(scored, keys, count, {"median_records": 0.5}), keys).join(
-        group_quantiles(scored, keys, spread, {"median_spread": 0.5}), keys
+    hot = find_hot(scored, keys)
+    return points.join(group_quantiles(scored, keys, count, {"median_records": 0.5}, hot=hot), keys).join(
+        group_quantiles(scored, keys, spread, {"median_spread": 0.5}, hot=hot), keys
     )
 
 

@@ -46,6 +46,10 @@ class Hot:
             return plain(usual) if large is None else bucketed(large)
         return plain(usual).unionByName(bucketed(large))
 
+    def within(self) -> Hot | None:
+        """What this outcome says about any finer grouping: without a large group there is none; else it must be looked for."""
+        return self if self.groups is None and not self.everything else None
+
 
 def find_hot(df: DataFrame, keys: Sequence[str], hot_above: int = HOT_ROWS) -> Hot:
     """Look for groups above ``hot_above`` rows. Runs one count over the rows; only its outcome reaches the driver."""
@@ -135,11 +139,11 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, weight: str, ou
     return summed.select(*df.columns, rank.alias(out), F.col("nr_total").alias(f"{out}_n"))
 
 
-def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "spearman") -> DataFrame:
+def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "spearman", hot: Hot | None = None) -> DataFrame:
     """Rank correlation per group with average ranks; missing below two rows or for a constant side."""
     keys = list(keys)
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
-    hot = find_hot(rows, keys)
+    hot = hot or find_hot(rows, keys)
     cells = rows.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("cell_n"))
     ranked = average_rank(average_rank(cells, keys, x, "cell_n", "rank_x", hot), keys, y, "cell_n", "rank_y", hot)
     middle = (F.col("rank_x_n") + 1) / F.lit(2.0)
@@ -154,7 +158,7 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "spe
 Wanted = Mapping[str, float | tuple[float, Callable[[Column], Column]]]
 
 
-def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Wanted, count: str | None = None, hot_above: int = HOT_ROWS) -> DataFrame:
+def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Wanted, count: str | None = None, hot_above: int = HOT_ROWS, hot: Hot | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles per group.
 
     ``wanted`` maps an output name to a probability, or to (probability,
@@ -164,7 +168,7 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Want
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, value)
     specs = {n: s if isinstance(s, tuple) else (s, _same) for n, s in wanted.items()}
-    hot = find_hot(rows, keys, hot_above)
+    hot = hot or find_hot(rows, keys, hot_above)
     out = hot.split(rows, lambda x: _plain_quantiles(x, keys, value, specs), lambda x: _bucketed_quantiles(x, keys, value, specs))
     return out.withColumnRenamed("n_group", count) if count else out.drop("n_group")
 
@@ -206,12 +210,12 @@ def _bucketed_quantiles(rows: DataFrame, keys: list[str], value: str, specs: Map
     return found.select(*keys, *parts, "n_group")
 
 
-def kth_smallest(df: DataFrame, keys: Sequence[str], value: str, k: Callable[[Column], Column], out: str) -> DataFrame:
+def kth_smallest(df: DataFrame, keys: Sequence[str], value: str, k: Callable[[Column], Column], out: str, hot: Hot | None = None) -> DataFrame:
     """k-th smallest value of each group, k given as a function of the group's row count."""
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, value)
     counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    placed = ordered_sums(counts, keys, value, {"n": F.col("n")}, hot=find_hot(rows, keys))
+    placed = ordered_sums(counts, keys, value, {"n": F.col("n")}, hot=hot or find_hot(rows, keys))
     wanted = k(F.col("n_total"))
     hit = (F.col("n_upto") >= wanted) & (F.col("n_upto") - F.col("n") < wanted)
     return placed.where(hit).select(*keys, F.col(value).alias(out), F.col("n_total").alias(f"{out}_n"))

@@ -37,8 +37,12 @@ def minhash(df: DataFrame, key: str, bits: str, families: Sequence[tuple[int, in
 
     Row-local array work, no shuffle. a, b and h below 2**31 keep the product inside a long.
     """
-    mins = [F.array_min(F.transform(F.col(bits), lambda h, a=a, b=b: (h * F.lit(a).cast("bigint") + F.lit(b)) % F.lit(prime).cast("bigint"))) for a, b in families]
-    return df.select(key, F.array(*mins).alias(out))
+
+    def smallest(a: int, b: int) -> Column:
+        hashed = lambda h: (h * F.lit(a).cast("bigint") + F.lit(b)) % F.lit(prime).cast("bigint")
+        return F.array_min(F.transform(bits, hashed))
+
+    return df.select(key, F.array(*[smallest(a, b) for a, b in families]).alias(out))
 
 
 def count_features(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:

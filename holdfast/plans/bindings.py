@@ -16,7 +16,7 @@ from ..functions.constants import SEEDS
 from ..functions.scalar import group_or_solo, is_solo, log2_grid
 from ..functions.seeding import hash_unit
 from ..operators.curation import aggregate_pairs
-from ..operators.ordered import group_quantiles
+from ..operators.ordered import find_hot, group_quantiles
 from ..operators.metrics import apply_intervals, conformal_quantile, median_baseline
 from ..operators.splits import grouped_partition
 from ..session import materialize
@@ -89,12 +89,11 @@ def guesses(rows: DataFrame) -> DataFrame:
     """Median baselines of the training rows for the other rows, one row per model."""
     train = rows.where("split = 'train'")
     rest = rows.where("split <> 'train'")
-    with_medians = (
-        rest.join(median_baseline(train, ["seed", "context"], "target", "by_context"), ["seed", "context"], "left")
-        .join(median_baseline(train, ["seed", "context", "kind"], "target", "by_kind"), ["seed", "context", "kind"], "left")
-        .join(median_baseline(train, ["seed", "kind"], "target", "kind_only"), ["seed", "kind"], "left")
-        .join(median_baseline(train, ["seed"], "target", "overall"), "seed", "left")
-    )
+    hot = find_hot(train, ["seed"])
+    levels = {"by_context": ["seed", "context"], "by_kind": ["seed", "context", "kind"], "kind_only": ["seed", "kind"]}
+    with_medians = rest.join(median_baseline(train, ["seed"], "target", "overall", hot), "seed", "left")
+    for out, keys in levels.items():
+        with_medians = with_medians.join(median_baseline(train, keys, "target", out, hot.within()), keys, "left")
     guess = F.array(
         F.struct(F.lit(MODELS[0]).alias("model"), F.col("by_context").alias("y_pred")),
         F.struct(F.lit(MODELS[1]).alias("model"), F.coalesce("by_kind", "by_context").alias("y_pred")),
@@ -108,8 +107,9 @@ def guesses(rows: DataFrame) -> DataFrame:
 def calibrate(rows: DataFrame) -> DataFrame:
     """Test rows with both intervals."""
     residuals = rows.where("split = 'valid'").select(*RUN, "context", F.abs(F.col("y_true") - F.col("y_pred")).alias("residual"))
-    pooled = conformal_quantile(residuals, RUN, "residual")
-    own = conformal_quantile(residuals, [*RUN, "context"], "residual")
+    hot = find_hot(residuals, RUN)
+    pooled = conformal_quantile(residuals, RUN, "residual", hot=hot)
+    own = conformal_quantile(residuals, [*RUN, "context"], "residual", hot=hot.within())
     return apply_intervals(rows.where("split = 'test'"), pooled, own, RUN, "context")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import (  # noqa: F401  (registration)
     curation_queries,
     metric_queries,
+    model_queries,
     ranking_queries,
     similarity_queries,
     split_queries,

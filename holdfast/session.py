@@ -15,6 +15,9 @@ def local_session(cores: int | str = 8, partitions: int = 8) -> SparkSession:
         .appName("holdfast")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # Small inputs: keep all local cores busy. A cluster keeps its own values.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
+        .config("spark.sql.files.openCostInBytes", str(128 * 1024))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
