@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalar as x
 from ..operators import contracts, curation, joins, reshape, splits
-from ..sources.io import lookup_vectors, table, union_runs
-from .bindings import PAIR_KEYS, corpus, entities, normal_text, pairs, records, screen, targets
+from ..session import shared_folder
+from ..sources.io import file_hashes, lookup_vectors, read_mapping, read_table, table, union_runs, write_table
+from .bindings import PAIR_KEYS, corpus, entities, pairs, records, screen, targets
 from .registry import query
 from .sql import grid
 
@@ -134,6 +136,44 @@ def union_of_runs(spark, d):
     return union_runs({"orders": a, "lines": b}).select("run_tag", "status", "flag", "rows")
 
 
+def _new_path(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("csv_round_trip", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders", ["o_totalprice"])
+def csv_round_trip(spark, d):
+    """Orders written as gzip CSV and read back with a fixed schema and a column subset."""
+    path = _new_path(spark, "orders-csv")
+    write_table(table(spark, d, "orders").drop("o_orderdate"), path, "csv.gz", sep="\t")
+    schema = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string"
+    return read_table(spark, path, schema, "\t", ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"])
+
+
+@query("partitioned_parquet_round_trip", "SELECT l_returnflag, count(*) AS rows, sum(l_quantity) AS quantity FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_returnflag", ["quantity"])
+def partitioned_parquet_round_trip(spark, d):
+    """Lines written by return flag; the filter reads one partition only."""
+    path = _new_path(spark, "lines-parquet")
+    write_table(table(spark, d, "lineitem").select("l_returnflag", "l_quantity"), path, partition_by=["l_returnflag"])
+    back = spark.read.parquet(path).where("l_returnflag = 'R'")
+    return back.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("rows"), F.sum("l_quantity").alias("quantity"))
+
+
+@query("json_mapping", "SELECT n_name AS key, r_name AS value FROM nation JOIN region ON n_regionkey = r_regionkey")
+def json_mapping(spark, d):
+    """Nation to region dictionary written as one JSON object and read as rows."""
+    path = _new_path(spark, "mapping-json")
+    named = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    entries = F.map_from_entries(F.collect_list(F.struct("n_name", "r_name")))
+    named.agg(F.to_json(entries).alias("value")).write.text(path)
+    return read_mapping(spark, path)
+
+
+@query("lookup_file_hashes")
+def lookup_file_hashes(spark, d):
+    """SHA-256 of the lookup files."""
+    return file_hashes(spark, [f"{d}/{n}.parquet" for n in ("nation", "region")])
+
+
 # --- row expressions ----------------------------------------------------------------------
 
 
@@ -433,7 +473,9 @@ def validated_join(spark, d):
 )
 def exact_membership(spark, d):
     """Screen texts that also occur in the corpus."""
-    return joins.flag_membership(screen(spark, d), "text", corpus(spark, d), "text", "exact_overlap").select("doc_id", "exact_overlap")
+    rows = screen(spark, d).select("doc_id", F.sha2("text", 256).alias("key"))
+    known = corpus(spark, d).select(F.sha2("text", 256).alias("key"))
+    return joins.flag_membership(rows, "key", known, "key", "exact_overlap").select("doc_id", "exact_overlap")
 
 
 @query(

@@ -14,7 +14,7 @@ from .bindings import RUN, calibrate, entities, guesses, labelled, predictions,
 from .curation_queries import PAIR_KEYS, cohort_pairs
 from .registry import query
 from .sql import CTES, spearman, t_stats
-from .split_queries import loo_metrics, loo_predictions
+from .split_queries import LOO_SQL, loo_metrics, loo_predictions
 
 POINTS = ["mae", "rmse", "spearman", "within_one", "within_two"]
 ALL_METRICS = [*POINTS, "coverage", "width", "coverage_context", "width_context"]
@@ -503,7 +503,12 @@ def temporal_baseline_report(spark, d):
 
 @query(
     "leave_one_out_summary",
-    None,
+    t_stats(
+        f"(SELECT cohort, unnest(['mae', 'rmse', 'within_one']) AS contrast, unnest([mae, rmse, within_one]) AS delta FROM ({LOO_SQL}) WHERE n > 0)",
+        "cohort, contrast", "delta",
+        ", quantile_cont(delta, 0.5::DOUBLE) AS median, count(*) FILTER (delta < 0) AS below_zero, count(*) FILTER (delta > 0) AS above_zero",
+    ),
+    ["mean", "sd", "median", "ci_low", "ci_high"],
 )
 def leave_one_out_summary(spark, d):
     """Equal-context summary of the leave-one-context-out errors per cohort."""

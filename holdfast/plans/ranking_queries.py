@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions.constants import SEEDS, TOP_K
@@ -233,9 +235,29 @@ def bootstrap_vs_control(spark, d):
     return _paired(spark, d, "toxic", "score_hash", "score_length", 60, 20, 7)
 
 
+def _poisson_steps() -> list[float]:
+    out, total, term = [], 0.0, math.exp(-1)
+    for k in range(12):
+        total += term
+        out.append(total)
+        term /= k + 1
+    return out
+
+
 @query(
     "poisson_bootstrap_intervals",
-    None,
+    f"""
+WITH base AS (SELECT doc_id, quality AS label, score_length, score_hash FROM screen),
+ times AS (SELECT *, len(list_filter({_poisson_steps()}::DOUBLE[], lambda s: s <= u)) AS times FROM (
+  SELECT b.*, replicate, {hash_int(f"'{BOOT_SEED}:' || replicate || ':' || doc_id")} / 4294967296.0::DOUBLE AS u FROM base b, (SELECT unnest(range(0, {REPLICATES})) AS replicate))),
+ copies AS (SELECT *, unnest(range(0, times)) AS copy FROM times),
+ long AS (SELECT replicate, label, unnest(['length', 'hash']) AS model, unnest([score_length, score_hash]) AS score FROM copies),
+ one AS (SELECT label, unnest(['length', 'hash']) AS model, unnest([score_length, score_hash]) AS score FROM base),
+ tall AS (SELECT model, unnest(['auroc', 'average_precision']) AS metric, unnest([auroc, average_precision]) AS value FROM ({ranking_select('long', 'model, replicate', 'label', 'score')}) WHERE auroc IS NOT NULL),
+ point AS (SELECT model, unnest(['auroc', 'average_precision']) AS metric, unnest([auroc, average_precision]) AS estimate FROM ({ranking_select('one', 'model', 'label', 'score')}))
+SELECT 'all' AS cohort, p.model, p.metric, estimate, count(value) AS replicates, quantile_cont(value, 0.025::DOUBLE) AS ci_low, quantile_cont(value, 0.975::DOUBLE) AS ci_high
+FROM point p JOIN tall t ON p.model = t.model AND p.metric = t.metric GROUP BY ALL""",
+    ["estimate", "ci_low", "ci_high"],
 )
 def poisson_bootstrap_intervals(spark, d):
     """Large-sample form of the bootstrap: every row draws its own multiplicity."""

@@ -150,9 +150,9 @@ SELECT f.doc_id, exact_overlap, parent_identity, n.similarity >= 1 - {EPSILON} A
 @query("identity_flags", "SELECT * FROM identity_rows")
 def identity_flags(spark, d):
     """Exact, normalised-text and fingerprint identity of the screen with the corpus."""
+    exact, parent = F.sha2("text", 256), F.sha2(normal_text("text"), 256)
     flags = similarity.identity_flags(
-        screen(spark, d), corpus(spark, d),
-        {"exact_overlap": (F.col("text"), F.col("text")), "parent_identity": (normal_text("text"), normal_text("text"))},
+        screen(spark, d).select("doc_id", "text"), corpus(spark, d), {"exact_overlap": (exact, exact), "parent_identity": (parent, parent)}
     )
     near = screen_nearest(spark, d).select("doc_id", (F.col("similarity") >= 1 - EPSILON).alias("fingerprint_identity"))
     return flags.select("doc_id", "exact_overlap", "parent_identity").join(near, "doc_id")

@@ -246,16 +246,19 @@ def unknown_class_folds(spark, d):
 LOO_COHORTS = ["all_pairs", "seen_elsewhere", "not_seen_elsewhere"]
 
 
-@query(
-    "leave_one_out_metrics",
-    """
+LOO_SQL = """
 WITH p AS (SELECT entity, context, target, count(*) OVER (PARTITION BY entity) > 1 AS seen FROM pairs),
  h AS (SELECT p.entity, p.context, p.target AS y_true, m.y_pred, seen FROM p JOIN (
    SELECT a.context, quantile_cont(b.target, 0.5::DOUBLE) AS y_pred FROM (SELECT DISTINCT context FROM p) a JOIN p b ON a.context <> b.context GROUP BY a.context) m ON p.context = m.context),
  l AS (SELECT 'all_pairs' AS cohort, * FROM h UNION ALL SELECT 'seen_elsewhere', * FROM h WHERE seen UNION ALL SELECT 'not_seen_elsewhere', * FROM h WHERE NOT seen)
 SELECT g.context, g.cohort, coalesce(n, 0) AS n, coalesce(entities, 0) AS entities, mae, rmse, within_one, within_two FROM (SELECT context, cohort FROM (SELECT DISTINCT context FROM p), (SELECT unnest(['all_pairs', 'seen_elsewhere', 'not_seen_elsewhere']) AS cohort)) g
 LEFT JOIN (SELECT context, cohort, count(*) AS n, count(DISTINCT entity) AS entities, avg(abs(y_pred - y_true)) AS mae, sqrt(avg((y_pred - y_true) * (y_pred - y_true))) AS rmse,
-  avg((abs(y_pred - y_true) <= 1)::INT::DOUBLE) AS within_one, avg((abs(y_pred - y_true) <= 2)::INT::DOUBLE) AS within_two FROM l GROUP BY ALL) m ON g.context = m.context AND g.cohort = m.cohort""",
+  avg((abs(y_pred - y_true) <= 1)::INT::DOUBLE) AS within_one, avg((abs(y_pred - y_true) <= 2)::INT::DOUBLE) AS within_two FROM l GROUP BY ALL) m ON g.context = m.context AND g.cohort = m.cohort"""
+
+
+@query(
+    "leave_one_out_metrics",
+    LOO_SQL,
     ["mae", "rmse", "within_one", "within_two"],
 )
 def leave_one_out_metrics(spark, d):
@@ -284,11 +287,12 @@ def loo_metrics(pred):
 
 
 def screen_flags(spark, d):
-    """Screen with its exact and normalised-text identity flags against the corpus."""
-    base = corpus(spark, d)
-    out = joins.flag_membership(screen(spark, d), "text", base, "text", "exact_overlap")
-    parents = base.select(normal_text("text").alias("parent"))
-    return joins.flag_membership(out.withColumn("parent", normal_text("text")), "parent", parents, "parent", "parent_identity").drop("parent")
+    """Screen with its exact and normalised-text identity flags against the corpus. Texts are compared by their hash."""
+    keys = {"exact_key": F.sha2("text", 256), "parent_key": F.sha2(normal_text("text"), 256)}
+    base = corpus(spark, d).select(*[c.alias(n) for n, c in keys.items()])
+    rows = screen(spark, d).withColumns(keys).drop("text")
+    out = joins.flag_membership(rows, "exact_key", base, "exact_key", "exact_overlap")
+    return joins.flag_membership(out, "parent_key", base, "parent_key", "parent_identity").drop(*keys)
 
 
 @query(
