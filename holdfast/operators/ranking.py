@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import TOP_K
 from ..functions.scalar import ratio
 from ..functions.seeding import hash_int, hash_unit, seeded_key
+from ..session import materialize
 from .ordered import Hot, find_hot, number_rows, ordered_sums
 
 
@@ -114,10 +115,13 @@ def poisson_resample(df: DataFrame, row_key: str, replicates: int, seed: int) ->
     return out.withColumn("u", u).withColumn("times", times).drop("u").where(F.col("times") > 0)
 
 
-def replicate_metrics(drawn: DataFrame, keys: Sequence[str], label: str, scores: Mapping[str, str]) -> DataFrame:
-    """AUROC and average precision of every model on every replicate; one resample serves all models."""
+def replicate_metrics(drawn: DataFrame, keys: Sequence[str], label: str, scores: Mapping[str, str], hot: Hot | None = None) -> DataFrame:
+    """AUROC and average precision of every model on every replicate; one resample serves all models.
+
+    The result has one row per model and replicate and is written: the summaries read it more than once.
+    """
     long = melt_scores(drawn, [*keys, "replicate", label, "times"], scores)
-    return ranking_metrics(long, [*keys, "model", "replicate"], label, "score", "times")
+    return materialize(ranking_metrics(long, [*keys, "model", "replicate"], label, "score", "times", hot))
 
 
 def _tall(df: DataFrame, keep: Sequence[str], suffix: str = "") -> DataFrame:
@@ -139,9 +143,10 @@ def _limits(values: DataFrame, keys: Sequence[str]) -> DataFrame:
 def bootstrap_metric(df: DataFrame, keys: Sequence[str], row_key: str, label: str, scores: Mapping[str, str], replicates: int, seed: int, method: str = "multinomial") -> DataFrame:
     """Estimate and percentile interval of each model's metrics; one-class replicates are left out."""
     keys = list(keys)
-    point = _tall(ranking_metrics(melt_scores(df, [*keys, label], scores), [*keys, "model"], label, "score"), [*keys, "model"])
+    hot = find_hot(df, keys).within()  # a replicate never holds more rows than its cohort
+    point = _tall(ranking_metrics(melt_scores(df, [*keys, label], scores), [*keys, "model"], label, "score", hot=hot), [*keys, "model"])
     drawn = poisson_resample(df, row_key, replicates, seed) if method == "poisson" else resample(df, keys, row_key, replicates, seed)
-    values = _tall(replicate_metrics(drawn, keys, label, scores).where(F.col("auroc").isNotNull()), [*keys, "model"])
+    values = _tall(replicate_metrics(drawn, keys, label, scores, hot).where(F.col("auroc").isNotNull()), [*keys, "model"])
     return point.withColumnRenamed("value", "estimate").join(_limits(values, [*keys, "model", "metric"]), [*keys, "model", "metric"])
 
 
@@ -162,10 +167,11 @@ def paired_bootstrap(df: DataFrame, keys: Sequence[str], row_key: str, label: st
         )
         return wide
 
-    points = ranking_metrics(melt_scores(df, [*keys, label], scores), [*keys, "model"], label, "score")
+    hot = find_hot(df, keys).within()  # a replicate never holds more rows than its cohort
+    points = ranking_metrics(melt_scores(df, [*keys, label], scores), [*keys, "model"], label, "score", hot=hot)
     estimate = _tall(difference(points.where(F.col("auroc").isNotNull()), []), keys).withColumnRenamed("value", "difference")
     drawn = resample(df, keys, row_key, replicates + spare, seed)
-    every = replicate_metrics(drawn, keys, label, scores)
+    every = replicate_metrics(drawn, keys, label, scores, hot)
     gaps = difference(every, ["replicate"])
     order = W.partitionBy(*keys, F.col("auroc").isNotNull()).orderBy("replicate")
     placed = gaps.withColumn("place", F.row_number().over(order))

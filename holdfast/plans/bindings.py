@@ -56,11 +56,14 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def targets(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs without raw medians and distinct counts, for the evaluation reports."""
-    wanted = {"target": (0.5, log2_grid), "q25": (0.25, log2_grid), "q75": (0.75, log2_grid)}
+def targets(spark: SparkSession, d: str, spread: bool = True) -> DataFrame:
+    """Pairs with their median target and record count, and on request the spread of their records."""
+    wanted = {"target": (0.5, log2_grid)}
+    if spread:
+        wanted |= {"q25": (0.25, log2_grid), "q75": (0.75, log2_grid)}
     q = group_quantiles(records(spark, d), PAIR_KEYS, "value", wanted, count="n_records")
-    return q.select(*PAIR_KEYS, "target", "n_records", (F.col("q75") - F.col("q25")).alias("target_iqr"))
+    extra = [(F.col("q75") - F.col("q25")).alias("target_iqr")] if spread else []
+    return q.select(*PAIR_KEYS, "target", "n_records", *extra)
 
 
 def entities(spark: SparkSession, d: str) -> DataFrame:
@@ -77,45 +80,51 @@ def parted(spark: SparkSession, d: str, seeds: Sequence[int] = tuple(SEEDS)) ->
     return grouped_partition(entities(spark, d), "assigned", seeds)
 
 
-def labelled(spark: SparkSession, d: str, seeds: Sequence[int] = tuple(SEEDS)) -> DataFrame:
-    """Pairs under every partition. Written once: the baselines read it several times."""
-    rows = parted(spark, d, seeds).select("seed", "split", "entity", "kind", "group_key", "assigned", "is_solo").join(
-        targets(spark, d), "entity"
-    )
-    return materialize(rows)
+def labelled(spark: SparkSession, d: str, seeds: Sequence[int] = tuple(SEEDS), keep: Sequence[str] = ("kind",)) -> DataFrame:
+    """Pairs under every partition. Written once, with the columns the report needs: the baselines read it several times."""
+    pair_columns = [c for c in ("class", "context_id", "n_records", "target_iqr") if c in keep]
+    entity_columns = [c for c in ("kind", "group_key", "assigned", "is_solo") if c in keep]
+    own = targets(spark, d, "target_iqr" in keep).select("entity", "context", "target", *pair_columns)
+    return materialize(parted(spark, d, seeds).select("seed", "split", "entity", *entity_columns).join(own, "entity"))
 
 
 def guesses(rows: DataFrame) -> DataFrame:
-    """Median baselines of the training rows for the other rows, one row per model."""
+    """Median baselines of the training rows for the other rows, one row per model.
+
+    All medians are first put together per (seed, context, kind) and written:
+    a table as small as these dimensions, whose known size decides how it is
+    joined to the rows. The rows themselves are joined once.
+    """
     train = rows.where("split = 'train'")
-    rest = rows.where("split <> 'train'")
     hot = find_hot(train, ["seed"])
-    levels = {"by_context": ["seed", "context"], "by_kind": ["seed", "context", "kind"], "kind_only": ["seed", "kind"]}
-    with_medians = rest.join(median_baseline(train, ["seed"], "target", "overall", hot), "seed", "left")
+    cells = rows.select("seed", "context", "kind").distinct()
+    levels = {"by_context": ["seed", "context"], "by_kind": ["seed", "context", "kind"], "kind_only": ["seed", "kind"], "overall": ["seed"]}
     for out, keys in levels.items():
-        with_medians = with_medians.join(median_baseline(train, keys, "target", out, hot.within()), keys, "left")
+        cells = cells.join(median_baseline(train, keys, "target", out, hot if keys == ["seed"] else hot.within()), keys, "left")
     guess = F.array(
         F.struct(F.lit(MODELS[0]).alias("model"), F.col("by_context").alias("y_pred")),
         F.struct(F.lit(MODELS[1]).alias("model"), F.coalesce("by_kind", "by_context").alias("y_pred")),
         F.struct(F.lit(MODELS[2]).alias("model"), F.coalesce("kind_only", "overall").alias("y_pred")),
         F.struct(F.lit(MODELS[3]).alias("model"), F.col("overall").alias("y_pred")),
     )
-    keep = [*rows.columns]
-    return with_medians.select(*keep, F.inline(guess)).withColumnRenamed("target", "y_true")
+    medians = materialize(cells.select("seed", "context", "kind", guess.alias("guess")))
+    joined = rows.where("split <> 'train'").join(medians, ["seed", "context", "kind"])
+    return joined.select(*rows.columns, F.inline("guess")).withColumnRenamed("target", "y_true")
 
 
 def calibrate(rows: DataFrame) -> DataFrame:
-    """Test rows with both intervals."""
+    """Test rows with both intervals. The quantiles are written first, so that their known size decides the joins."""
     residuals = rows.where("split = 'valid'").select(*RUN, "context", F.abs(F.col("y_true") - F.col("y_pred")).alias("residual"))
     hot = find_hot(residuals, RUN)
     pooled = conformal_quantile(residuals, RUN, "residual", hot=hot)
     own = conformal_quantile(residuals, [*RUN, "context"], "residual", hot=hot.within())
-    return apply_intervals(rows.where("split = 'test'"), pooled, own, RUN, "context")
+    return apply_intervals(rows.where("split = 'test'"), materialize(pooled), materialize(own), RUN, "context")
 
 
-def predictions(spark: SparkSession, d: str, seeds: Sequence[int] = tuple(SEEDS)) -> DataFrame:
+def predictions(spark: SparkSession, d: str, seeds: Sequence[int] = tuple(SEEDS), keep: Sequence[str] = ()) -> DataFrame:
     """Calibrated test predictions of the baselines, written once because the reports read them twice."""
-    return materialize(calibrate(materialize(guesses(labelled(spark, d, seeds)))))
+    rows = labelled(spark, d, seeds, ("kind", *keep))
+    return materialize(calibrate(guesses(rows)).drop("split", "kind"))
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:

@@ -17,6 +17,7 @@ from .sql import CTES, spearman, t_stats
 from .split_queries import LOO_SQL, loo_metrics, loo_predictions
 
 POINTS = ["mae", "rmse", "spearman", "within_one", "within_two"]
+QUALITY = ("n_records", "target_iqr")
 ALL_METRICS = [*POINTS, "coverage", "width", "coverage_context", "width_context"]
 
 
@@ -82,7 +83,7 @@ _PRED = ["model", "seed", "entity", "context", "y_true", "y_pred", "lower", "upp
 @query("interval_predictions", f"SELECT {', '.join(_PRED)} FROM predictions", _PRED[4:])
 def interval_predictions(spark, d):
     """Test predictions with pooled and context-wise intervals."""
-    return calibrate(materialize(guesses(labelled(spark, d)))).select(*_PRED)
+    return calibrate(guesses(labelled(spark, d))).select(*_PRED)
 
 
 @query("context_metrics", "SELECT * FROM context_metrics", ALL_METRICS)
@@ -168,7 +169,7 @@ FROM predictions GROUP BY ALL"""
 @query("error_by_quality", "SELECT * FROM quality_errors", ["mae", "rmse", "within_two", "median_records", "median_spread"])
 def error_by_quality(spark, d):
     """Errors by record-quality group."""
-    return metrics.error_by_quality(predictions(spark, d), RUN)
+    return metrics.error_by_quality(predictions(spark, d, keep=QUALITY), RUN)
 
 
 @query(
@@ -179,7 +180,7 @@ LEFT JOIN {spearman("(SELECT * FROM predictions WHERE n_records >= 2)", "model,
 )
 def spread_error_correlation(spark, d):
     """Rank correlation of record spread and error."""
-    return metrics.spread_error_correlation(predictions(spark, d), RUN)
+    return metrics.spread_error_correlation(predictions(spark, d, keep=QUALITY), RUN)
 
 
 @query(
@@ -306,7 +307,7 @@ def effect_interaction(spark, d):
 )
 def contrast_by_quality(spark, d):
     """The paired contrast within record-quality groups."""
-    by_group = metrics.error_by_quality(predictions(spark, d), RUN)
+    by_group = metrics.error_by_quality(predictions(spark, d, keep=QUALITY), RUN)
     return contrasts.paired_contrast(by_group, CONTRASTS[:1], ["seed"], ["mae", "rmse"], ["quality"])
 
 

@@ -310,7 +310,7 @@ def _cliffs(spark, d):
     """Pairs with a group, and the edges among them."""
     sets = similarity.shingle_bits(entities(spark, d).where(~F.col("is_solo")), "words", 2, SPACE, unit="char").select("entity", "group_key", "bits")
     sets = materialize(sets)
-    pairs = materialize(targets(spark, d).select("entity", "context", "target"))
+    pairs = materialize(targets(spark, d, False).select("entity", "context", "target"))
     members = pairs.join(sets.select("entity", "group_key"), "entity")
     return members, materialize(cliffs.cliff_edges(pairs, sets, "entity", "context", "group_key", "target"))
 

@@ -112,7 +112,7 @@ def partition_set_difference(spark, d):
     """Expected against observed test pairs of every seed."""
     from .bindings import labelled
 
-    rows = labelled(spark, d)
+    rows = labelled(spark, d, keep=("n_records",))
     observed = rows.where("(split = 'test' AND n_records > 1) OR (split = 'valid' AND n_records > 4)")
     return splits.set_difference_audit(rows.where("split = 'test'"), observed, ["seed"], "entity", "context")
 
@@ -268,7 +268,7 @@ def leave_one_out_metrics(spark, d):
 
 def loo_predictions(spark, d):
     """Every pair with the median target of all other contexts as its prediction."""
-    p = materialize(targets(spark, d).select("entity", "context", "target"))
+    p = materialize(targets(spark, d, False).select("entity", "context", "target"))
     flagged = splits.flag_seen_elsewhere(p, "entity", "context").withColumnRenamed("target", "y_true")
     return flagged.join(splits.held_out_medians(p, "context", "target"), "context")
 
