@@ -233,7 +233,3 @@ def cost_summary(runs: DataFrame, keys: Sequence[str], mean: Sequence[str], tota
         *[F.max(c).alias(f"{c}_max") for c in largest],
         *[F.min_by(c, o).alias(f"{c}_first") for c, o in first.items()],
     )
-
-
-def share(part: Column, whole: Column) -> Column:
-    return F.try_divide(part.cast("double"), whole.cast("double"))

@@ -356,9 +356,6 @@ def margin_scores(spark, d):
     )
 
 
-_FACTORS = {"r": 1.0, "a": 1000.0, "n": 0.001}
-
-
 @query(
     "unit_audit",
     r"""
