@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, mixing, toxicity, url_rules
+from . import chat, decontaminate, lines, mixing, toxicity, url_rules
 from .common import remainder, table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,12 @@ def _register(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 
+@_register("op3_decontamination")
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("digest").distinct().withColumn("contaminated", F.lit(True))
+
+
 @_register("op4_mixing")
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_copies(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")

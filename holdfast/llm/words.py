@@ -48,32 +48,24 @@ def chunks(texts: Iterable[str | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, run
 
 
-def split(run: list[bytes], lower: bool = True, strip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, words per text). ``strip``: byte values that do not count inside a word."""
-    raw = np.frombuffer(b" ".join(run), np.uint8)
-    lengths = np.fromiter(map(len, run), np.int64, len(run))
-    ends = np.cumsum(lengths + 1) - 1
-    if not raw.size:
-        return np.empty(0, np.uint64), np.zeros(len(run), np.int64)
-    if lower:
-        raw = _LOWER[raw]
+def split(run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, words per text). Words are what blanks separate; A-Z are lower-cased."""
+    raw = _LOWER[np.frombuffer(b" ".join(run), np.uint8)]
+    ends = np.cumsum(np.fromiter(map(len, run), np.int64, len(run)) + 1) - 1
     inside = ~_SPACE[raw]
-    starts = np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1])))
-    per_text = np.diff(np.searchsorted(starts, np.concatenate(([0], ends))))
-    if not starts.size:
-        return np.empty(0, np.uint64), per_text
-    if strip is not None:
-        kept = inside & ~strip[raw]
-        counts = np.add.reduceat(kept.astype(np.int64), starts)  # bytes after a word's end are spaces and add nothing
-    else:
-        kept, counts = inside, np.add.reduceat(inside.astype(np.int64), starts)
-    data = raw[kept]
-    at = np.cumsum(counts) - counts
-    place = np.arange(data.size) - np.repeat(at, counts)
-    powers = np.full(int(counts.max()) + 1, _BASE, np.uint64)
+    edge = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
+    start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    per_text = np.diff(np.searchsorted(start, np.concatenate(([0], ends))))
+    return (run_hashes(raw, start, stop) if start.size else np.empty(0, np.uint64)), per_text
+
+
+def run_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hash of each byte range ``[start, stop)`` of ``data``; ranges are sorted, apart and not empty."""
+    sizes = stop - start
+    total = int(sizes.sum())
+    at = np.cumsum(sizes) - sizes
+    place = np.arange(total) - np.repeat(at, sizes)
+    powers = np.full(int(sizes.max()) + 1, _BASE, np.uint64)
     powers[0] = 1
     powers = np.cumprod(powers, dtype=np.uint64)
-    values = np.concatenate((_VALUES[data] * powers[place], np.zeros(1, np.uint64)))
-    sums = np.add.reduceat(values, np.minimum(at, data.size))
-    sums[counts == 0] = 0  # a word of stripped bytes alone
-    return mixed(sums), per_text
+    return mixed(np.add.reduceat(_VALUES[data[np.repeat(start, sizes) + place]] * powers[place], at))
