@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, word_count
 
-PER_BLOCK = 20_000  # documents that one task rounds in one go
+PER_BLOCK = 4_000  # documents that one task rounds in one go
 FAN_IN = 1_000  # block remainders that one task joins
 
 

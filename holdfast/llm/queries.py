@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, lines, mixing, toxicity, url_rules
+from . import chat, decontaminate, lines, mixing, near_dup, toxicity, url_rules
 from .common import remainder, table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +106,11 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).drop("url")
 
 
+@_register("op8_near_dup")
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "class_size")
+
+
 BUDGET, HISTORY, OVERHEAD = 2048, 512, 4
 
 CHAT_SQL = rf"""
