@@ -17,7 +17,7 @@ def _lines(text: str = "text") -> Column:
 
 def _key(line: Column) -> Column:
     """A line's identity without surrounding blanks: 128 bits; missing for a blank line."""
-    bare = F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    bare = F.btrim(line, F.lit(" \t\n\x0b\f\r"))
     return F.when(bare != "", F.unhex(F.md5(bare.cast("binary"))))
 
 
@@ -25,7 +25,13 @@ def _row_key() -> Column:
     return F.struct(F.col("doc_id"), F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("digest"))
 
 
-def spread_lines(docs: DataFrame, min_sites: int = 10, site: str = "source", margin: float = MARGIN) -> DataFrame:
+def line_sites(docs: DataFrame, site: str = "source") -> DataFrame:
+    """Every line that is not blank: row (its text's key), place (from 0), site (missing: empty), line (hash). Stored; both steps read it."""
+    found = docs.select(_row_key().alias("row"), F.coalesce(F.col(site), F.lit("")).alias("site"), F.posexplode(_lines()).alias("place", "text"))
+    return stored(found.select("row", "place", "site", _key(F.col("text")).alias("line")).where("line is not null"))
+
+
+def spread_lines(found: DataFrame, min_sites: int = 10, margin: float = MARGIN) -> DataFrame:
     """Lines on at least ``min_sites`` distinct sites: line (hash), sites, owner (the row that keeps it), place (where in it).
 
     Every line hash gets a HyperLogLog sketch of its sites, merged by aggregation: partial sketches are
@@ -33,8 +39,6 @@ def spread_lines(docs: DataFrame, min_sites: int = 10, site: str = "source", mar
     whose estimate is within ``margin`` of the threshold are counted exactly: their (line, site) pairs
     are made distinct first, which again is partial before the shuffle. A missing site is one site.
     """
-    found = docs.select(_row_key().alias("row"), F.coalesce(F.col(site), F.lit("")).alias("site"), F.posexplode(_lines()).alias("place", "text"))
-    found = stored(found.select("row", "place", "site", _key(F.col("text")).alias("line")).where("line is not null"))
     sketched = found.groupBy("line").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("estimate"), F.min(F.struct("row", "place")).alias("first")
     )
@@ -56,10 +60,9 @@ def dedup_lines(docs: DataFrame, min_sites: int = 10, site: str = "source", marg
     doc_id comes first. Rows equal in doc_id and text are treated alike. An empty table gives an empty
     result.
     """
-    lines = spread_lines(docs, min_sites, site, margin)
-    found = docs.select(_row_key().alias("row"), F.posexplode(_lines()).alias("place", "text"))
-    found = found.select("row", "place", _key(F.col("text")).alias("line")).where("line is not null")
-    gone = found.join(lines.select("line", "owner", F.col("place").alias("kept")), "line")
+    found = line_sites(docs, site)
+    lines = spread_lines(found, min_sites, margin)
+    gone = found.drop("site").join(lines.select("line", "owner", F.col("place").alias("kept")), "line")
     gone = gone.where(~(F.col("row").eqNullSafe(F.col("owner")) & (F.col("place") == F.col("kept")))).select("row", "place").distinct()
     cuts = gone.groupBy(F.col("row.doc_id").alias("_id"), F.col("row.digest").alias("_digest")).agg(F.array_sort(F.collect_list("place")).alias("at"))
     # Flags up to the last line that goes, so that dropping lines takes one pass over them.
