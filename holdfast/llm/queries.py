@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, lines, lm, mixing, near_dup, toxicity, url_rules
+from . import chat, decontaminate, lines, lm, mixing, near_dup, topk, toxicity, url_rules
 from .common import remainder, table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,25 @@ def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(docs, "held_out")
 
 
+TOPK_SQL = """
+WITH fine AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM fine q JOIN fine c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
+
+@_register("op2_topk", TOPK_SQL)
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.quantised("embedding").alias("vector"))
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
 @_register("op3_decontamination")
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
