@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, lines, lm, mixing, near_dup, topk, toxicity, url_rules
+from . import chat, decontaminate, lines, lm, mixing, near_dup, pii, topk, toxicity, url_rules
 from .common import remainder, table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -187,6 +187,21 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digest(chat.chat_windows(turns, BUDGET, HISTORY, OVERHEAD))
 
 
+@_register("op10_pii")
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_pii(docs, pii.fit_pii(docs)).select("doc_id", "pii")
+    base = F.filter("pii", lambda s: s["base"])
+
+    def written(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("pii")).alias("spans"))
+
+
 def queries() -> dict[str, Plan]:
     return dict(QUERIES)
 
