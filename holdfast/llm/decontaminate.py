@@ -9,6 +9,7 @@ each value of the item must stand for one value in the document throughout.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -46,7 +47,7 @@ class Templates:
         raw = np.frombuffer(b" ".join(run), np.uint8)
         ends = np.cumsum(np.fromiter(map(len, run), np.int64, len(run)) + 1) - 1
         self.raw, empty = raw, np.empty(0, np.int64)
-        self.hash, self.kind, self.text, self.start, self.stop = empty.astype(np.uint64), empty.astype(np.int8), empty, empty, empty
+        self.word, self.kind, self.text, self.start, self.stop = empty.astype(np.uint64), empty.astype(np.int8), empty, empty, empty
         if not raw.size:
             return
         group = _LETTER[raw] + 2 * _DIGIT[raw].astype(np.int8)
@@ -83,21 +84,29 @@ class Templates:
         after = np.zeros(start.size, bool)
         after[1:] = digits[:-1] & (text[1:] == text[:-1])
         kind[after & (kind != NUMBER) & np.isin(word, _UNIT_HASHES)] = UNIT
-        self.hash = np.where(kind == PLAIN, word, _MARKS[kind])
-        self.kind, self.text, self.start, self.stop = kind, text, start, stop
+        self.word, self.kind, self.text, self.start, self.stop = word, kind, text, start, stop
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the first word, hash) of every window inside one text of which at least half is plain."""
-        n = self.hash.size - width + 1
+    def windows(self, width: int, names: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the first word, hash) of every window inside one text of which at least half is plain.
+
+        With ``names`` as placeholders, or as the words they are: a copy that begins in the middle of a
+        sentence has a capital that the item has not. The second way gives only windows that hold a name.
+        """
+        n = self.word.size - width + 1
         if n <= 0:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
-        out = self.hash[:n]
-        for i in range(1, width):
-            out = joined(out, self.hash[i : n + i])
-        plain = np.concatenate(([0], np.cumsum(self.kind == PLAIN)))
+        kind = self.kind if names else np.where(self.kind == NAME, PLAIN, self.kind)
+        mark = np.where(kind == PLAIN, self.word, _MARKS[kind])
+        plain = np.concatenate(([0], np.cumsum(kind == PLAIN)))
         fit = (self.text[:n] == self.text[width - 1 :]) & (2 * (plain[width:] - plain[:n]) >= width)
+        if not names:
+            named = np.concatenate(([0], np.cumsum(self.kind == NAME)))
+            fit &= named[width:] > named[:n]
         at = np.flatnonzero(fit)
-        return at, joined(out[at], np.uint64(width))
+        out = mark[at]
+        for i in range(1, width):
+            out = joined(out, mark[at + i])
+        return at, joined(out, np.uint64(width))
 
     def value(self, i: int) -> str:
         return self.lower[self.start[i] : self.stop[i]].tobytes().decode("utf-8", "replace")
@@ -132,8 +141,8 @@ def template_windows(texts: DataFrame, keys: Sequence[str], widths: Sequence[int
                 counts = np.bincount(t.text, None, len(run))
                 begin = np.cumsum(counts) - counts
                 parts = []
-                for width in widths or range(LEAST, WINDOW + 1):
-                    at, h = t.windows(width)
+                for width, names in product(widths or range(LEAST, WINDOW + 1), (True, False)):
+                    at, h = t.windows(width, names)
                     if widths is None and width < WINDOW:
                         short = counts[t.text[at]] == width
                         at, h = at[short], h[short]
@@ -141,12 +150,15 @@ def template_windows(texts: DataFrame, keys: Sequence[str], widths: Sequence[int
                         near = np.minimum(np.searchsorted(known, h), known.size - 1)
                         hit = known[near] == h
                         at, h = at[hit], h[hit]
-                    parts.append((at, h, np.full(at.size, width)))
-                at, h, width = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    parts.append((at, h, np.full(at.size, width), np.full(at.size, names)))
+                at, h, width, named = (np.concatenate(x) for x in zip(*parts, strict=True))
                 if at.size:
                     of = t.text[at]
                     out = batch.iloc[first + of][list(keys)].reset_index(drop=True)
-                    slots = [[{"at": int(k - begin[d]), "value": t.value(k)} for k in range(i, i + w) if t.kind[k]] for i, w, d in zip(at.tolist(), width.tolist(), of.tolist(), strict=True)]
+                    slots = [
+                        [{"at": int(k - begin[d]), "value": t.value(k)} for k in range(i, i + w) if t.kind[k] and (with_names or t.kind[k] != NAME)]
+                        for i, w, d, with_names in zip(at.tolist(), width.tolist(), of.tolist(), named.tolist(), strict=True)
+                    ]
                     yield out.assign(words=counts[of].astype(np.int32), place=(at - begin[of]).astype(np.int32), width=width.astype(np.int32), hash=h.view(np.int64), slots=slots)
 
     return texts.select(*keys, F.coalesce("text", F.lit("")).alias("text")).mapInPandas(found, schema)
