@@ -21,6 +21,11 @@ def hash_int(hex_key: Column) -> Column:
     return F.conv(F.substring(hex_key, 1, 8), 16, 10).cast("bigint")
 
 
+def hash_long(hex_key: Column) -> Column:
+    """First 60 bits of a hex key as a whole number."""
+    return F.conv(F.substring(hex_key, 1, 15), 16, 10).cast("bigint")
+
+
 def hash_unit(hex_key: Column) -> Column:
     """First 32 bits of a hex key as a number in [0, 1)."""
     return hash_int(hex_key) / F.lit(4294967296.0)

@@ -76,7 +76,7 @@ def paired_contrast(metrics: DataFrame, contrasts: Sequence[tuple[str, str]], un
 def interaction(metrics: DataFrame, cells: Mapping[str, tuple[str, str]], first: str, second: str, unit: str, column: str, model: str = "model") -> DataFrame:
     """Difference between two effects, each itself a paired difference: (a1 - b1) - (a2 - b2) per unit, then t limits.
 
-    ``cells`` maps an effect name to (candidate, reference).
+    ``cells`` maps an effect name to (candidate, reference). Only units that have a value of every model count.
     """
     signs = {}
     for name, sign in ((first, 1), (second, -1)):
@@ -84,8 +84,9 @@ def interaction(metrics: DataFrame, cells: Mapping[str, tuple[str, str]], first:
             signs[m] = signs.get(m, 0) + sign * s
     weight = F.create_map(*[F.lit(x) for pair in signs.items() for x in pair])
     values = metrics.where(F.col(model).isin(list(signs))).groupBy(unit).agg(
-        F.sum(weight[F.col(model)] * F.col(column)).alias("difference")
-    )
+        F.sum(weight[F.col(model)] * F.col(column)).alias("difference"),
+        F.countDistinct(F.when(F.col(column).isNotNull(), F.col(model))).alias("cells"),
+    ).where(F.col("cells") == len(signs)).drop("cells")
     out = t_interval(values.withColumn("interaction", F.lit(f"{first} minus {second}")), ["interaction"], "difference",
                      [F.count_if(F.col("difference") > 0).alias("positive_units")])
     return out

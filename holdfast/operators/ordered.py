@@ -3,8 +3,11 @@
 Groups of up to ``HOT_ROWS`` rows take a plain window or aggregate: one
 shuffle. A larger group is cut into order-preserving buckets: sums run inside
 a bucket, and the totals of the group's earlier buckets are added. A count per
-group, combined on the map side, tells which groups are large; there are at
-most rows / ``HOT_ROWS`` of them, which bounds the broadcast list.
+group, combined on the map side, tells which groups are large; the list of
+them is written, and the optimizer chooses the join by its size.
+
+Order values that are no plain numbers have one place on either path, that of
+a Spark sort: missing first, then minus infinity, the numbers, infinity, NaN.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.seeding import key_bucket
+from ..session import materialize
 
 BUCKET = "order_bucket"
 
@@ -24,7 +28,7 @@ HOT_ROWS = 1_000_000
 
 
 class Hot:
-    """Large groups of a table: none, some (a broadcastable list of keys), or the whole table."""
+    """Large groups of a table: none, some (a written list of keys), or the whole table."""
 
     def __init__(self, keys: Sequence[str], groups: DataFrame | None = None, everything: bool = False):
         self.keys, self.groups, self.everything = list(keys), groups, everything
@@ -32,12 +36,12 @@ class Hot:
     def usual(self, df: DataFrame) -> DataFrame | None:
         if self.everything:
             return None
-        return df if self.groups is None else df.join(F.broadcast(self.groups), self.keys, "left_anti")
+        return df if self.groups is None else df.join(self.groups, self.keys, "left_anti")
 
     def large(self, df: DataFrame) -> DataFrame | None:
         if self.everything:
             return df
-        return None if self.groups is None else df.join(F.broadcast(self.groups), self.keys, "left_semi")
+        return None if self.groups is None else df.join(self.groups, self.keys, "left_semi")
 
     def split(self, df: DataFrame, plain: Callable[[DataFrame], DataFrame], bucketed: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """Each part of the table by its own method."""
@@ -56,18 +60,25 @@ def find_hot(df: DataFrame, keys: Sequence[str], hot_above: int = HOT_ROWS) -> H
     keys = list(keys)
     if not keys:
         return Hot(keys, everything=df.count() > hot_above)
-    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_above).select(*keys)
+    groups = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_above).select(*keys))
     return Hot(keys, None if groups.isEmpty() else groups)
 
 
 def numeric_bucket(value: Column, steps: int = 16) -> Column:
-    """Order-preserving bucket of a number: each doubling of its size is cut into ``steps`` parts."""
+    """Order-preserving bucket of a number: each doubling of its size is cut into ``steps`` parts.
+
+    Missing, infinite and NaN values have a bucket each, where a sort puts them.
+    """
     x = value.cast("double")
-    size = F.abs(x)
+    least, most = F.lit(float("-inf")), F.lit(float("inf"))
+    plain = x.isNotNull() & ~F.isnan(x) & (x != least) & (x != most)
+    size = F.when(plain & (x != 0), F.abs(x)).otherwise(1.0)
     power = F.floor(F.log2(size))
     part = F.floor((size / F.pow(F.lit(2.0), power.cast("double")) - 1) * steps)
     bucket = (power + 1100) * steps + part
-    return F.when(x == 0, F.lit(0).cast("bigint")).when(x > 0, bucket).otherwise(-bucket)
+    end = F.lit(5000 * steps).cast("bigint")
+    special = F.when(x.isNull(), -end - 1).when(F.isnan(x), end + 1).when(x == least, -end).when(x == most, end)
+    return F.coalesce(special, F.when(x == 0, F.lit(0).cast("bigint")).when(x > 0, bucket).otherwise(-bucket))
 
 
 def ordered_sums(
@@ -132,11 +143,17 @@ def number_rows(df: DataFrame, keys: Sequence[str], hex_key: str, out: str = "ro
 
 
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, weight: str, out: str, hot: Hot | None = None) -> DataFrame:
-    """Average rank of ``value`` in its group, each row counting ``weight`` times; also ``<out>_n``."""
-    summed = ordered_sums(df, keys, value, {"nr": F.col(weight)}, hot=hot)
-    ties = F.sum(weight).over(W.partitionBy(*keys, value))
-    rank = F.col("nr_upto") - (ties - 1) / F.lit(2.0)
-    return summed.select(*df.columns, rank.alias(out), F.col("nr_total").alias(f"{out}_n"))
+    """Average rank of ``value`` in its group, each row counting ``weight`` times; also ``<out>_n``.
+
+    Rows are counted per distinct value first and ranks are found over the values, so however many
+    rows are tied, no task has to hold them.
+    """
+    keys = list(keys)
+    counts = df.groupBy(*keys, value).agg(F.sum(weight).alias("nt"))
+    placed = ordered_sums(counts, keys, value, {"nr": F.col("nt")}, hot=hot)
+    rank = F.col("nr_upto") - (F.col("nt") - 1) / F.lit(2.0)
+    ranks = placed.select(*keys, value, rank.alias(out), F.col("nr_total").alias(f"{out}_n"))
+    return df.join(ranks, [*keys, value])
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "spearman", hot: Hot | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import TOP_K
 from ..functions.scalar import ratio
-from ..functions.seeding import hash_int, hash_unit, seeded_key
+from ..functions.seeding import hash_long, hash_unit, seeded_key
 from ..session import materialize
 from .ordered import Hot, find_hot, number_rows, ordered_sums
 
@@ -83,8 +83,8 @@ def topk_enrichment(df: DataFrame, keys: Sequence[str], key: str, label: str, sc
 # --- bootstrap -----------------------------------------------------------------------
 
 
-def resample(df: DataFrame, keys: Sequence[str], row_key: str, replicates: int, seed: int) -> DataFrame:
-    """Rows with their ``times`` in each ``replicate`` of a with-replacement resample of the group.
+def resample(df: DataFrame, keys: Sequence[str], row_key: str, replicates: int, seed: int, first: int = 0) -> DataFrame:
+    """Rows with their ``times`` in each ``replicate`` (from ``first``) of a with-replacement resample of the group.
 
     Draw j of replicate b takes row hash(seed, b, j) mod n. Draws are counted
     per row before they meet the rows, so a row travels once per replicate.
@@ -93,9 +93,9 @@ def resample(df: DataFrame, keys: Sequence[str], row_key: str, replicates: int,
     keyed = df.withColumn("shuffle_key", seeded_key(F.lit(seed), F.col(row_key)))
     rows = number_rows(keyed, keys, "shuffle_key").drop("shuffle_key")
     draws = rows.select(*keys, "row_index", "group_rows").withColumn(
-        "replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
+        "replicate", F.explode(F.sequence(F.lit(first), F.lit(first + replicates - 1)))
     )
-    pick = hash_int(seeded_key(F.lit(seed), F.col("replicate"), F.col("row_index"))) % F.col("group_rows")
+    pick = hash_long(seeded_key(F.lit(seed), F.col("replicate"), F.col("row_index"))) % F.col("group_rows")
     times = draws.select(*keys, "replicate", pick.alias("row_index")).groupBy(*keys, "replicate", "row_index").agg(
         F.count(F.lit(1)).alias("times")
     )
@@ -141,19 +141,26 @@ def _limits(values: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def bootstrap_metric(df: DataFrame, keys: Sequence[str], row_key: str, label: str, scores: Mapping[str, str], replicates: int, seed: int, method: str = "multinomial") -> DataFrame:
-    """Estimate and percentile interval of each model's metrics; one-class replicates are left out."""
+    """Estimate and percentile interval of each model's metrics; one-class replicates are left out.
+
+    A one-class cohort stays, with a missing estimate and limits and no replicates.
+    """
     keys = list(keys)
     hot = find_hot(df, keys).within()  # a replicate never holds more rows than its cohort
     point = _tall(ranking_metrics(melt_scores(df, [*keys, label], scores), [*keys, "model"], label, "score", hot=hot), [*keys, "model"])
     drawn = poisson_resample(df, row_key, replicates, seed) if method == "poisson" else resample(df, keys, row_key, replicates, seed)
     values = _tall(replicate_metrics(drawn, keys, label, scores, hot).where(F.col("auroc").isNotNull()), [*keys, "model"])
-    return point.withColumnRenamed("value", "estimate").join(_limits(values, [*keys, "model", "metric"]), [*keys, "model", "metric"])
+    at = [*keys, "model", "metric"]
+    out = point.withColumnRenamed("value", "estimate").join(_limits(values, at), at, "left")
+    return out.withColumn("replicates", F.coalesce("replicates", F.lit(0)))
 
 
-def paired_bootstrap(df: DataFrame, keys: Sequence[str], row_key: str, label: str, a: str, b: str, replicates: int, seed: int, spare: int = 20) -> DataFrame:
+def paired_bootstrap(df: DataFrame, keys: Sequence[str], row_key: str, label: str, a: str, b: str, replicates: int, seed: int, rounds: int = 50) -> DataFrame:
     """Difference of two scores' metrics on common resamples, with the rejected one-class replicates counted.
 
-    ``spare`` extra replicates are drawn and the first ``replicates`` valid ones are used.
+    Replicates are drawn in rounds of ``replicates`` for the cohorts that still lack valid ones, and the
+    first ``replicates`` valid ones are used. After ``rounds`` rounds a cohort keeps what it has, which
+    its ``replicates`` column tells. A one-class cohort stays, with its status and missing figures.
     """
     keys = list(keys)
     scores = {"a": a, "b": b}
@@ -168,11 +175,18 @@ def paired_bootstrap(df: DataFrame, keys: Sequence[str], row_key: str, label: st
         return wide
 
     hot = find_hot(df, keys).within()  # a replicate never holds more rows than its cohort
-    points = ranking_metrics(melt_scores(df, [*keys, label], scores), [*keys, "model"], label, "score", hot=hot)
-    estimate = _tall(difference(points.where(F.col("auroc").isNotNull()), []), keys).withColumnRenamed("value", "difference")
-    drawn = resample(df, keys, row_key, replicates + spare, seed)
-    every = replicate_metrics(drawn, keys, label, scores, hot)
-    gaps = difference(every, ["replicate"])
+    points = materialize(difference(ranking_metrics(melt_scores(df, [*keys, label], scores), [*keys, "model"], label, "score", hot=hot), []))
+    status = F.when(F.col("auroc").isNull(), "one_class").otherwise("estimable").alias("status")
+    estimate = _tall(points.withColumn("status", status), [*keys, "status"]).withColumnRenamed("value", "difference")
+    lacking, gaps = points.where(F.col("auroc").isNotNull()).select(*keys), None
+    for turn in range(rounds):
+        drawn = resample(df.join(lacking, keys, "left_semi"), keys, row_key, replicates, seed, turn * replicates)
+        found = difference(replicate_metrics(drawn, keys, label, scores, hot), ["replicate"])
+        gaps = found if gaps is None else gaps.unionByName(found)
+        valid = gaps.groupBy(*keys).agg(F.count("auroc").alias("valid")).where(F.col("valid") < replicates)
+        lacking = materialize(valid.select(*keys))
+        if lacking.isEmpty():
+            break
     order = W.partitionBy(*keys, F.col("auroc").isNotNull()).orderBy("replicate")
     placed = gaps.withColumn("place", F.row_number().over(order))
     used = placed.where(F.col("auroc").isNotNull() & (F.col("place") <= replicates))
@@ -181,4 +195,5 @@ def paired_bootstrap(df: DataFrame, keys: Sequence[str], row_key: str, label: st
     rejected = gaps.join(last, keys).groupBy(*keys).agg(
         F.count_if(F.col("auroc").isNull() & (F.col("replicate") < F.col("last_used"))).alias("rejected")
     )
-    return estimate.join(limits, [*keys, "metric"]).join(rejected, keys)
+    out = estimate.join(limits, [*keys, "metric"], "left").join(rejected, keys, "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("replicates", "rejected")})

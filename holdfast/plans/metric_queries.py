@@ -522,11 +522,13 @@ def leave_one_out_summary(spark, d):
 
 EVENT_TASKS = reshape.task_columns(["click", "error", "purchase", "signup", "view"])
 _WIDE = ", ".join(f"max(v) FILTER (event_type = '{c}') AS {t}" for c, t in EVENT_TASKS.items())
-CTES["wide_rows"] = f"SELECT user_id, CASE WHEN user_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, {_WIDE} FROM (SELECT user_id, event_type, max(value) AS v FROM events WHERE value > 8 GROUP BY ALL) GROUP BY user_id"
+CTES["wide_rows"] = f"SELECT user_id, CASE WHEN user_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, {_WIDE} FROM (SELECT user_id, event_type, CASE WHEN (user_id + length(event_type)) % 4 <> 0 THEN max(value) END AS v FROM events GROUP BY user_id, event_type) GROUP BY user_id"
 
 
 def _wide(spark, d):
-    best = table(spark, d, "events").where("value > 8").groupBy("user_id", "event_type").agg(F.max("value").alias("v"))
+    # All events count. A quarter of the cells, by this rule, is left empty; every entity keeps some.
+    best = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max("value").alias("v"))
+    best = best.withColumn("v", F.when((F.col("user_id") + F.length("event_type")) % 4 != 0, F.col("v")))
     wide = reshape.to_wide(best, "user_id", "event_type", "v", EVENT_TASKS)
     return wide.withColumn("split", F.when(F.col("user_id") % 5 == 0, "test").otherwise("train"))
 

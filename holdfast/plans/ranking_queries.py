@@ -17,11 +17,13 @@ from .metric_queries import CONTRASTS, macro_metrics
 from .registry import query
 from .similarity_queries import screen_nearest
 from .split_queries import explode_screen, screen_flags
-from .sql import CTES, hash_int, ranking_select, t_stats
+from .sql import CTES, hash_int, hash_long, ranking_select, t_stats
 
 SCORES = {"length": "score_length", "hash": "score_hash"}
-REPLICATES = 100
-BOOT_SEED = 20260729
+# Replicates of the queries; the operators take any number, and their users thousands.
+REPLICATES, PAIRED_REPLICATES, CONTROL_REPLICATES = 100, 80, 60
+SPARE = 60  # further draws of the SQL twins, which cannot draw in rounds
+BOOT_SEED = 4711
 
 CTES["cohort_rows"] = """
 SELECT 'primary' AS cohort, * FROM screen_flags WHERE NOT exact_overlap
@@ -174,9 +176,9 @@ def _drawn_sql(label: str, scores: dict[str, str], replicates: int, seed: int) -
     models = ", ".join(f"'{m}'" for m in scores)
     values = ", ".join(scores.values())
     return f"""
-base AS (SELECT cohort, doc_id, {label} AS label, {values} FROM cohort_rows WHERE cohort <> 'parent_nonidentity'),
+base AS (SELECT cohort, doc_id, {label} AS label, {values} FROM cohort_rows),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY md5('{seed}:' || doc_id)) - 1 AS row_index, count(*) OVER (PARTITION BY cohort) AS n FROM base),
-draws AS (SELECT cohort, replicate, {hash_int(f"'{seed}:' || replicate || ':' || row_index")} % n AS pick FROM numbered, (SELECT unnest(range(0, {replicates})) AS replicate)),
+draws AS (SELECT cohort, replicate, {hash_long(f"'{seed}:' || replicate || ':' || row_index")} % n AS pick FROM numbered, (SELECT unnest(range(0, {replicates})) AS replicate)),
 drawn AS (SELECT d.cohort, replicate, label, {values} FROM draws d JOIN numbered b ON d.cohort = b.cohort AND d.pick = b.row_index),
 drawn_long AS (SELECT cohort, replicate, label, unnest([{models}]) AS model, unnest([{values}]) AS score FROM drawn),
 base_long AS (SELECT cohort, label, unnest([{models}]) AS model, unnest([{values}]) AS score FROM base),
@@ -191,13 +193,13 @@ WITH {_drawn_sql('quality', SCORES, REPLICATES, BOOT_SEED)},
 tall AS (SELECT cohort, model, unnest(['auroc', 'average_precision']) AS metric, unnest([auroc, average_precision]) AS value FROM rm WHERE auroc IS NOT NULL),
 point AS (SELECT cohort, model, unnest(['auroc', 'average_precision']) AS metric, unnest([auroc, average_precision]) AS estimate FROM pm)
 SELECT p.cohort, p.model, p.metric, estimate, count(value) AS replicates, quantile_cont(value, 0.025::DOUBLE) AS ci_low, quantile_cont(value, 0.975::DOUBLE) AS ci_high
-FROM point p JOIN tall t ON p.cohort = t.cohort AND p.model = t.model AND p.metric = t.metric GROUP BY ALL""",
+FROM point p LEFT JOIN tall t ON p.cohort = t.cohort AND p.model = t.model AND p.metric = t.metric GROUP BY ALL""",
     ["estimate", "ci_low", "ci_high"],
 )
 def bootstrap_intervals(spark, d):
     """Percentile intervals of each model's metrics."""
     rows = materialize(
-        cohort_rows(spark, d).where("cohort <> 'parent_nonidentity'").select("cohort", "doc_id", "quality", *SCORES.values())
+        cohort_rows(spark, d).select("cohort", "doc_id", "quality", *SCORES.values())
     )
     return ranking.bootstrap_metric(rows, ["cohort"], "doc_id", "quality", SCORES, REPLICATES, BOOT_SEED)
 
@@ -211,28 +213,29 @@ used AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cohort ORDER B
 tall AS (SELECT cohort, unnest(['auroc', 'average_precision']) AS metric, unnest([auroc, average_precision]) AS value FROM used),
 point AS (SELECT x.cohort, unnest(['auroc', 'average_precision']) AS metric, unnest([x.auroc - y.auroc, x.average_precision - y.average_precision]) AS difference FROM pm x JOIN pm y ON x.cohort = y.cohort AND x.model = 'a' AND y.model = 'b'),
 rej AS (SELECT g.cohort, count(*) FILTER (g.auroc IS NULL AND g.replicate < last) AS rejected FROM gap g JOIN (SELECT cohort, max(replicate) AS last FROM used GROUP BY cohort) u ON g.cohort = u.cohort GROUP BY g.cohort)
-SELECT p.cohort, p.metric, difference, count(value) AS replicates, quantile_cont(value, 0.025::DOUBLE) AS ci_low, quantile_cont(value, 0.975::DOUBLE) AS ci_high, rejected
-FROM point p JOIN tall t ON p.cohort = t.cohort AND p.metric = t.metric JOIN rej r ON p.cohort = r.cohort GROUP BY ALL"""
+SELECT p.cohort, p.metric, difference, count(value) AS replicates, quantile_cont(value, 0.025::DOUBLE) AS ci_low, quantile_cont(value, 0.975::DOUBLE) AS ci_high,
+ coalesce(rejected, 0) AS rejected, CASE WHEN difference IS NULL THEN 'one_class' ELSE 'estimable' END AS status
+FROM point p LEFT JOIN tall t ON p.cohort = t.cohort AND p.metric = t.metric LEFT JOIN rej r ON p.cohort = r.cohort GROUP BY ALL"""
 
 
 _PAIRED = ["difference", "ci_low", "ci_high"]
 
 
-def _paired(spark, d, label, a, b, replicates, spare, seed):
-    rows = materialize(cohort_rows(spark, d).where("cohort <> 'parent_nonidentity'").select("cohort", "doc_id", label, *SCORES.values()))
-    return ranking.paired_bootstrap(rows, ["cohort"], "doc_id", label, a, b, replicates, seed, spare)
+def _paired(spark, d, label, a, b, replicates, seed):
+    rows = materialize(cohort_rows(spark, d).select("cohort", "doc_id", label, *SCORES.values()))
+    return ranking.paired_bootstrap(rows, ["cohort"], "doc_id", label, a, b, replicates, seed)
 
 
-@query("paired_bootstrap", _paired_sql("quality", "score_length", "score_hash", 80, 20, BOOT_SEED), _PAIRED)
+@query("paired_bootstrap", _paired_sql("quality", "score_length", "score_hash", PAIRED_REPLICATES, SPARE, BOOT_SEED), _PAIRED)
 def paired_bootstrap(spark, d):
     """Difference of two scores on common resamples."""
-    return _paired(spark, d, "quality", "score_length", "score_hash", 80, 20, BOOT_SEED)
+    return _paired(spark, d, "quality", "score_length", "score_hash", PAIRED_REPLICATES, BOOT_SEED)
 
 
-@query("bootstrap_vs_control", _paired_sql("toxic", "score_hash", "score_length", 60, 20, 7), _PAIRED)
+@query("bootstrap_vs_control", _paired_sql("toxic", "score_hash", "score_length", CONTROL_REPLICATES, SPARE, 7), _PAIRED)
 def bootstrap_vs_control(spark, d):
     """A score against the control score, with the rejected one-class resamples counted."""
-    return _paired(spark, d, "toxic", "score_hash", "score_length", 60, 20, 7)
+    return _paired(spark, d, "toxic", "score_hash", "score_length", CONTROL_REPLICATES, 7)
 
 
 def _poisson_steps() -> list[float]:
@@ -256,7 +259,7 @@ WITH base AS (SELECT doc_id, quality AS label, score_length, score_hash FROM scr
  tall AS (SELECT model, unnest(['auroc', 'average_precision']) AS metric, unnest([auroc, average_precision]) AS value FROM ({ranking_select('long', 'model, replicate', 'label', 'score')}) WHERE auroc IS NOT NULL),
  point AS (SELECT model, unnest(['auroc', 'average_precision']) AS metric, unnest([auroc, average_precision]) AS estimate FROM ({ranking_select('one', 'model', 'label', 'score')}))
 SELECT 'all' AS cohort, p.model, p.metric, estimate, count(value) AS replicates, quantile_cont(value, 0.025::DOUBLE) AS ci_low, quantile_cont(value, 0.975::DOUBLE) AS ci_high
-FROM point p JOIN tall t ON p.model = t.model AND p.metric = t.metric GROUP BY ALL""",
+FROM point p LEFT JOIN tall t ON p.model = t.model AND p.metric = t.metric GROUP BY ALL""",
     ["estimate", "ci_low", "ci_high"],
 )
 def poisson_bootstrap_intervals(spark, d):
@@ -265,7 +268,8 @@ def poisson_bootstrap_intervals(spark, d):
     return ranking.bootstrap_metric(rows, ["cohort"], "doc_id", "quality", SCORES, REPLICATES, BOOT_SEED, "poisson")
 
 
-CTES["cohort_bootstrap"] = _paired_sql("quality", "score_length", "score_hash", 80, 20, BOOT_SEED)
+CTES["canonical_bootstrap"] = _paired_sql("quality", "score_length", "score_hash", REPLICATES, SPARE, BOOT_SEED)
+CTES["cohort_bootstrap"] = _paired_sql("quality", "score_length", "score_hash", PAIRED_REPLICATES, SPARE, BOOT_SEED)
 
 
 @query(
@@ -274,21 +278,21 @@ CTES["cohort_bootstrap"] = _paired_sql("quality", "score_length", "score_hash",
 SELECT r.cohort, n, positives, auroc_length, auroc_hash, average_precision_length, average_precision_hash, delta_auroc, delta_auroc_low, delta_auroc_high, delta_ap FROM (
  SELECT cohort, max(n) AS n, max(positives) AS positives, max(auroc) FILTER (model = 'length') AS auroc_length, max(auroc) FILTER (model = 'hash') AS auroc_hash,
   max(average_precision) FILTER (model = 'length') AS average_precision_length, max(average_precision) FILTER (model = 'hash') AS average_precision_hash FROM (
-  {ranking_select('''(SELECT * FROM scored_rows WHERE endpoint = 'quality' AND cohort <> 'parent_nonidentity')''', 'cohort, model', 'label', 'score')}) GROUP BY cohort) r
+  {ranking_select('''(SELECT * FROM scored_rows WHERE endpoint = 'quality')''', 'cohort, model', 'label', 'score')}) GROUP BY cohort) r
 JOIN (SELECT cohort, max(difference) FILTER (metric = 'auroc') AS delta_auroc, max(ci_low) FILTER (metric = 'auroc') AS delta_auroc_low, max(ci_high) FILTER (metric = 'auroc') AS delta_auroc_high,
  max(difference) FILTER (metric = 'average_precision') AS delta_ap FROM cohort_bootstrap GROUP BY cohort) b ON r.cohort = b.cohort""",
     ["auroc_length", "auroc_hash", "average_precision_length", "average_precision_hash", "delta_auroc", "delta_auroc_low", "delta_auroc_high", "delta_ap"],
 )
 def cohort_summary(spark, d):
     """One row per cohort: both models and their difference with its interval."""
-    rows = materialize(cohort_rows(spark, d).where("cohort <> 'parent_nonidentity'").select("cohort", "doc_id", "quality", *SCORES.values()))
+    rows = materialize(cohort_rows(spark, d).select("cohort", "doc_id", "quality", *SCORES.values()))
     own = ranking.ranking_metrics(ranking.melt_scores(rows, ["cohort", "quality"], SCORES), ["cohort", "model"], "quality", "score")
     pick = lambda c, m: F.max(F.when(F.col("model") == m, F.col(c))).alias(f"{c}_{m}")
     wide = own.groupBy("cohort").agg(
         F.max("n").alias("n"), F.max("positives").alias("positives"),
         *[pick(c, m) for c in ("auroc", "average_precision") for m in SCORES],
     )
-    paired = ranking.paired_bootstrap(rows, ["cohort"], "doc_id", "quality", "score_length", "score_hash", 80, BOOT_SEED, 20)
+    paired = ranking.paired_bootstrap(rows, ["cohort"], "doc_id", "quality", "score_length", "score_hash", PAIRED_REPLICATES, BOOT_SEED)
     at = lambda c, m, out: F.max(F.when(F.col("metric") == m, F.col(c))).alias(out)
     delta = paired.groupBy("cohort").agg(
         at("difference", "auroc", "delta_auroc"), at("ci_low", "auroc", "delta_auroc_low"),
@@ -300,11 +304,13 @@ def cohort_summary(spark, d):
 @query(
     "ablation_table",
     f"""
-SELECT source, comparison, metric, mean AS difference, CASE WHEN source = 'internal' AND metric = 'mae' THEN mean ELSE ci_low END AS ci_low, ci_high FROM (
+SELECT source, comparison, metric, mean AS difference, ci_low, ci_high FROM (
  SELECT 'internal' AS source, candidate || '_minus_' || reference AS comparison, metric, mean, ci_low, ci_high FROM (
  {t_stats(f'''(SELECT c.candidate, c.reference, a.metric, a.value - b.value AS difference FROM (SELECT '{CONTRASTS[0][0]}' AS candidate, '{CONTRASTS[0][1]}' AS reference) c JOIN tall_macro a ON a.model = c.candidate
   JOIN tall_macro b ON b.model = c.reference AND a.seed = b.seed AND a.metric = b.metric WHERE a.metric IN ('mae', 'rmse'))''', 'candidate, reference, metric', 'difference')})
- UNION ALL SELECT 'external', 'length_minus_hash_' || cohort, metric, difference, ci_low, ci_high FROM cohort_bootstrap)""",
+ UNION ALL SELECT 'external', 'length_minus_hash_' || b.cohort, b.metric, difference, CASE WHEN b.cohort = 'primary' AND p.ci_low IS NOT NULL THEN p.ci_low ELSE b.ci_low END,
+  CASE WHEN b.cohort = 'primary' AND p.ci_high IS NOT NULL THEN p.ci_high ELSE b.ci_high END
+ FROM cohort_bootstrap b LEFT JOIN canonical_bootstrap p ON b.cohort = p.cohort AND b.metric = p.metric)""",
     ["difference", "ci_low", "ci_high"],
 )
 def ablation_table(spark, d):
@@ -313,10 +319,13 @@ def ablation_table(spark, d):
         F.lit("internal").alias("source"), F.concat_ws("_minus_", "candidate", "reference").alias("comparison"), "metric",
         F.col("mean").alias("difference"), "ci_low", "ci_high",
     )
-    outer = _paired(spark, d, "quality", "score_length", "score_hash", 80, 20, BOOT_SEED).select(
+    outer = _paired(spark, d, "quality", "score_length", "score_hash", PAIRED_REPLICATES, BOOT_SEED).select(
         F.lit("external").alias("source"), F.concat(F.lit("length_minus_hash_"), "cohort").alias("comparison"), "metric",
         "difference", "ci_low", "ci_high",
     )
     both = reshape.union_all([inner, outer])
-    canonical = inner.where("metric = 'mae'").select("source", "metric", F.col("difference").alias("ci_low"))
-    return contrasts.overwrite_from(both, canonical, ["source", "metric"], ["ci_low"])
+    # The primary cohort's limits come from the run with the canonical number of replicates.
+    canonical = _paired(spark, d, "quality", "score_length", "score_hash", REPLICATES, BOOT_SEED).where("cohort = 'primary'").select(
+        F.lit("external").alias("source"), F.concat(F.lit("length_minus_hash_"), "cohort").alias("comparison"), "metric", "ci_low", "ci_high"
+    )
+    return contrasts.overwrite_from(both, canonical, ["source", "comparison", "metric"], ["ci_low", "ci_high"])

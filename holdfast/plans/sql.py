@@ -17,6 +17,10 @@ def hash_int(text: str) -> str:
     return f"('0x' || substr(md5({text}), 1, 8))::BIGINT"
 
 
+def hash_long(text: str) -> str:
+    return f"('0x' || substr(md5({text}), 1, 15))::BIGINT"
+
+
 def t_975(degrees: str) -> str:
     z = Z_975
     g1 = (z**3 + z) / 4

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.contracts import check_covered
 from ..operators.reshape import union_all
@@ -29,10 +29,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str | list[str], schema: str | None = None, sep: str = ",", columns: Sequence[str] | None = None) -> DataFrame:
-    """Delimited text with a header, plain or gzip; with a schema nothing is inferred."""
+    """Delimited text with a header, plain or gzip.
+
+    With a schema nothing is inferred: columns are taken by their name in the header, in any order, and
+    cast; other columns of the file are ignored. A name that the header lacks is an error, and so is a
+    malformed row or value.
+    """
     reader = spark.read.option("header", True).option("sep", sep).option("multiLine", False)
-    df = (reader.schema(schema) if schema else reader).csv(path)
-    return df.select(*columns) if columns else df
+    if schema is None:
+        df = reader.csv(path)
+        return df.select(*columns) if columns else df
+    wanted = StructType.fromDDL(schema)
+    names = header(spark, path, sep)
+    if missing := [f.name for f in wanted if f.name not in names]:
+        raise ValueError(f"columns missing from the header: {', '.join(missing)}")
+    by_place = StructType([StructField(n, wanted[n].dataType if n in wanted.names else StringType()) for n in names])
+    df = reader.schema(by_place).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
+    return df.select(*(columns or wanted.names))
 
 
 def header(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
