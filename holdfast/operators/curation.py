@@ -174,7 +174,7 @@ def dedup_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str
     return picked.select(*keys, "kept.*").select(*df.columns)
 
 
-def dedup_qc(df: DataFrame, keys: Sequence[str], valid: Column, order: Sequence[str]) -> DataFrame:
+def dedup_qc(df: DataFrame, keys: Sequence[str], valid: Column) -> DataFrame:
     """Input, invalid, valid, kept and dropped row counts of a de-duplication, in one pass over key counts."""
     per_key = df.withColumn("is_valid", F.coalesce(valid, F.lit(False))).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("is_valid")).alias("v")
@@ -188,6 +188,13 @@ def dedup_qc(df: DataFrame, keys: Sequence[str], valid: Column, order: Sequence[
     )
 
 
+def dedup_kept_counts(df: DataFrame, keys: Sequence[str], valid: Column, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Rows that a de-duplication keeps, by value of each of ``columns`` (labels, sources): field, value, kept_rows."""
+    kept = dedup_first(df.where(F.coalesce(valid, F.lit(False))).select(*keys, *order, *columns), keys, order)
+    cells = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns])
+    return kept.select(F.inline(cells)).groupBy("field", "value").agg(F.count(F.lit(1)).alias("kept_rows"))
+
+
 # --- temporal cohorts ---------------------------------------------------------------
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.seeding import hash_int
+from ..session import materialize
 
 
 def tokens(text: Column, unit: str = "word") -> Column:
@@ -75,81 +77,70 @@ def tanimoto(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(shared.cast("double"), (F.size(a) + F.size(b) - shared).cast("double")), F.lit(0.0))
 
 
-def _from_shared(shared: Column, a: Column, b: Column) -> Column:
-    return F.coalesce(F.try_divide(shared.cast("double"), (a + b - shared).cast("double")), F.lit(0.0))
-
-
 def set_key(bits: Column) -> Column:
     """Key under which equal sets meet."""
     return F.md5(F.array_join(bits.cast("array<string>"), ","))
 
 
-def nearest_by_tanimoto(query: DataFrame, reference: DataFrame, query_id: str, reference_id: str, bits: str = "bits", by: Sequence[str] = (), hot_above: int = 1000) -> DataFrame:
+def nearest_by_tanimoto(query: DataFrame, reference: DataFrame, query_id: str, reference_id: str, bits: str = "bits", by: Sequence[str] = (), steps: Sequence[float] = (0.8, 0.6, 0.45, 0.3, 0.15)) -> DataFrame:
     """Exact nearest reference row of every query row, ties to the smallest reference id.
 
-    Equal sets are merged on both sides first, so groups of copies cost one
-    row. Candidates come from positions held by at most ``hot_above``
-    reference sets; the shared positions among the hot ones are added from the
-    rows themselves. A set sharing only hot positions with the query cannot
-    exceed (hot positions of the query) / (its size): queries whose best
-    candidate is not above that are compared over all positions, so the result
-    is exact whatever ``hot_above`` is. A query sharing no position with any
-    reference row gets similarity 0 and the smallest reference id.
+    Equal sets are merged on both sides first, so groups of copies cost one row, and equal sets meet by
+    their key. The rest goes down the ``steps``: two sets of similarity s or more share one of the first
+    size - ceil(s * size) + 1 positions of a common order, rarest first, so only those are joined, and
+    only for queries without an answer yet. A query whose best candidate reaches the step is settled,
+    ties included; what is left after the last step is compared over all positions. A query sharing no
+    position with any reference row gets similarity 0 and the smallest reference id.
     """
     by = list(by)
+    on = [*by, "bit"]
     q_rows = query.select(*by, query_id, bits).withColumn("q_set", set_key(F.col(bits)))
-    q = q_rows.groupBy(*by, "q_set").agg(F.any_value(bits).alias("q_bits")).withColumn("q_size", F.size("q_bits"))
-    r = (
+    q = materialize(q_rows.groupBy(*by, "q_set").agg(F.any_value(bits).alias("q_bits")).withColumn("q_size", F.size("q_bits")))
+    r = materialize(
         reference.select(*by, reference_id, bits)
         .withColumn("r_set", set_key(F.col(bits)))
         .groupBy(*by, "r_set")
         .agg(F.any_value(bits).alias("r_bits"), F.min(reference_id).alias("r_id"))
         .withColumn("r_size", F.size("r_bits"))
     )
-    q_index = q.select(*by, "q_set", "q_size", F.explode("q_bits").alias("bit"))
-    r_index = r.select(*by, "r_set", "r_size", "r_id", F.explode("r_bits").alias("bit"))
-    on = [*by, "bit"]
-    pair = [*by, "q_set", "q_size", "r_id", "r_size"]
-    hot = r_index.groupBy(*on).agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > hot_above).select(*on)
-
-    rare = q_index.join(r_index.join(hot, on, "left_anti").drop("r_set"), on).groupBy(*pair).agg(
-        F.count(F.lit(1)).alias("rare_shared")
-    )
-    q_hot = q_index.join(hot, on).groupBy(*by, "q_set").agg(F.collect_list("bit").alias("q_hot"))
-    r_hot = r_index.join(hot, on).groupBy(*by, "r_id").agg(F.collect_list("bit").alias("r_hot"))
-    none = F.array().cast("array<bigint>")
-    scored = (
-        rare.join(q_hot, [*by, "q_set"], "left")
-        .join(r_hot, [*by, "r_id"], "left")
-        .withColumn(
-            "shared",
-            F.col("rare_shared") + F.size(F.array_intersect(F.coalesce("q_hot", none), F.coalesce("r_hot", none))),
-        )
-    )
-
-    def best_of(candidates: DataFrame) -> DataFrame:
-        sim = _from_shared(F.col("shared"), F.col("q_size"), F.col("r_size"))
-        top = candidates.select(*by, "q_set", F.struct((-sim).alias("minus"), F.col("r_id").alias("id")).alias("c"))
-        return top.groupBy(*by, "q_set").agg(F.min("c").alias("c")).select(
-            *by, "q_set", (-F.col("c.minus")).alias("sim"), F.col("c.id").alias("near")
-        )
-
-    first = (
-        q.select(*by, "q_set", "q_size")
-        .join(best_of(scored), [*by, "q_set"], "left")
-        .join(q_hot.select(*by, "q_set", F.size("q_hot").alias("n_hot")), [*by, "q_set"], "left")
-        .withColumn("bound", F.coalesce(F.col("n_hot"), F.lit(0)) / F.greatest(F.col("q_size"), F.lit(1)))
-        .withColumn("settled", F.col("n_hot").isNull() | (F.coalesce("sim", F.lit(-1.0)) > F.col("bound")))
-    )
-    open_sets = first.where(~F.col("settled")).select(*by, "q_set")
-    full = q_index.join(open_sets, [*by, "q_set"], "left_semi").join(r_index.drop("r_set"), on).groupBy(*pair).agg(
-        F.count(F.lit(1)).alias("shared")
-    )
-    best = (
-        first.where("settled").select(*by, "q_set", "sim", "near").unionByName(best_of(full))
-    )
+    r_index = r.select(*by, "r_set", "r_size", F.explode("r_bits").alias("bit"))
+    held = materialize(r_index.groupBy(*on).agg(F.count(F.lit(1)).alias("held")))
+
+    def placed(index: DataFrame, owner: str) -> DataFrame:
+        order = W.partitionBy(*by, owner).orderBy("held", "bit")
+        known = index.join(held, on, "left").withColumn("held", F.coalesce("held", F.lit(0)))
+        return materialize(known.withColumn("place", F.row_number().over(order)).drop("held"))
+
+    q_lead = placed(q.select(*by, "q_set", "q_size", F.explode("q_bits").alias("bit")), "q_set")
+    r_lead = placed(r_index, "r_set")
+
+    def best_of(pairs: DataFrame) -> DataFrame:
+        """Nearest of the candidates (by, q_set, r_set) of each query set."""
+        both = pairs.join(q.select(*by, "q_set", "q_bits"), [*by, "q_set"]).join(r.select(*by, "r_set", "r_bits", "r_id"), [*by, "r_set"])
+        sim = tanimoto(F.col("q_bits"), F.col("r_bits"))
+        top = both.select(*by, "q_set", F.struct((-sim).alias("minus"), F.col("r_id").alias("id")).alias("c"))
+        return top.groupBy(*by, "q_set").agg(F.min("c").alias("c")).select(*by, "q_set", (-F.col("c.minus")).alias("sim"), F.col("c.id").alias("near"))
+
+    equal = q.where("q_size > 0").join(r.select(*by, F.col("r_set").alias("q_set"), "r_id"), [*by, "q_set"])
+    best = [materialize(equal.select(*by, "q_set", F.lit(1.0).alias("sim"), F.col("r_id").alias("near")))]
+    left = materialize(q.where("q_size > 0").select(*by, "q_set").join(best[0], [*by, "q_set"], "left_anti"))
+    for s in steps:
+        if left.isEmpty():
+            break
+
+        def lead(index: DataFrame, size: str, s: float = s) -> DataFrame:
+            return index.where(F.col("place") <= F.col(size) - F.ceil(F.lit(s) * F.col(size) - F.lit(1e-9)) + 1)
+
+        near_size = F.least("q_size", "r_size") + F.lit(1e-9) >= F.lit(s) * F.greatest("q_size", "r_size")
+        asked = lead(q_lead, "q_size").join(left, [*by, "q_set"], "left_semi").drop("place")
+        pairs = asked.join(lead(r_lead, "r_size").drop("place"), on).where(near_size).select(*by, "q_set", "r_set").distinct()
+        best.append(materialize(best_of(pairs).where(F.col("sim") >= s)))
+        left = materialize(left.join(best[-1], [*by, "q_set"], "left_anti"))
+    pairs = q_lead.join(left, [*by, "q_set"], "left_semi").join(r_lead.select(*on, "r_set"), on).select(*by, "q_set", "r_set").distinct()
+    best.append(best_of(pairs))
+    found = reduce(DataFrame.unionByName, best)
     lowest = r.groupBy(*by).agg(F.min("r_id").alias("lowest_id")) if by else None
-    out = q_rows.select(*by, query_id, "q_set").join(best, [*by, "q_set"], "left")
+    out = q_rows.select(*by, query_id, "q_set").join(found, [*by, "q_set"], "left")
     if lowest is None:
         fallback = r.agg(F.min("r_id").alias("v")).scalar()
     else:

@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 from ..functions.constants import SEEDS, TRAIN_FRACTION, VALID_FRACTION
 from ..functions.scalar import is_solo, ratio
 from ..functions.seeding import key_bucket, seeded_key
+from ..session import materialize
 from .ordered import number_rows, ordered_sums
 
 
+PLACES = 1024  # places of a sorted column in one bucket
+
+
 def _with_seeds(df: DataFrame, seeds: Sequence[int]) -> DataFrame:
     return df.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
 
@@ -55,10 +59,12 @@ def grouped_partition(entities: DataFrame, group: str, seeds: Sequence[int] = tu
 
 
 def grouped_train_test(entities: DataFrame, group: str, seed: int, test_size: float) -> DataFrame:
-    """Two-way split with whole groups: groups in seeded order fill the test side first."""
+    """Two-way split with whole groups: groups in seeded order fill the test side first. An empty side is an error."""
     groups = _shuffled_groups(entities, group, [seed])
     goal = F.bround(F.lit(test_size) * F.col("n_total"))
-    placed = groups.select(group, "seed", F.when(F.col("prior") < goal, "test").otherwise("train").alias("split"))
+    placed = materialize(groups.select(group, "seed", F.when(F.col("prior") < goal, "test").otherwise("train").alias("split")))
+    if placed.select("split").distinct().count() < 2:
+        raise ValueError("the split leaves the train or the test side empty")
     return _spread(entities, group, placed)
 
 
@@ -79,7 +85,12 @@ def split_report(partition: DataFrame, entity: str, group: str) -> DataFrame:
     )
 
 
-def split_label_report(partition: DataFrame, entity: str, group: str, label: str) -> DataFrame:
+def split_label_counts(partition: DataFrame, label: str) -> DataFrame:
+    """Rows of each label on each side, per seed."""
+    return partition.groupBy("seed", "split", label).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def split_group_report(partition: DataFrame, group: str) -> DataFrame:
     """Per seed: distinct groups on both sides, the share of test groups seen in train, and test entities in such groups."""
     sides = partition.groupBy("seed", group).agg(
         F.count_if(F.col("split") == "train").alias("n_train"),
@@ -185,10 +196,12 @@ def quota_sample(partition: DataFrame, entity: str, n: int, seed: int, shares: M
 # --- temporal contract --------------------------------------------------------------
 
 
-def temporal_contract(pairs: DataFrame, entity: str, context: str, windows: Mapping[str, tuple[int | None, int | None]]) -> DataFrame:
-    """One row per check of the temporal split: shared entities, years inside their window, contexts unseen in train.
+def temporal_contract(pairs: DataFrame, units: Mapping[str, str], context: str, windows: Mapping[str, tuple[int | None, int | None]]) -> DataFrame:
+    """One row per check of the temporal split: shared units, years inside their window, contexts unseen in train.
 
-    ``pairs`` has cohort, entity, context, first_year, year_min and year_max.
+    ``pairs`` has cohort, context, first_year, year_min, year_max and the columns of ``units`` (entity,
+    group key, parent key), each given with its plural for the name of the check. ``all_passed`` is the
+    verdict over all checks.
     """
     names = list(windows)
     base = names[0]
@@ -204,8 +217,9 @@ def temporal_contract(pairs: DataFrame, entity: str, context: str, windows: Mapp
         inside[f"{name}_first_year_outside_window"] = F.count_if(mine & bad_first)
         inside[f"{name}_records_outside_window"] = F.count_if(mine & bad_year)
     years = pairs.agg(*[c.alias(k) for k, c in inside.items()])
-    shared = partition_overlap(pairs, "cohort", names, [entity]).select(
-        F.concat(F.lit("entities_shared_"), F.col("part_a"), F.lit("_"), F.col("part_b")).alias("check"),
+    plural = F.create_map(*[F.lit(v) for pair in units.items() for v in pair])
+    shared = partition_overlap(pairs, "cohort", names, list(units)).select(
+        F.concat(plural[F.col("unit")], F.lit("_shared_"), F.col("part_a"), F.lit("_"), F.col("part_b")).alias("check"),
         F.col("shared").alias("violations"),
     )
     seen = pairs.groupBy(context).agg(*[F.max((F.col("cohort") == n).cast("int")).alias(n) for n in names])
@@ -218,7 +232,8 @@ def temporal_contract(pairs: DataFrame, entity: str, context: str, windows: Mapp
         return row.select(F.inline(cells))
 
     checks = shared.unionByName(tall(years)).unionByName(tall(absent))
-    return checks.withColumn("passed", F.col("violations") == 0)
+    checks = checks.withColumn("passed", F.col("violations") == 0)
+    return checks.withColumn("all_passed", F.min("passed").over(W.partitionBy(F.lit(0))))  # one row per check
 
 
 def cohort_context_sets(pairs: DataFrame, context: str, names: Sequence[str]) -> DataFrame:
@@ -254,19 +269,14 @@ def held_out_medians(pairs: DataFrame, context: str, target: str, out: str = "y_
     places = own.join(whole, target).groupBy(context).agg(
         (F.max(F.floor(middle)) + shift(F.floor(middle))).alias("low"), (F.max(F.ceil(middle)) + shift(F.ceil(middle))).alias("high")
     )
-    # One struct per context: as small as the list of contexts itself.
-    wanted = places.agg(F.collect_list(F.struct(F.col(context).alias("c"), "low", "high")).alias("v")).scalar()
+    # A place lies in the one distinct target that covers it: both meet by the place's bucket of PLACES,
+    # in which a target stands once for every bucket it covers.
     first, last = F.col("all_upto") - F.col("rows"), F.col("all_upto") - 1
-    hits = whole.select(target, first.alias("first"), last.alias("last"), wanted.alias("wanted")).select(
-        target,
-        "first",
-        "last",
-        F.explode(
-            F.filter("wanted", lambda w: w["low"].between(F.col("first"), F.col("last")) | w["high"].between(F.col("first"), F.col("last")))
-        ).alias("w"),
-    )
-    at = lambda side: F.max(F.when(F.col(f"w.{side}").between(F.col("first"), F.col("last")), F.col(target)))
-    return hits.groupBy(F.col("w.c").alias(context)).agg(((at("low") + at("high")) / 2).alias(out))
+    bucket = lambda place: F.floor(place / PLACES)
+    covers = whole.select(target, first.alias("first"), last.alias("last")).withColumn("bucket", F.explode(F.sequence(bucket(F.col("first")), bucket(F.col("last")))))
+    wanted = places.select(context, F.explode(F.array("low", "high")).alias("place")).withColumn("bucket", bucket(F.col("place")))
+    hits = wanted.join(covers, "bucket").where(F.col("place").between(F.col("first"), F.col("last")))
+    return hits.groupBy(context).agg(F.avg(target).alias(out))
 
 
 def leave_one_out_audit(pairs: DataFrame, entity: str, context: str, klass: str) -> DataFrame:

@@ -887,7 +887,19 @@ SELECT sum(n)::BIGINT AS input_rows, sum(n - v)::BIGINT AS invalid_rows, sum(v):
 def dedup_quality_counts(spark, d):
     """Input, invalid, valid, kept and dropped rows of the de-duplication."""
     docs = table(spark, d, "documents").select(F.sha2("text", 256).alias("text_key"), "doc_id", "n_chars")
-    return curation.dedup_qc(docs, ["text_key"], F.col("n_chars") >= 200, ["doc_id"])
+    return curation.dedup_qc(docs, ["text_key"], F.col("n_chars") >= 200)
+
+
+@query(
+    "dedup_kept_counts",
+    """
+WITH kept AS (SELECT lang, source FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents WHERE n_chars >= 200) WHERE rn = 1)
+SELECT 'lang' AS field, lang AS value, count(*) AS kept_rows FROM kept GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM kept GROUP BY source""",
+)
+def dedup_kept_counts(spark, d):
+    """Kept documents of the de-duplication by language and by source."""
+    docs = table(spark, d, "documents").select(F.sha2("text", 256).alias("text_key"), "doc_id", "n_chars", "lang", "source")
+    return curation.dedup_kept_counts(docs, ["text_key"], F.col("n_chars") >= 200, ["doc_id"], ["lang", "source"])
 
 
 @query("largest_contexts", "SELECT context, class, count(*) AS pairs FROM pairs GROUP BY ALL ORDER BY pairs DESC, context LIMIT 10")

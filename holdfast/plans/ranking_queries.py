@@ -308,7 +308,7 @@ SELECT source, comparison, metric, mean AS difference, ci_low, ci_high FROM (
  SELECT 'internal' AS source, candidate || '_minus_' || reference AS comparison, metric, mean, ci_low, ci_high FROM (
  {t_stats(f'''(SELECT c.candidate, c.reference, a.metric, a.value - b.value AS difference FROM (SELECT '{CONTRASTS[0][0]}' AS candidate, '{CONTRASTS[0][1]}' AS reference) c JOIN tall_macro a ON a.model = c.candidate
   JOIN tall_macro b ON b.model = c.reference AND a.seed = b.seed AND a.metric = b.metric WHERE a.metric IN ('mae', 'rmse'))''', 'candidate, reference, metric', 'difference')})
- UNION ALL SELECT 'external', 'length_minus_hash_' || b.cohort, b.metric, difference, CASE WHEN b.cohort = 'primary' AND p.ci_low IS NOT NULL THEN p.ci_low ELSE b.ci_low END,
+ UNION ALL SELECT 'external', 'length_minus_hash_' || b.cohort, b.metric, b.difference, CASE WHEN b.cohort = 'primary' AND p.ci_low IS NOT NULL THEN p.ci_low ELSE b.ci_low END,
   CASE WHEN b.cohort = 'primary' AND p.ci_high IS NOT NULL THEN p.ci_high ELSE b.ci_high END
  FROM cohort_bootstrap b LEFT JOIN canonical_bootstrap p ON b.cohort = p.cohort AND b.metric = p.metric)""",
     ["difference", "ci_low", "ci_high"],

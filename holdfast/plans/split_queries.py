@@ -66,6 +66,16 @@ def split_report(spark, d):
     return splits.split_report(parted(spark, d), "entity", "assigned")
 
 
+@query(
+    "split_label_counts",
+    f"SELECT 7 AS seed, split, brand, count(*) AS rows FROM ({_TT}) t JOIN (SELECT entity AS e2, brand FROM entities) x ON t.entity = x.e2 GROUP BY ALL",
+)
+def split_label_counts(spark, d):
+    """Entities of each label on each side of the split."""
+    base = entities(spark, d).select("entity", "group_key", "brand")
+    return splits.split_label_counts(splits.grouped_train_test(base, "group_key", 7, 0.2), "brand")
+
+
 @query(
     "split_leakage_report",
     f"""
@@ -77,7 +87,7 @@ FROM (SELECT brand, count(*) FILTER (split = 'train') AS a, count(*) FILTER (spl
 def split_leakage_report(spark, d):
     """How far a coarser group key is shared by both sides of the split."""
     base = entities(spark, d).select("entity", "group_key", "brand")
-    return splits.split_label_report(splits.grouped_train_test(base, "group_key", 7, 0.2), "entity", "brand", "split")
+    return splits.split_group_report(splits.grouped_train_test(base, "group_key", 7, 0.2), "brand")
 
 
 @query(
@@ -168,11 +178,17 @@ def quota_sample(spark, d):
 @query(
     "temporal_contract",
     """
-WITH p AS (SELECT * FROM cohort_pairs),
+WITH p AS (SELECT k.*, c_nationkey AS grp, c_mktsegment AS parent FROM cohort_pairs k LEFT JOIN customer ON entity = c_custkey),
  c AS (SELECT context, max((cohort = 'train')::INT) AS t, max((cohort = 'valid')::INT) AS v, max((cohort = 'test')::INT) AS s FROM p GROUP BY context),
  k AS (SELECT 'entities_shared_train_valid' AS "check", (SELECT count(*) FROM (SELECT entity FROM p WHERE cohort = 'train' INTERSECT SELECT entity FROM p WHERE cohort = 'valid')) AS violations
  UNION ALL SELECT 'entities_shared_train_test', (SELECT count(*) FROM (SELECT entity FROM p WHERE cohort = 'train' INTERSECT SELECT entity FROM p WHERE cohort = 'test'))
  UNION ALL SELECT 'entities_shared_valid_test', (SELECT count(*) FROM (SELECT entity FROM p WHERE cohort = 'valid' INTERSECT SELECT entity FROM p WHERE cohort = 'test'))
+ UNION ALL SELECT 'groups_shared_train_valid', (SELECT count(*) FROM (SELECT grp FROM p WHERE cohort = 'train' AND grp IS NOT NULL INTERSECT SELECT grp FROM p WHERE cohort = 'valid'))
+ UNION ALL SELECT 'groups_shared_train_test', (SELECT count(*) FROM (SELECT grp FROM p WHERE cohort = 'train' AND grp IS NOT NULL INTERSECT SELECT grp FROM p WHERE cohort = 'test'))
+ UNION ALL SELECT 'groups_shared_valid_test', (SELECT count(*) FROM (SELECT grp FROM p WHERE cohort = 'valid' AND grp IS NOT NULL INTERSECT SELECT grp FROM p WHERE cohort = 'test'))
+ UNION ALL SELECT 'parents_shared_train_valid', (SELECT count(*) FROM (SELECT parent FROM p WHERE cohort = 'train' AND parent IS NOT NULL INTERSECT SELECT parent FROM p WHERE cohort = 'valid'))
+ UNION ALL SELECT 'parents_shared_train_test', (SELECT count(*) FROM (SELECT parent FROM p WHERE cohort = 'train' AND parent IS NOT NULL INTERSECT SELECT parent FROM p WHERE cohort = 'test'))
+ UNION ALL SELECT 'parents_shared_valid_test', (SELECT count(*) FROM (SELECT parent FROM p WHERE cohort = 'valid' AND parent IS NOT NULL INTERSECT SELECT parent FROM p WHERE cohort = 'test'))
  UNION ALL SELECT 'train_first_year_outside_window', (SELECT count(*) FROM p WHERE cohort = 'train' AND first_year > 1995)
  UNION ALL SELECT 'train_records_outside_window', (SELECT count(*) FROM p WHERE cohort = 'train' AND year_max > 1995)
  UNION ALL SELECT 'valid_first_year_outside_window', (SELECT count(*) FROM p WHERE cohort = 'valid' AND first_year <> 1996)
@@ -181,11 +197,13 @@ WITH p AS (SELECT * FROM cohort_pairs),
  UNION ALL SELECT 'test_records_outside_window', (SELECT count(*) FROM p WHERE cohort = 'test' AND year_min < 1997)
  UNION ALL SELECT 'valid_contexts_absent_from_train', (SELECT count(*) FROM c WHERE v = 1 AND t = 0)
  UNION ALL SELECT 'test_contexts_absent_from_train', (SELECT count(*) FROM c WHERE s = 1 AND t = 0))
-SELECT *, violations = 0 AS passed FROM k""",
+SELECT *, violations = 0 AS passed, bool_and(violations = 0) OVER () AS all_passed FROM k""",
 )
 def temporal_contract(spark, d):
     """Every check of the temporal split."""
-    return splits.temporal_contract(materialize(cohort_pairs(spark, d)), "entity", "context", WINDOWS)
+    keys = table(spark, d, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_nationkey").alias("group"), F.col("c_mktsegment").alias("parent"))
+    pairs = materialize(cohort_pairs(spark, d).join(keys, "entity", "left"))
+    return splits.temporal_contract(pairs, {"entity": "entities", "group": "groups", "parent": "parents"}, "context", WINDOWS)
 
 
 @query(

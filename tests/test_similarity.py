@@ -24,11 +24,11 @@ def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 0.0
 
 
-@pytest.mark.parametrize("hot_above", [1, 8, 1000])
-def test_nearest_is_exact(spark, hot_above):
+@pytest.mark.parametrize("steps", [(0.8, 0.6, 0.45, 0.3, 0.15), (), (0.9, 0.1)])
+def test_nearest_is_exact(spark, steps):
     q, r = sets(60, 1), sets(80, 2)
     got = similarity.nearest_by_tanimoto(
-        spark.createDataFrame(q, "qid long, bits array<long>"), spark.createDataFrame(r, "rid long, bits array<long>"), "qid", "rid", hot_above=hot_above
+        spark.createDataFrame(q, "qid long, bits array<long>"), spark.createDataFrame(r, "rid long, bits array<long>"), "qid", "rid", steps=steps
     ).collect()
     assert len(got) == len(q)
     for row in got:
@@ -43,7 +43,7 @@ def test_nearest_within_keys(spark):
     r = [(s, i, b) for s in (1, 2) for i, b in sets(30, 4 + s)]
     schema = "seed int, {} long, bits array<long>"
     got = similarity.nearest_by_tanimoto(
-        spark.createDataFrame(q, schema.format("qid")), spark.createDataFrame(r, schema.format("rid")), "qid", "rid", by=["seed"], hot_above=5
+        spark.createDataFrame(q, schema.format("qid")), spark.createDataFrame(r, schema.format("rid")), "qid", "rid", by=["seed"]
     ).collect()
     assert len(got) == len(q)
     for row in got:
