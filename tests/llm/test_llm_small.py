@@ -395,7 +395,7 @@ def test_field_carries_labels_to_repeats(spark):
 
 
 def test_skip_links_outvote_a_word_alone():
-    words_ = pii.Words(["4111111111111111 noted " + "and " * 50 + "4111111111111111x later"])
+    words_ = pii.Words(["4111111111111111 noted " + "and " * 50 + "x1111111 later"])
     model = np.zeros((pii.Words.WIDTH + pii.LABELS + 1, pii.LABELS))
     model[-1, 0] = 4.0
     p = pii.posteriors(words_, model)
