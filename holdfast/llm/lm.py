@@ -11,12 +11,14 @@ context that ends there.
 Texts are dealt into shards by hash. A shard sends its distinct n-grams with its training counts to
 buckets by hash range, sorted and packed; a bucket adds up what all shards sent and answers each with
 the totals of the n-grams it asked for. So every shard gets just the part of the automaton that its
-texts can reach. An n-gram occurs once in what a shard sends, however frequent it is.
+texts can reach. An n-gram occurs once in what a shard sends, however frequent it is. Words and pairs
+go first. A longer n-gram is asked for only if both n-grams it is made of, one word shorter, occur in
+other shards too; else its own count is the total already.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -74,6 +76,32 @@ def ngrams(words: np.ndarray, counts: np.ndarray, order: int = ORDER) -> Iterato
         yield out, place >= n - 1
 
 
+def traced(words: np.ndarray, counts: np.ndarray, train: np.ndarray, got: pd.DataFrame | None, most: int) -> tuple[list[np.ndarray], list[tuple[int, np.ndarray, np.ndarray]]]:
+    """(training total of the n-gram that ends at each token, what a shard asks for), both for n = 1 to ``most``.
+
+    What is asked for are sorted hashes and the shard's own training counts. Totals come from the answers
+    in ``got``; for an n without answers they are the own counts.
+    """
+    totals, asked, spread = [], [], None
+    for n, (grams, whole) in enumerate(ngrams(words, counts, most), 1):
+        distinct, of = np.unique(grams[whole], return_inverse=True)
+        total = np.bincount(of[train[whole]], minlength=distinct.size)
+        wanted = np.ones(distinct.size, bool)
+        if n > 2:  # both parts must occur in other shards
+            both = np.zeros(words.size, bool)
+            both[1:] = spread[1:] & spread[:-1]
+            wanted[of] = both[whole]
+        asked.append((n, distinct[wanted], total[wanted]))
+        own = total.copy()
+        if got is not None and len(part := got[got["n"] == n]):
+            part = part.sort_values("bucket")
+            total[wanted] = np.concatenate([unpacked(c, s) for c, s in zip(part["counts"], part["size"], strict=True)])
+        spread, at = np.zeros(words.size, bool), np.zeros(words.size, np.int64)
+        spread[whole], at[whole] = (total > own)[of], total[of]
+        totals.append(at)
+    return totals, asked
+
+
 def _edges(buckets: int) -> np.ndarray:
     return np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
 
@@ -115,21 +143,21 @@ def lm_scores(docs: DataFrame, held_out: str, order: int = ORDER, mass: tuple[fl
     dealt = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), text.alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"))
     edges = _edges(shards)
 
-    def sent(batch: pd.DataFrame) -> pd.DataFrame:
-        words, counts = tokens(batch["text"])
-        train = np.repeat(~batch["held_out"].to_numpy(bool), counts)
+    columns = ["n", "bucket", "shard", "size", "grams", "counts"]
+
+    def sent(batch: pd.DataFrame, got: pd.DataFrame, least: int, most: int) -> pd.DataFrame:
         out = []
-        for n, (grams, whole) in enumerate(ngrams(words, counts, order), 1):
-            distinct = np.unique(grams[whole])
-            seen, times = np.unique(grams[whole & train], return_counts=True)
-            total = np.zeros(distinct.size, np.int64)
-            total[np.searchsorted(distinct, seen)] = times
-            cut = np.concatenate(([0], np.searchsorted(distinct, edges), [distinct.size]))
-            for b, (lo, hi) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
-                if hi > lo:
-                    steps = np.diff(distinct[lo:hi], prepend=np.uint64(0)).view(np.int64)
-                    out.append((n, b, int(batch["shard"].iloc[0]), hi - lo, packed(steps), packed(total[lo:hi])))
-        return pd.DataFrame(out, columns=["n", "bucket", "shard", "size", "grams", "counts"])
+        if len(batch):
+            words, counts = tokens(batch["text"])
+            train = np.repeat(~batch["held_out"].to_numpy(bool), counts)
+            _, asked = traced(words, counts, train, got, most)
+            for n, grams, total in asked[least - 1 :]:
+                cut = np.concatenate(([0], np.searchsorted(grams, edges), [grams.size]))
+                for b, (lo, hi) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+                    if hi > lo:
+                        steps = np.diff(grams[lo:hi], prepend=np.uint64(0)).view(np.int64)
+                        out.append((n, b, int(batch["shard"].iloc[0]), hi - lo, packed(steps), packed(total[lo:hi])))
+        return pd.DataFrame(out, columns=columns)
 
     def added(batch: pd.DataFrame) -> pd.DataFrame:
         sizes = batch["size"].tolist()
@@ -148,8 +176,17 @@ def lm_scores(docs: DataFrame, held_out: str, order: int = ORDER, mass: tuple[fl
             out.loc[out.index[0], ["tokens", "words", "once", "twice"]] = [int(total.sum()), int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum())]
         return out
 
-    asked = dealt.groupBy("shard").applyInPandas(sent, "n int, bucket int, shard int, size int, grams binary, counts binary")
-    answers = stored(asked.groupBy("n", "bucket").applyInPandas(added, "shard int, n int, bucket int, size int, counts binary, tokens long, words long, once long, twice long"))
+    def only(n: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+        return lambda batch, got: sent(batch, got, n, n)
+
+    request = "n int, bucket int, shard int, size int, grams binary, counts binary"
+    reply = "shard int, n int, bucket int, size int, counts binary, tokens long, words long, once long, twice long"
+    early = min(2, order)
+    asked = dealt.groupBy("shard").applyInPandas(lambda batch: sent(batch, None, 1, early), request)
+    answers = stored(asked.groupBy("n", "bucket").applyInPandas(added, reply))
+    for n in range(early + 1, order + 1):
+        asked = dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInPandas(only(n), request)
+        answers = answers.unionByName(stored(asked.groupBy("n", "bucket").applyInPandas(added, reply)))
     row = answers.agg(F.sum("tokens"), F.sum("words"), F.sum("once"), F.sum("twice")).first()
     known = tuple(int(x or 0) for x in row)
 
@@ -157,15 +194,7 @@ def lm_scores(docs: DataFrame, held_out: str, order: int = ORDER, mass: tuple[fl
         if not len(batch):
             return pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
         words, counts = tokens(batch["text"])
-        got = got.sort_values(["n", "bucket"])
-        totals = []
-        for n, (grams, whole) in enumerate(ngrams(words, counts, order), 1):
-            part = got[got["n"] == n]
-            total = np.zeros(words.size, np.int64)
-            if len(part):
-                values = np.concatenate([unpacked(c, s) for c, s in zip(part["counts"], part["size"], strict=True)])
-                total[whole] = values[np.unique(grams[whole], return_inverse=True)[1]]
-            totals.append(total)
+        totals, _ = traced(words, counts, np.repeat(~batch["held_out"].to_numpy(bool), counts), got, order)
         begin = np.cumsum(counts) - counts
         base = np.log10((totals[0] + 0.5) / (known[0] + 0.5 * (known[1] + 1)))
         score = log_probabilities(totals, known, begin, mass)
