@@ -10,7 +10,7 @@ context that ends there.
 
 Texts are dealt into shards by hash. A shard sends its distinct n-grams with its training counts to
 buckets by hash range, sorted and packed; a bucket adds up what all shards sent and answers each with
-the totals of the n-grams it asked for. So every shard gets just the part of the automaton that its
+the totals of the n-grams it asked for, and whether another shard did. So every shard gets just the part of the automaton that its
 texts can reach. An n-gram occurs once in what a shard sends, however frequent it is. Words and pairs
 go first. A longer n-gram is asked for only if both n-grams it is made of, one word shorter, occur in
 other shards too; else its own count is the total already.
@@ -92,12 +92,13 @@ def traced(words: np.ndarray, counts: np.ndarray, train: np.ndarray, got: pd.Dat
             both[1:] = spread[1:] & spread[:-1]
             wanted[of] = both[whole]
         asked.append((n, distinct[wanted], total[wanted]))
-        own = total.copy()
+        shared = np.zeros(distinct.size, bool)
         if got is not None and len(part := got[got["n"] == n]):
             part = part.sort_values("bucket")
-            total[wanted] = np.concatenate([unpacked(c, s) for c, s in zip(part["counts"], part["size"], strict=True)])
+            answer = np.concatenate([unpacked(c, s) for c, s in zip(part["counts"], part["size"], strict=True)])
+            total[wanted], shared[wanted] = answer >> 1, answer & 1
         spread, at = np.zeros(words.size, bool), np.zeros(words.size, np.int64)
-        spread[whole], at[whole] = (total > own)[of], total[of]
+        spread[whole], at[whole] = shared[of], total[of]
         totals.append(at)
     return totals, asked
 
@@ -167,7 +168,8 @@ def lm_scores(docs: DataFrame, held_out: str, order: int = ORDER, mass: tuple[fl
         new = np.concatenate(([True], np.diff(grams[order_]) > 0))
         total = np.add.reduceat(counts[order_], np.flatnonzero(new))
         answer = np.empty_like(counts)
-        answer[order_] = np.repeat(total, np.diff(np.append(np.flatnonzero(new), grams.size)))
+        senders = np.diff(np.append(np.flatnonzero(new), grams.size))  # a shard sends an n-gram once
+        answer[order_] = np.repeat(2 * total + (senders > 1), senders)
         out = pd.DataFrame({"shard": batch["shard"], "n": batch["n"], "bucket": batch["bucket"], "size": sizes})
         out["counts"] = [packed(a) for a in np.split(answer, np.cumsum(sizes)[:-1])]
         for k in ("tokens", "words", "once", "twice"):

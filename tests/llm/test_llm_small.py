@@ -62,6 +62,8 @@ def brute_lm(rows, mass):
 def test_lm_against_brute_force(spark):
     rows = [(i, " ".join(random.Random(i).choices("a b c dd e".split(), k=random.Random(i).randint(0, 30))), i % 5 == 1) for i in range(40)]
     rows += [(50, None, False), (51, "", True), (None, "a b", None), (3, rows[3][1], False), (60, "a " * 5_000, False)]
+    # Rare words that only one training text and one held-out copy of it have, in different shards.
+    rows += [(100 + 2 * i + held, f"rare{i} u{i} v{i} w{i} x{i}", bool(held)) for i in range(20) for held in (0, 1)]
     got = lm.lm_scores(frame(spark, rows, "doc_id long, text string, held boolean"), "held", shard=300).collect()
     total, want = brute_lm([(i, t, bool(h)) for i, t, h in rows], lm.MASS)
     assert len(got) == len(rows) and {r.train_tokens for r in got} == {total}
