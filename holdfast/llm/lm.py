@@ -115,7 +115,7 @@ def log_probabilities(totals: list[np.ndarray], known: tuple[int, int, int, int]
     state there is the root.
     """
     n, v, once, twice = known
-    discount = once / (once + 2 * twice) if once else 0.5
+    discount = min(0.9, once / (once + 2 * twice)) if once else 0.5
     if n == 0:
         return np.zeros(totals[0].size)
     c = totals[0]

@@ -43,7 +43,7 @@ def brute_lm(rows, mass):
                 counts[n].update(tuple(t[i - n : i + 1]) for i in range(n, len(t)))
     total, kinds = sum(counts[0].values()), len(counts[0])
     once, twice = (sum(1 for c in counts[0].values() if c == k) for k in (1, 2))
-    discount = once / (once + 2 * twice) if once else 0.5
+    discount = min(0.9, once / (once + 2 * twice)) if once else 0.5
     out = []
     for t in tok:
         s = 0.0
