@@ -241,5 +241,5 @@ def with_ctes(body: str) -> str:
         return body
     if body.lstrip().upper().startswith("WITH"):
         body = f"SELECT * FROM ({body}) AS result_rows"
-    parts = ",\n".join(f"{n} AS ({CTES[n].strip()})" for n in found)
+    parts = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n].strip()})" for n in found)
     return f"WITH {parts}\n{body}"
