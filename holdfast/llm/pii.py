@@ -208,8 +208,10 @@ def added_spans(words: Words, model: np.ndarray) -> dict[int, list[tuple[int, in
 
 def fit_pii(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Learn the field's weights from the pattern matches in at most ``sample`` documents that hold a digit or ``@``, chosen by hash."""
-    order = F.xxhash64("doc_id", "text")
-    rows = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]")).orderBy(order, "doc_id").limit(sample)
+    # Only hashes are ordered; texts follow for the chosen ones. Equal rows have one hash and count once.
+    hashed = docs.select(F.xxhash64("doc_id", "text").alias("hash"), "text").where(F.col("text").rlike("[0-9@]"))
+    chosen = hashed.select("hash").distinct().orderBy("hash").limit(sample)
+    rows = hashed.join(F.broadcast(chosen), "hash").groupBy("hash").agg(F.min("text").alias("text"))  # at most ``sample`` rows
 
     def learned(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"model": [fit(sorted(pdf["text"])).tobytes()]})
