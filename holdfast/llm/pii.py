@@ -2,9 +2,9 @@
 
 The nodes of the field are the words of a document that hold a digit or ``@``; their labels are the
 kinds of personal data or none. Neighbouring words are linked in a chain. Words that repeat each
-other or are alike (the same last digits, the same mailbox), however far apart, are linked too:
-they share a potential for having the same label. Loopy belief propagation makes the labels of each
-document agree. Words inside a pattern match are fixed to its kind, so they lend it to others.
+other or are alike (the same last digits, the same mailbox), however far apart, are linked to one
+hub, so that any two of them are two steps apart: they share a potential for having the same label.
+Loopy belief propagation makes the labels of each document agree. Words inside a pattern match are fixed to its kind, so they lend it to others.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from pyspark.sql import types as T
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)
 SAMPLE = 6_000  # the most documents that a fit reads
-ROUNDS = 10  # of belief propagation
+ROUNDS = 2_000  # of belief propagation at most; it ends for a text when no message changes by more than SETTLED
+SETTLED = 1e-4
 SURE = 0.9  # least posterior of an added word
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -115,14 +116,16 @@ class Words:
                     keys.setdefault((d, digits[-7:]), []).append(node)
                     if 1 <= w.count("."):
                         keys.setdefault((d, digits), []).append(node)
-                elif letters and len(w) >= 5:
+                else:
                     keys.setdefault((d, w.lower()), []).append(node)
             for node, n in sizes:
                 features[node] += [47 + _size(sizes[node - begin - 1][1]) if (node - 1, node) in self.chain[-1:] else 47]
         self.fixed = np.array(fixed, np.int64)
         self.features = features
-        # Repeats are linked one to the next: a chain through all occurrences, not all their pairs.
-        self.skip = [(a, b) for nodes in keys.values() for a, b in zip(nodes[:-1], nodes[1:], strict=True)]
+        groups = [g for g in (list(dict.fromkeys(nodes)) for nodes in keys.values()) if len(g) > 1]
+        # A fit counts repeats from one to the next; inference links each to the hub of its key. Both grow with the occurrences, not their pairs.
+        self.skip = [(a, b) for g in groups for a, b in zip(g[:-1], g[1:], strict=True)]
+        self.hubs = groups
 
     def matrix(self) -> np.ndarray:
         out = np.zeros((len(self.features), self.WIDTH), np.float64)
@@ -159,29 +162,52 @@ def fit(texts: list[str]) -> np.ndarray:
 
 
 def posteriors(words: Words, model: np.ndarray) -> np.ndarray:
-    """Label probabilities of every node after ``ROUNDS`` of damped loopy belief propagation."""
+    """Label probabilities of every node after damped loopy belief propagation, run for each text until its messages settle.
+
+    A key's hub adds up what matched words say and the mean of what open ones say: the same word said
+    again is no new evidence against a match, however often it stands there.
+    """
     n = len(words.features)
     unary = words.matrix() @ model[: Words.WIDTH]
     held = words.fixed > 0
     unary[held] = -30.0
     unary[np.flatnonzero(held), words.fixed[held]] = 0.0
-    edges = np.array(words.chain + words.skip, np.int64).reshape(-1, 2)
+    spokes = [(node, n + h) for h, group in enumerate(words.hubs) for node in group]
+    edges = np.array(words.chain + spokes, np.int64).reshape(-1, 2)
     if len(edges):
-        move = model[Words.WIDTH : -1]
-        alike = model[-1, 0] * np.eye(LABELS)
-        potential = np.concatenate((np.broadcast_to(move, (len(words.chain), LABELS, LABELS)), np.broadcast_to(alike, (len(words.skip), LABELS, LABELS))))
+        unary = np.concatenate((unary, np.zeros((len(words.hubs), LABELS))))
         a, b = edges[:, 0], edges[:, 1]
+        # Two steps through a hub are worth one skip potential: (x^2 + 4) / (2 x + 3) = ratio for x = exp(step).
+        ratio = np.exp(max(model[-1, 0], 0.0))
+        step = np.log(ratio + np.sqrt(ratio * ratio + (LABELS - 2) * ratio - (LABELS - 1)))
+        move = np.broadcast_to(model[Words.WIDTH : -1], (len(words.chain), LABELS, LABELS))
+        potential = np.concatenate((move, np.broadcast_to(step * np.eye(LABELS), (len(spokes), LABELS, LABELS))))
+        open_ = np.array([max(1, sum(words.fixed[g] == 0)) for g in words.hubs])
+        weight = np.ones(2 * len(a))
+        if spokes:
+            weight[len(words.chain) : len(a)] = np.where(held[a[len(words.chain) :]], 1.0, 1 / open_[b[len(words.chain) :] - n])
         source, goal = np.concatenate((a, b)), np.concatenate((b, a))
         both = np.concatenate((potential, potential.transpose(0, 2, 1)))
         back = np.concatenate((np.arange(len(a)) + len(a), np.arange(len(a))))
+        text = np.tile(np.array(words.text)[a], 2)
         message = np.zeros((len(source), LABELS))
+
+        def gathered(e: np.ndarray) -> np.ndarray:
+            return unary + np.stack([np.bincount(goal[e], weight[e] * message[e, k], len(unary)) for k in range(LABELS)], 1)
+
+        live = np.arange(len(source))
         for _ in range(ROUNDS):
-            belief = unary + np.stack([np.bincount(goal, message[:, k], n) for k in range(LABELS)], 1)
-            out = (belief[source] - message[back])[:, :, None] + both
+            out = (gathered(live)[source[live]] - (weight[:, None] * message)[back[live]])[:, :, None] + both[live]
             top = out.max(1)
             new = top + np.log(np.exp(out - top[:, None, :]).sum(1))
-            message = 0.5 * message + 0.5 * (new - new.max(1, keepdims=True))
-        unary = unary + np.stack([np.bincount(goal, message[:, k], n) for k in range(LABELS)], 1)
+            new = 0.5 * message[live] + 0.5 * (new - new.max(1, keepdims=True))
+            change = np.zeros(text.max() + 1)
+            np.maximum.at(change, text[live], np.abs(new - message[live]).max(1))
+            message[live] = new
+            live = live[change[text[live]] > SETTLED]
+            if not live.size:
+                break
+        unary = gathered(np.arange(len(source)))[:n]
     p = np.exp(unary - unary.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
 

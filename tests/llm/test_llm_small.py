@@ -406,6 +406,18 @@ def test_skip_links_outvote_a_word_alone():
     assert pii.posteriors(words_, model)[1].max() < 0.3
 
 
+def test_one_match_reaches_fifty_repeats():
+    neutral = np.zeros((pii.Words.WIDTH + pii.LABELS + 1, pii.LABELS))
+    neutral[-1, 0] = 4.0
+    p = pii.posteriors(pii.Words(["4111111111111111 noted " + "and x1111111 later " * 50]), neutral)
+    assert (p[1:, 3] > pii.SURE).all() and np.ptp(p[1:, 3]) < 0.01
+    short = pii.Words(["room 12 and room 12 again, 12"])
+    assert len(short.skip) == 2
+    usual = [f"{prose(i, 10)} write to a{i}.b@mail.example.com {prose(i + 500, 10)} or a{i}.b@mail.example.com in {1000 + i} items" for i in range(200)]
+    long = pii.Words([f"bob@host.org {prose(1, 5)} " + " ".join(f"bob@host {prose(i, 5)}" for i in range(50))])
+    assert [k for k, _, _ in pii.added_spans(long, pii.fit(usual))[0]] == [0] * 50
+
+
 @pytest.mark.parametrize("name", ["op6_line_dedup", "op9_chat"])
 def test_native_queries_run_no_python(spark, sf_dir, name):
     from holdfast.llm import queries
