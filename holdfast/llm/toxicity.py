@@ -27,14 +27,26 @@ ROUNDS = 200
 EVIDENCE = 15.0  # least likelihood ratio (chi-squared with one degree of freedom) of a trained feature
 PENALTY = 1e-6
 CACHED = 200_000  # word scores that a task keeps
-SENTENCE = re.compile(r"[^.!?\n]+")
+LONG = 64  # runs of letters over this are glued words or a script without blanks
+SENTENCE = re.compile("[^.!?\n\u203c\u2047-\u2049\u3002\uff01\uff0e\uff1f\uff61\u0589\u061f\u06d4\u0964\u0965\u104b\u1362\u1367\u17d4\u17d5]+")  # with the full stops of other scripts
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def features(word: str) -> list[int]:
-    """Hashed features of a lower-case word: itself and its letter n-grams of 4 and 5 with both ends marked."""
-    w = f"<{word[:64]}>"  # longer runs of letters are no words; their beginning stands for them
-    grams = {w, *(w[i : i + n] for n in (4, 5) for i in range(len(w) - n + 1))}
+def parts(word: str) -> list[str]:
+    """A lower-case word with both ends marked; a run of over ``LONG`` letters in pieces, each letter n-gram of the run in one of them."""
+    w = f"<{word}>"
+    if len(word) <= LONG:
+        return [w]
+    step = LONG - 4
+    return [w[i : i + LONG] for i in range(0, len(w) - 4, step)]
+
+
+def features(part: str) -> list[int]:
+    """Hashed features of one of a word's ``parts``: its letter n-grams of 4 and 5, and a whole word itself."""
+    last = part[-1] == ">"  # the next piece has the n-grams that begin behind a piece's last 5-gram
+    grams = {part[i : i + n] for n in (4, 5) for i in range(len(part) - (n if last else 5) + 1)}
+    if last and part[0] == "<":
+        grams.add(part)
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for g in grams]
 
 
@@ -81,7 +93,7 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> np.ndarray
     for text in texts:
         n = 0
         for sentence in SENTENCE.findall(text.lower()):
-            found = LETTERS.findall(sentence)
+            found = [p for w in LETTERS.findall(sentence) for p in parts(w)]
             if found:
                 words.extend(types.setdefault(w, len(types)) for w in found)
                 per_sentence.append(len(found))
@@ -160,9 +172,11 @@ class _Scores(dict):
         self.model = model
 
     def __missing__(self, word: str) -> float:
-        if len(self) >= CACHED:
-            self.clear()
-        self[word] = score = float(self.model[features(word)].sum())
+        score = sum(float(self.model[features(p)].sum()) for p in parts(word))
+        if len(word) <= LONG:
+            if len(self) >= CACHED:
+                self.clear()
+            self[word] = score
         return score
 
 

@@ -231,6 +231,26 @@ def test_toxicity_learns_sentences_from_document_labels(spark):
     assert toxicity.score_toxicity(docs, none).agg(F.max("toxicity")).first()[0] < 0.3
 
 
+def test_toxicity_reads_runs_of_letters_to_their_end(spark):
+    for n in (1, 63, 64, 65, 115, 119, 120, 121, 122, 123, 124, 125, 126, 300):
+        run = "".join(random.Random(n).choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        w = f"<{run}>"
+        whole = sorted(w[i : i + k] for k in (4, 5) for i in range(len(w) - k + 1))
+        seen = [g for p in toxicity.parts(run) for k in (4, 5) for g in {p[i : i + k] for i in range(len(p) - (k if p[-1] == ">" else 5) + 1)}]
+        assert set(seen) == set(whole) and len(seen) <= len(whole)
+    texts = [f"{prose(i, 30)} {'zonkface' if i % 3 == 0 else 'plain'} {prose(i + 900, 5)}" for i in range(300)]
+    labels = np.array([int(i % 3 == 0) for i in range(300)])
+    model = toxicity.fit(texts, labels, np.ones(300))
+    glued = [prose(i, 30).replace(" ", "") for i in range(8)]
+    rows = [(1, glued[0] + "zonkface" + glued[1]), (2, glued[2] + glued[3]), (3, f"{glued[4]}\u3002zonkface{glued[5]}\uff01{glued[6]}")]
+    got = {g.doc_id: g for g in toxicity.score_toxicity(frame(spark, rows, "doc_id long, text string"), model).collect()}
+    assert got[1].toxicity >= 0.3 and got[2].toxicity < 0.3 and got[3].toxicity >= 0.3
+    begin = len(glued[4]) + 1
+    assert [(s.start, s.end) for s in got[3].toxic_sentences] == [(begin, begin + 8 + len(glued[5]))]
+    late = [t.replace(" ", "") for t in texts]
+    assert toxicity.fit(late, labels, np.ones(300))[:-1].max() > 0
+
+
 # --- lines -----------------------------------------------------------------------------------------
 
 
