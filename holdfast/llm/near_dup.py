@@ -214,7 +214,7 @@ def _meet(batch: pd.DataFrame) -> pd.DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, digest, class_id (least doc_id of the class), class_size (rows).
+    """One row per row of ``docs`` (doc_id, text): doc_id, digest, class_id (least doc_id of the class), class_size (rows), component (of the class, unlike a class_id, alone).
 
     A class is a connected component of the texts with a similarity of at least ``SIMILAR``. Texts with
     the same words are one node from the start, however many copies there are. Texts with fewer than
@@ -260,15 +260,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = nodes.join(parts, "node", "left").select("node", "least", "copies", F.coalesce("component", "node").alias("component"))
     named = stored(named)
     classes = named.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    of = stored(named.join(classes, "component").select("node", "class_id", "class_size"))
-    return rows.join(of, "node").select("doc_id", "digest", "class_id", "class_size", "node")
+    of = stored(named.join(classes, "component").select("node", "component", "class_id", "class_size"))
+    return rows.join(of, "node").select("doc_id", "digest", "class_id", "class_size", "component")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class: the least doc_id's; of rows without any doc_id in the class, or with the same, one."""
+    """``docs`` with one row of each class: the least doc_id's; of rows without any doc_id in the class, or with the same, one. Classes that share a doc_id stay apart."""
     found = near_duplicates(docs)
-    pick = found.groupBy(F.coalesce(F.col("class_id").cast("string"), F.base64("node")).alias("class"), F.col("class_id").isNull().alias("nameless"))
-    kept = stored(pick.agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("row")).select(F.col("row.doc_id").alias("_id"), F.col("row.digest").alias("_digest")))
+    kept = stored(found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("row")).select(F.col("row.doc_id").alias("_id"), F.col("row.digest").alias("_digest")))
     rows = docs.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit(""))))
     rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_text"] == kept["_digest"]))
     place = F.row_number().over(Window.partitionBy("_id", "_digest").orderBy(F.lit(1)))

@@ -352,6 +352,18 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     assert near_dup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_goes_by_class_not_by_doc_id(spark):
+    def near(seed):
+        return prose(seed, 80) + " end"
+
+    rows = [(1, prose(1, 80)), (1, prose(2, 80)), (7, near(2)), (None, prose(3, 80)), (None, near(3)), (None, prose(4, 80)), (None, ""), (9, None)]
+    kept = near_dup.one_of_each(frame(spark, rows, "doc_id long, text string")).collect()
+    assert sum(r.doc_id == 1 for r in kept) == 2 and {r.text for r in kept if r.doc_id == 1} == {prose(1, 80), prose(2, 80)}
+    nameless = [r.text for r in kept if r.doc_id is None]
+    assert len(nameless) == 2 and prose(4, 80) in nameless and set(nameless) & {prose(3, 80), near(3)}
+    assert [r.text for r in kept if r.doc_id in (7, 9)] == [None]
+
+
 def test_alignment_minds_the_order():
     a = np.arange(1, 101, dtype=np.uint64)
     assert near_dup.aligned(a, a) == 1 and near_dup.aligned(a, a[::-1].copy()) < 0.1
