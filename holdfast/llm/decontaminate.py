@@ -3,7 +3,8 @@
 Numbers, names and units become typed placeholders, so a question with other figures keeps its
 template. Windows of template words are hashed; a document's windows meet the benchmark's in a hash
 join. Windows of one pair of texts on one diagonal belong to one copy, whose slots are then compared:
-each value of the item must stand for one value in the document throughout.
+each value of the item must stand for one value in the document throughout. Literal windows, numbers
+as they are, find exact copies of items that are mostly numbers or too short for a template.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from .common import stored
 from .words import chunks, joined, mixed, run_hashes
 
 WINDOW = 10  # template words in a window
-LEAST = 5  # items with fewer words are not looked for; at least half of a window's words must be plain
+LEAST = 5  # items with fewer words are looked for literally only; at least half of a template window's words must be plain
 HASHES_AT_ONCE = 1_000_000  # window hashes that go to the executors in one pass: 8 MB
 
 #: Units of measure, money and time (fixed values).
@@ -40,6 +41,9 @@ _STOP[list(b".!?:\n")] = True
 _JOINT[list(b".,:/")] = True
 
 
+_LITERAL = np.uint64(0x5851F42D4C957F2D)
+
+
 class Templates:
     """Words of a run of texts: hash of the word or its placeholder, kind, text it is in, and bytes it spans."""
 
@@ -108,6 +112,17 @@ class Templates:
             out = joined(out, mark[at + i])
         return at, joined(out, np.uint64(width))
 
+    def literal(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the first word, hash of the words as they are, numbers too) of every window inside one text."""
+        n = self.word.size - width + 1
+        if n <= 0:
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        at = np.flatnonzero(self.text[:n] == self.text[width - 1 :])
+        out = self.word[at]
+        for i in range(1, width):
+            out = joined(out, self.word[at + i])
+        return at, joined(out, _LITERAL + np.uint64(width))
+
     def value(self, i: int) -> str:
         return self.lower[self.start[i] : self.stop[i]].tobytes().decode("utf-8", "replace")
 
@@ -123,13 +138,13 @@ _UNIT_HASHES = np.sort(_hashes_of(UNITS))
 
 
 def template_windows(texts: DataFrame, keys: Sequence[str], widths: Sequence[int] | None = None, wanted: np.ndarray | None = None) -> DataFrame:
-    """Windows of ``texts`` (keys and text): keys, words, place, width, hash, slots (typed values by place in the text).
+    """Windows of ``texts`` (keys and text): keys, words, place, width, hash, slots (typed values by place in the text), literal.
 
     ``widths``: every text's windows of these widths; without, of ``WINDOW`` words or, in a shorter
-    text, of all its words if they are at least ``LEAST``. ``wanted``: only windows with these hashes.
+    text, of all its words; under ``LEAST`` words only literally. ``wanted``: only windows with these hashes.
     """
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.select(*keys).schema.fields)
-    schema += ", words int, place int, width int, hash bigint, slots array<struct<at:int,value:string>>"
+    schema += ", words int, place int, width int, hash bigint, slots array<struct<at:int,value:string>>, literal boolean"
     context = texts.sparkSession.sparkContext
     held = context.broadcast(np.sort(wanted.astype(np.uint64))) if wanted is not None else None  # at most HASHES_AT_ONCE
 
@@ -141,8 +156,13 @@ def template_windows(texts: DataFrame, keys: Sequence[str], widths: Sequence[int
                 counts = np.bincount(t.text, None, len(run))
                 begin = np.cumsum(counts) - counts
                 parts = []
-                for width, names in product(widths or range(LEAST, WINDOW + 1), (True, False)):
-                    at, h = t.windows(width, names)
+                for width, names in product(widths or range(1, WINDOW + 1), (True, False, None)):  # None: literal
+                    if names is not None and width < LEAST:
+                        continue
+                    at, h = t.literal(width) if names is None else t.windows(width, names)
+                    if names is None and widths is None and width >= LEAST:  # only what has no template
+                        bare = ~np.isin(at, t.windows(width, True)[0])
+                        at, h = at[bare], h[bare]
                     if widths is None and width < WINDOW:
                         short = counts[t.text[at]] == width
                         at, h = at[short], h[short]
@@ -150,16 +170,16 @@ def template_windows(texts: DataFrame, keys: Sequence[str], widths: Sequence[int
                         near = np.minimum(np.searchsorted(known, h), known.size - 1)
                         hit = known[near] == h
                         at, h = at[hit], h[hit]
-                    parts.append((at, h, np.full(at.size, width), np.full(at.size, names)))
-                at, h, width, named = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    parts.append((at, h, np.full(at.size, width), np.full(at.size, names is True), np.full(at.size, names is None)))
+                at, h, width, named, literal = (np.concatenate(x) for x in zip(*parts, strict=True))
                 if at.size:
                     of = t.text[at]
                     out = batch.iloc[first + of][list(keys)].reset_index(drop=True)
                     slots = [
-                        [{"at": int(k - begin[d]), "value": t.value(k)} for k in range(i, i + w) if t.kind[k] and (with_names or t.kind[k] != NAME)]
-                        for i, w, d, with_names in zip(at.tolist(), width.tolist(), of.tolist(), named.tolist(), strict=True)
+                        [{"at": int(k - begin[d]), "value": t.value(k)} for k in range(i, i + w) if t.kind[k] and (t.kind[k] == NUMBER or not as_is and (with_names or t.kind[k] != NAME))]
+                        for i, w, d, with_names, as_is in zip(at.tolist(), width.tolist(), of.tolist(), named.tolist(), literal.tolist(), strict=True)
                     ]
-                    yield out.assign(words=counts[of].astype(np.int32), place=(at - begin[of]).astype(np.int32), width=width.astype(np.int32), hash=h.view(np.int64), slots=slots)
+                    yield out.assign(words=counts[of].astype(np.int32), place=(at - begin[of]).astype(np.int32), width=width.astype(np.int32), hash=h.view(np.int64), slots=slots, literal=literal)
 
     return texts.select(*keys, F.coalesce("text", F.lit("")).alias("text")).mapInPandas(found, schema)
 
@@ -171,8 +191,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_cover: float = 0.5)
     given if windows on diagonals with consistent slots cover at least ``min_cover`` of the item's
     words. Slots are consistent if the item's equal values (of a type) stand for equal values in the
     document; ``changed_slots`` counts those with another value. An item's copies under other ids are
-    given too. Items with fewer than ``LEAST`` words, missing texts among them, are not looked for; a
-    missing text of a document holds nothing. Rows equal in doc_id and text give one answer. Empty
+    given too. Items with fewer than ``LEAST`` words are found where these words stand as they are; items
+    without words are not looked for, and a missing text of a document holds nothing. Rows equal in doc_id and text give one answer. Empty
     tables give an empty result.
 
     Documents are read once per ``HASHES_AT_ONCE`` distinct hashes of the benchmark and not shuffled;
@@ -196,11 +216,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_cover: float = 0.5)
         hits = part if hits is None else hits.unionByName(part)
     if hits is None:
         hits = template_windows(texts.limit(0), ["doc_id", "digest"])
-    theirs = grams.select("hash", "item", F.col("words").alias("item_words"), F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
-    met = hits.drop("words").join(theirs, "hash").withColumn("diagonal", F.col("place") - F.col("item_place"))
+    theirs = grams.select("hash", "literal", "item", F.col("words").alias("item_words"), F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
+    met = hits.drop("words").join(theirs, ["hash", "literal"]).withColumn("diagonal", F.col("place") - F.col("item_place"))
     pairs = F.zip_with("item_slots", "slots", lambda i, d: F.struct(i["at"].alias("at"), i["value"].alias("item"), d["value"].alias("doc")))
     covers = F.sequence("item_place", F.col("item_place") + F.col("width") - 1)
-    copies = met.groupBy("doc_id", "digest", "item", "item_words", "diagonal").agg(
+    copies = met.groupBy("doc_id", "digest", "item", "item_words", "diagonal", "literal").agg(
         F.array_distinct(F.flatten(F.collect_set(covers))).alias("covered"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
     )
     meanings = F.array_distinct(F.transform("pairs", lambda p: F.struct(p["item"], p["doc"])))

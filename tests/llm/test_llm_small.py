@@ -140,6 +140,15 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()) == [(i, i) for i in range(6)]
 
 
+def test_items_of_numbers_and_short_items_are_found_as_they_are(spark):
+    items = [(1, "Find the next number: 2, 4, 8, 16, 32"), (2, "What is 12 + 34 * 56 - 78 + 90?"), (3, "Solve 17 * 23"), (4, "")]
+    bench = frame(spark, items, "item_id long, text string")
+    docs = [(i, f"{prose(i, 20)}. {t} {prose(50 + i, 20)}") for i, t in items]
+    docs += [(5, f"{prose(5, 20)} What is 12 + 34 * 56 - 78 + 91? {prose(6, 9)}"), (6, "Solve 17 * 24"), (7, None)]
+    got = [(r.doc_id, r.item_id, r.coverage, r.changed_slots) for r in decontaminate.contaminated(frame(spark, docs, "doc_id long, text string"), bench).collect()]
+    assert sorted(got) == [(i, i, 1.0, 0) for i in (1, 2, 3)]
+
+
 def test_short_item_is_found_whole(spark):
     bench = frame(spark, [(1, "green ideas sleep very furiously")], "item_id long, text string")
     docs = frame(spark, [(1, "they say Green ideas sleep very furiously today", "en", "s", 0), (2, "green ideas sleep", "en", "s", 0)])
