@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, lines, lm, mixing, near_dup, pii, topk, toxicity, url_rules
+from . import chat, decontaminate, lines, lm, mixing, near_dup, pii, spelling, topk, toxicity, url_rules
 from .common import remainder, table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -202,6 +202,70 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("pii")).alias("spans"))
 
 
+RUN, DROP_EVERY, LEAST_LENGTH, LEAST_COUNT = "[A-Za-z\u00C0-\u00FF]+", 97, 5, 3
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+# crc32 by half bytes, low half first; its 16 table entries follow from four halvings of each index.
+SPELLING_SQL = rf"""
+WITH RECURSIVE bit0 AS (SELECT i, i::BIGINT AS c FROM range(16) r(i)),
+bit1 AS (SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END AS c FROM bit0),
+bit2 AS (SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END AS c FROM bit1),
+bit3 AS (SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END AS c FROM bit2),
+bit4 AS (SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END AS c FROM bit3),
+halves AS (SELECT list(c ORDER BY i) AS t FROM bit4),
+runs AS MATERIALIZED (
+  SELECT doc_id, run, count(*) AS times FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{RUN}')) AS run FROM documents
+  ) WHERE length(run) >= {LEAST_LENGTH} GROUP BY ALL
+),
+coded AS (SELECT doc_id, run, times, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS code FROM runs),
+hashed AS (
+  SELECT run, times, xor(list_reduce(
+    [4294967295] || flatten([[('0x' || code[2 * b])::BIGINT, ('0x' || code[2 * b - 1])::BIGINT] FOR b IN range(1, length(code) // 2 + 1)]),
+    lambda c, half: xor(c >> 4, t[1 + (xor(c, half) & 15)])), 4294967295) AS h
+  FROM coded, halves
+),
+words AS MATERIALIZED (
+  SELECT word, sum(times)::BIGINT AS n FROM (
+    SELECT times, CASE WHEN h % {DROP_EVERY} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed
+  ) WHERE length(word) >= {LEAST_LENGTH} GROUP BY word HAVING sum(times) >= {LEAST_COUNT}
+),
+cuts AS MATERIALIZED (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT *, unnest(range(length(word))) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON c.rest = w.word
+  UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON c.rest = w.word
+),
+best AS (SELECT word, count(*) AS n_near, max(near_n) AS best_n, arg_min(near, (-near_n, near)) AS best FROM pairs GROUP BY word),
+known AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * n THEN best END AS form, CASE WHEN best_n >= 2 * n THEN best_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+),
+walk AS (
+  SELECT word, form AS at FROM known WHERE form IS NOT NULL
+  UNION ALL SELECT walk.word, known.form FROM walk JOIN known ON known.word = walk.at WHERE known.form IS NOT NULL
+),
+ends AS (SELECT walk.word, walk.at AS root FROM walk JOIN known ON known.word = walk.at WHERE known.form IS NULL)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM known LEFT JOIN ends USING (word)
+"""
+
+
+def spelled_words(docs: DataFrame) -> DataFrame:
+    """Letter runs of the texts, one row per occurrence; of every 97th (by the hash of document and run) one letter is lost."""
+    lowered = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
+    runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("owner"), F.explode(F.regexp_extract_all(lowered, F.lit(RUN), F.lit(0))).alias("run"))
+    hashed = runs.where(F.length("run") >= LEAST_LENGTH).withColumn("h", F.crc32(F.concat_ws(":", "owner", "run").cast("binary")))
+    at = (F.col("h") % F.length("run")).cast("int")
+    lost = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    return hashed.select(F.when(F.col("h") % DROP_EVERY == 0, lost).otherwise(F.col("run")).alias("word"))
+
+
+@_register("op13_spelling", SPELLING_SQL)
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(spelled_words(table(spark, sf_dir, "documents")), LEAST_LENGTH, LEAST_COUNT)
+    return spelling.spelling_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def queries() -> dict[str, Plan]:
     return dict(QUERIES)
 
