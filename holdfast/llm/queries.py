@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, lines, lm, mixing, near_dup, pii, spelling, topk, toxicity, url_rules
+from holdfast.session import shared_folder
+
+from . import centroids, chat, decontaminate, lines, lm, mixing, near_dup, pii, shards, spelling, topk, toxicity, url_rules
 from .common import remainder, table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -202,6 +205,64 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("pii")).alias("spans"))
 
 
+SHARDS, SHUFFLE_SEED = 8, 20
+
+
+@_register("op11_sharding")
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/holdfast-shards-{uuid.uuid4().hex}"
+    written = shards.write_shards(table(spark, sf_dir, "documents"), path, SHARDS, SHUFFLE_SEED)
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
+    law, grown = F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return written.select("doc_id", shards.text_size().alias("size"), crc, law, "shard", "slot", grown)
+
+
+COMPONENTS, SCALE, CENTROIDS, ROUNDS, CENTROID_SEED = 64, 1024, 8, 10, 3
+
+
+def _round_sql(i: int) -> str:
+    return f"""
+near{i} AS MATERIALIZED (
+  SELECT row_no, arg_min(number, (d, number)) AS number, min(d) AS d FROM (
+    SELECT row_no, number, list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(v, c)])::BIGINT AS d FROM kept CROSS JOIN centroids{i}
+  ) GROUP BY row_no
+), means{i} AS (
+  SELECT number, list(mean ORDER BY place) AS c FROM (
+    SELECT number, place, floor(sum(x)::DOUBLE / count(*))::BIGINT AS mean
+    FROM (SELECT number, unnest(v) AS x, unnest(range({COMPONENTS})) AS place FROM kept JOIN near{i} USING (row_no)) GROUP BY number, place
+  ) GROUP BY number
+), centroids{i + 1} AS MATERIALIZED (
+  SELECT number, coalesce(means{i}.c, centroids{i}.c) AS c FROM centroids{i} LEFT JOIN means{i} USING (number)
+),"""
+
+
+CENTROIDS_SQL = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_no, vec_id, [floor({SCALE} * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE len(embedding) = {COMPONENTS} AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), centroids0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS number, v AS c FROM (SELECT v, sha256('{CENTROID_SEED}:' || coalesce(vec_id::VARCHAR, '')) AS h FROM kept)
+  QUALIFY number < {CENTROIDS}
+), {"".join(_round_sql(i) for i in range(ROUNDS))}
+last AS MATERIALIZED (
+  SELECT row_no, arg_min(number, (d, number)) AS number, min(d) AS d FROM (
+    SELECT row_no, number, list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(v, c)])::BIGINT AS d FROM kept CROSS JOIN centroids{ROUNDS}
+  ) GROUP BY row_no
+)
+SELECT vec_id, number::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY number))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM kept JOIN last USING (row_no) JOIN centroids{ROUNDS} USING (number)
+"""
+
+
+@_register("op12_centroids", CENTROIDS_SQL)
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", centroids.integer_vector("embedding", SCALE, COMPONENTS).alias("vector"))
+    found = centroids.centroid_clusters(vectors, "vec_id", COMPONENTS, CENTROIDS, ROUNDS, CENTROID_SEED)
+    written = F.array_join(F.col("centroid").cast("array<string>"), ",")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(written.cast("binary"), 256).alias("centroid_sha256"))
+
+
 RUN, DROP_EVERY, LEAST_LENGTH, LEAST_COUNT = "[A-Za-z\u00C0-\u00FF]+", 97, 5, 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
