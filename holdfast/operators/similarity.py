@@ -82,20 +82,60 @@ def set_key(bits: Column) -> Column:
     return F.md5(F.array_join(bits.cast("array<string>"), ","))
 
 
-def nearest_by_tanimoto(query: DataFrame, reference: DataFrame, query_id: str, reference_id: str, bits: str = "bits", by: Sequence[str] = (), steps: Sequence[float] = (0.8, 0.6, 0.45, 0.3, 0.15)) -> DataFrame:
+# Reference sets that hold a position above which it is hot, and rows of a hot position that one task joins.
+HOT_POSITION = 256
+SPLIT = 20_000
+# Longs of a position map, sketches per set, positions per sketch, sets that stand for a bucket of equal sketches.
+MAP_LONGS, SKETCHES, DRAWN, STAND_INS = 4, 8, 3, 16
+ROUNDING = 1e-12
+
+
+def position_map(bits: Column, longs: int = MAP_LONGS) -> list[Column]:
+    """Bit map of hashed positions: whatever is set in one map and not in the other stands for a position that is not shared."""
+
+    def long(i: int) -> Column:
+        def add(seen: Column, bit: Column) -> Column:
+            slot = F.pmod(F.xxhash64(bit), F.lit(64 * longs))
+            mark = F.call_function("shiftleft", F.lit(1).cast("bigint"), (slot % 64).cast("int"))
+            return F.when(F.floor(slot / 64) == i, seen.bitwiseOR(mark)).otherwise(seen)
+
+        return F.aggregate(bits, F.lit(0).cast("bigint"), add)
+
+    return [long(i) for i in range(longs)]
+
+
+def _map_names(side: str) -> list[str]:
+    return [f"{side}_map{i}" for i in range(MAP_LONGS)]
+
+
+def _maps(bits: Column, side: str) -> list[Column]:
+    return [m.alias(n) for m, n in zip(position_map(bits), _map_names(side), strict=True)]
+
+
+def most_shared(a: str, b: str, size_a: Column, size_b: Column) -> Column:
+    """Upper bound of the shared positions from the maps of both sides."""
+
+    def missing(x: str, y: str) -> Column:
+        return reduce(Column.__add__, [F.bit_count(F.col(m).bitwiseAND(F.bitwise_not(n))) for m, n in zip(_map_names(x), _map_names(y), strict=True)])
+
+    return F.least(size_a - missing(a, b), size_b - missing(b, a))
+
+
+def _of_shared(shared: Column, a: Column, b: Column) -> Column:
+    return shared.cast("double") / (a + b - shared).cast("double")
+
+
+def nearest_by_tanimoto(query: DataFrame, reference: DataFrame, query_id: str, reference_id: str, bits: str = "bits", by: Sequence[str] = (), hot_above: int = HOT_POSITION) -> DataFrame:
     """Exact nearest reference row of every query row, ties to the smallest reference id.
 
-    Equal sets are merged on both sides first, so groups of copies cost one row, and equal sets meet by
-    their key. The rest goes down the ``steps``: two sets of similarity s or more share one of the first
-    size - ceil(s * size) + 1 positions of a common order, rarest first, so only those are joined, and
-    only for queries without an answer yet. A query whose best candidate reaches the step is settled,
-    ties included; what is left after the last step is compared over all positions. A query sharing no
-    position with any reference row gets similarity 0 and the smallest reference id.
+    Equal sets are merged on both sides first, so groups of copies cost one row, and equal sets meet by their
+    key. The other queries meet reference sets in one join over the positions that few reference sets hold
+    (at most ``hot_above``); counting the meetings gives the similarity. Hot positions take no part in that:
+    :func:`_over_hot` reads them only for queries and sets that a bound leaves open. A query sharing no position
+    with any reference row gets similarity 0 and the smallest reference id.
     """
     by = list(by)
-    on = [*by, "bit"]
     q_rows = query.select(*by, query_id, bits).withColumn("q_set", set_key(F.col(bits)))
-    q = materialize(q_rows.groupBy(*by, "q_set").agg(F.any_value(bits).alias("q_bits")).withColumn("q_size", F.size("q_bits")))
     r = materialize(
         reference.select(*by, reference_id, bits)
         .withColumn("r_set", set_key(F.col(bits)))
@@ -103,49 +143,34 @@ def nearest_by_tanimoto(query: DataFrame, reference: DataFrame, query_id: str, r
         .agg(F.any_value(bits).alias("r_bits"), F.min(reference_id).alias("r_id"))
         .withColumn("r_size", F.size("r_bits"))
     )
-    r_index = r.select(*by, "r_set", "r_size", F.explode("r_bits").alias("bit"))
-    held = materialize(r_index.groupBy(*on).agg(F.count(F.lit(1)).alias("held")))
-
-    def placed(index: DataFrame, owner: str) -> DataFrame:
-        order = W.partitionBy(*by, owner).orderBy("held", "bit")
-        known = index.join(held, on, "left").withColumn("held", F.coalesce("held", F.lit(0)))
-        return materialize(known.withColumn("place", F.row_number().over(order)).drop("held"))
-
-    q_lead = placed(q.select(*by, "q_set", "q_size", F.explode("q_bits").alias("bit")), "q_set")
-    r_lead = placed(r_index, "r_set")
-
-    def best_of(pairs: DataFrame) -> DataFrame:
-        """Nearest of the candidates (by, q_set, r_set) of each query set."""
-        both = pairs.join(q.select(*by, "q_set", "q_bits"), [*by, "q_set"]).join(r.select(*by, "r_set", "r_bits", "r_id"), [*by, "r_set"])
-        sim = tanimoto(F.col("q_bits"), F.col("r_bits"))
-        top = both.select(*by, "q_set", F.struct((-sim).alias("minus"), F.col("r_id").alias("id")).alias("c"))
-        return top.groupBy(*by, "q_set").agg(F.min("c").alias("c")).select(*by, "q_set", (-F.col("c.minus")).alias("sim"), F.col("c.id").alias("near"))
-
-    equal = q.where("q_size > 0").join(r.select(*by, F.col("r_set").alias("q_set"), "r_id"), [*by, "q_set"])
-    best = [materialize(equal.select(*by, "q_set", F.lit(1.0).alias("sim"), F.col("r_id").alias("near")))]
-    left = materialize(q.where("q_size > 0").select(*by, "q_set").join(best[0], [*by, "q_set"], "left_anti"))
-    for s in steps:
-        if left.isEmpty():
-            break
-
-        def lead(index: DataFrame, size: str, s: float = s) -> DataFrame:
-            return index.where(F.col("place") <= F.col(size) - F.ceil(F.lit(s) * F.col(size) - F.lit(1e-9)) + 1)
-
-        near_size = F.least("q_size", "r_size") + F.lit(1e-9) >= F.lit(s) * F.greatest("q_size", "r_size")
-        asked = lead(q_lead, "q_size").join(left, [*by, "q_set"], "left_semi").drop("place")
-        pairs = asked.join(lead(r_lead, "r_size").drop("place"), on).where(near_size).select(*by, "q_set", "r_set").distinct()
-        best.append(materialize(best_of(pairs).where(F.col("sim") >= s)))
-        left = materialize(left.join(best[-1], [*by, "q_set"], "left_anti"))
-    pairs = q_lead.join(left, [*by, "q_set"], "left_semi").join(r_lead.select(*on, "r_set"), on).select(*by, "q_set", "r_set").distinct()
-    best.append(best_of(pairs))
-    found = reduce(DataFrame.unionByName, best)
-    lowest = r.groupBy(*by).agg(F.min("r_id").alias("lowest_id")) if by else None
+    twins = r.select(*by, F.col("r_set").alias("q_set"), F.col("r_id").alias("twin"))
+    q = q_rows.groupBy(*by, "q_set").agg(F.any_value(bits).alias("q_bits")).withColumn("q_size", F.size("q_bits"))
+    q = materialize(q.where("q_size > 0").join(twins, [*by, "q_set"], "left"))
+    open_ = q.where("twin IS NULL").drop("twin")
+
+    on = [*by, "bit"]
+    index = r.select(*by, "r_set", "r_size", "r_id", F.explode("r_bits").alias("bit"))
+    held = index.groupBy(*on).agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > hot_above)
+    hot = materialize(held)
+    any_hot = not hot.isEmpty()
+    if any_hot:
+        index = index.join(hot, on, "left_anti")
+    asked = open_.select(*by, "q_set", "q_size", F.explode("q_bits").alias("bit"))
+    met = asked.join(index, on).groupBy(*by, "q_set", "r_set").agg(
+        F.count(F.lit(1)).alias("shared"), F.max("q_size").alias("q_size"), F.max("r_size").alias("r_size"), F.min("r_id").alias("r_id")
+    )
+    met = met.withColumn("sim", _of_shared(F.col("shared"), F.col("q_size"), F.col("r_size")))
+    scored = _over_hot(open_, r, materialize(met), hot, by) if any_hot else met
+    top = scored.groupBy(*by, "q_set").agg(F.min(F.struct((-F.col("sim")).alias("minus"), F.col("r_id").alias("id"))).alias("c"))
+    found = top.select(*by, "q_set", (-F.col("c.minus")).alias("sim"), F.col("c.id").alias("near"))
+    found = found.unionByName(q.where("twin IS NOT NULL").select(*by, "q_set", F.lit(1.0).alias("sim"), F.col("twin").alias("near")))
+
     out = q_rows.select(*by, query_id, "q_set").join(found, [*by, "q_set"], "left")
-    if lowest is None:
-        fallback = r.agg(F.min("r_id").alias("v")).scalar()
-    else:
-        out = out.join(lowest, by, "left")
+    if by:
+        out = out.join(r.groupBy(*by).agg(F.min("r_id").alias("lowest_id")), by, "left")
         fallback = F.col("lowest_id")
+    else:
+        fallback = r.agg(F.min("r_id").alias("v")).scalar()
     return out.select(
         *by,
         query_id,
@@ -154,35 +179,144 @@ def nearest_by_tanimoto(query: DataFrame, reference: DataFrame, query_id: str, r
     )
 
 
+def _over_hot(q: DataFrame, r: DataFrame, met: DataFrame, hot: DataFrame, by: list[str]) -> DataFrame:
+    """Every pair (by, q_set, r_set) that can be nearest, with its similarity, where some positions are hot.
+
+    ``met`` has the pairs that share other positions, with their number: a first lower bound of each query's
+    best. Sketches of the hot positions find further candidates for it. Then a pair of ``met`` is looked at only
+    if all hot positions could lift it to the bound, and hot lists are read only at the places of a query from
+    which the bound can still be reached (see :func:`_hot_candidates`).
+    """
+    key = [*by, "q_set"]
+
+    def hot_part(sets: DataFrame, owner: str, bits: str) -> DataFrame:
+        index = sets.select(*by, owner, F.explode(bits).alias("bit")).join(hot, [*by, "bit"])
+        return index.groupBy(*by, owner).agg(F.sort_array(F.collect_list(F.struct("held", "bit"))).alias("hot"))
+
+    def looked_at(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(q.select(*key, "q_bits"), key).join(r.select(*by, "r_set", "r_bits", "r_id"), [*by, "r_set"])
+        return both.select(*key, "r_set", "r_id", tanimoto(F.col("q_bits"), F.col("r_bits")).alias("sim"))
+
+    q_hot = materialize(q.select(*key, "q_size").join(hot_part(q, "q_set", "q_bits"), key))
+    r_hot = materialize(r.select(*by, "r_set", "r_size", "r_id").join(hot_part(r, "r_set", "r_bits"), [*by, "r_set"]))
+    # Of the sets with the same hot positions the smallest is the nearest to a query that shares no other position with them.
+    first = F.min(F.struct("r_size", "r_id", "r_set")).alias("first")
+    classes = materialize(r_hot.groupBy(*by, "hot").agg(first).select(*by, "hot", "first.*"))
+
+    drawn = materialize(looked_at(_same_sketch(q_hot, classes, by)))
+    bound = met.select(*key, "sim").unionByName(drawn.select(*key, "sim")).groupBy(*key).agg(F.max("sim").alias("bound"))
+    bound = materialize(bound)
+    asked = q_hot.join(bound, key, "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
+
+    q_count = q_hot.select(*key, F.size("hot").alias("q_hot"))
+    r_count = r_hot.select(*by, "r_set", F.size("hot").alias("r_hot"))
+    lifted = met.join(bound, key).join(q_count, key, "left").join(r_count, [*by, "r_set"], "left")
+    reach = F.col("shared") + F.least(F.coalesce("q_hot", F.lit(0)), F.coalesce("r_hot", F.lit(0)))
+    lifted = lifted.where(_of_shared(reach, F.col("q_size"), F.col("r_size")) + ROUNDING >= F.col("bound"))
+    pairs = lifted.select(*key, "r_set").unionByName(_hot_candidates(asked, classes, by)).distinct()
+    return looked_at(pairs)
+
+
+def _same_sketch(q_hot: DataFrame, classes: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs that share a sketch: the positions that a seeded hash puts first. A bucket lends at most ``STAND_INS`` sets, as this is for a bound only."""
+    at = [*by, "seed", "sketch"]
+
+    def sketched(sets: DataFrame) -> DataFrame:
+        def first(i: int) -> Column:
+            order = F.array_sort(F.transform("hot", lambda h: F.struct(F.xxhash64(F.lit(i), h["bit"]).alias("h"))))
+            return F.struct(F.lit(i).alias("seed"), F.xxhash64(F.slice(order, 1, DRAWN)).alias("sketch"))
+
+        return sets.select(*[c for c in sets.columns if c != "hot"], F.inline(F.array(*[first(i) for i in range(SKETCHES)])))
+
+    place = F.row_number().over(W.partitionBy(*at).orderBy("r_size", "r_id", "r_set"))
+    few = sketched(classes).withColumn("place", place).where(F.col("place") <= STAND_INS)
+    return sketched(q_hot).join(few, at).select(*by, "q_set", "r_set").distinct()
+
+
+def _hot_candidates(asked: DataFrame, classes: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs that share hot positions only and may reach the query's ``bound``.
+
+    Hot positions are numbered from the rarest. If place p of a query is the first that a set shares, no more than
+    the places from p on are shared: this bounds the places to read and the sizes of the sets to meet there.
+    Lists are parted by position and doubling of the set size, long ones by salt too; a meeting is kept
+    if the places left on both sides and the position maps allow the bound.
+    """
+    longest = classes.agg(F.max("r_size")).first()[0] or 1
+
+    def doubling(size: Column) -> Column:
+        return F.floor(F.log2(size.cast("double")))
+
+    def opened(sets: DataFrame, side: str, keep: Sequence[str]) -> DataFrame:
+        bits = F.transform("hot", lambda h: h["bit"])
+        held = sets.select(*keep, F.size("hot").alias(f"{side}_hot"), *_maps(bits, side), "hot")
+        kept = [c for c in held.columns if c != "hot"]
+        out = held.select(*kept, F.posexplode("hot").alias(f"{side}_place", "entry"))
+        return out.select(*kept, f"{side}_place", "entry.bit", F.ceil(F.col("entry.held") / SPLIT).alias("salts"))
+
+    left = F.col("q_hot") - F.col("q_place")
+    largest = F.when(F.col("bound") > 0, left * (1 + 1 / F.col("bound")) - F.col("q_size") + 1e-6).otherwise(F.lit(float(longest)))
+    low = doubling(F.greatest(F.ceil(F.col("bound") * F.col("q_size") - 1e-6), F.lit(1)))
+    high = doubling(F.least(largest, F.lit(float(longest))))
+    mine = opened(asked, "q", [*by, "q_set", "q_size", "bound"])
+    mine = mine.where((left / F.col("q_size") + ROUNDING >= F.col("bound")) & (largest >= 1)).where(low <= high)
+    mine = mine.withColumn("doubling", F.explode(F.sequence(low, high))).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)))
+    theirs = opened(classes, "r", [*by, "r_set", "r_size"])
+    theirs = theirs.withColumn("doubling", doubling(F.col("r_size"))).withColumn("salt", F.pmod(F.xxhash64("r_set"), F.col("salts"))).drop("salts")
+    places = F.least(F.col("q_hot") - F.col("q_place"), F.col("r_hot") - F.col("r_place"))
+    shared = F.least(places, most_shared("q", "r", F.col("q_hot"), F.col("r_hot")))
+    close = _of_shared(shared, F.col("q_size"), F.col("r_size")) + ROUNDING >= F.col("bound")
+    return mine.drop("salts").join(theirs, [*by, "bit", "doubling", "salt"]).where((shared > 0) & close).select(*by, "q_set", "r_set").distinct()
+
+
 def rare_first(df: DataFrame, keys: Sequence[str], owner: str, bits: str) -> DataFrame:
-    """Positions of each set numbered from the rarest in its group: (keys, owner, size, bit, place)."""
-    index = df.select(*keys, owner, F.size(bits).alias("size"), F.explode(bits).alias("bit"))
+    """Positions of each set numbered from the rarest in its group: (keys, owner, size, bit, place, held), and its maps."""
+    wide = df.select(*keys, owner, F.size(bits).alias("size"), *_maps(F.col(bits), "own"), bits)
+    index = wide.select(*[c for c in wide.columns if c != bits], F.explode(bits).alias("bit"))
     held = index.groupBy(*keys, "bit").agg(F.count(F.lit(1)).alias("held"))
     order = W.partitionBy(*keys, owner).orderBy("held", "bit")
-    return index.join(held, [*keys, "bit"]).withColumn("place", F.row_number().over(order)).drop("held")
+    return index.join(held, [*keys, "bit"]).withColumn("place", F.row_number().over(order))
 
 
-def similar_sets(sets: DataFrame, keys: Sequence[str], owner: str, bits: str, least: float, slack: float = 0.0) -> DataFrame:
-    """All pairs owner_a < owner_b of one group with Tanimoto at least ``least`` (less ``slack``).
+def similar_candidates(sets: DataFrame, keys: Sequence[str], owner: str, bits: str, least: float, slack: float = 0.0) -> DataFrame:
+    """Pairs owner_a < owner_b of one group that may reach a Tanimoto of ``least``.
 
-    Two sets that similar share one of the first size - ceil(least * size) + 1
-    positions of a common order, so only those positions, rarest first, are joined.
+    Two sets that similar share one of the first size - ceil(least * size) + 1 positions of a common order,
+    so only those, rarest first, are joined. A meeting is kept if both sizes, the positions left on both sides
+    and the position maps still allow ``least``. Positions that many sets lead with are salted.
     """
     keys = list(keys)
     floor = least - slack
     lead = rare_first(sets, keys, owner, bits).where(
         F.col("place") <= F.col("size") - F.ceil(F.lit(floor) * F.col("size") - F.lit(1e-9)) + 1
     )
-    a = lead.select(*keys, "bit", F.col(owner).alias("owner_a"), F.col("size").alias("size_a"))
-    b = lead.select(*keys, "bit", F.col(owner).alias("owner_b"), F.col("size").alias("size_b"))
-    near_size = (F.least("size_a", "size_b") + F.lit(1e-9)) >= F.lit(floor) * F.greatest("size_a", "size_b")
-    pairs = a.join(b, [*keys, "bit"]).where((F.col("owner_a") < F.col("owner_b")) & near_size)
-    pairs = pairs.select(*keys, "owner_a", "owner_b").distinct()
+    salts = F.ceil(F.col("held") / SPLIT)
+
+    def side(x: str) -> list[Column]:
+        own = [F.col(n).alias(m) for n, m in zip(_map_names("own"), _map_names(x), strict=True)]
+        return [*keys, "bit", F.col(owner).alias(f"owner_{x}"), F.col("size").alias(f"size_{x}"), F.col("place").alias(f"place_{x}"), *own]
+
+    a = lead.select(*side("a"), F.pmod(F.xxhash64(owner), salts).alias("salt"))
+    b = lead.select(*side("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("salt"))
+    size_a, size_b = F.col("size_a"), F.col("size_b")
+    needed = F.lit(floor / (1 + floor)) * (size_a + size_b) - F.lit(1e-9)
+    near_size = (F.least(size_a, size_b) + F.lit(1e-9)) >= F.lit(floor) * F.greatest(size_a, size_b)
+    # The first shared position is in the lead of both; from there on no more than the places left can be shared.
+    left = F.least(size_a - F.col("place_a"), size_b - F.col("place_b")) + 1
+    first = near_size & (left >= needed)
+    close = most_shared("a", "b", size_a, size_b) >= needed
+    pairs = a.join(b, [*keys, "bit", "salt"]).where((F.col("owner_a") < F.col("owner_b")) & first & close)
+    return pairs.select(*keys, "owner_a", "owner_b").distinct()
+
+
+def similar_sets(sets: DataFrame, keys: Sequence[str], owner: str, bits: str, least: float, slack: float = 0.0) -> DataFrame:
+    """All pairs owner_a < owner_b of one group with Tanimoto at least ``least`` (less ``slack``): candidates, then verified."""
+    keys = list(keys)
+    pairs = similar_candidates(sets, keys, owner, bits, least, slack)
     left = sets.select(*keys, F.col(owner).alias("owner_a"), F.col(bits).alias("bits_a"))
     right = sets.select(*keys, F.col(owner).alias("owner_b"), F.col(bits).alias("bits_b"))
     joined = pairs.join(left, [*keys, "owner_a"]).join(right, [*keys, "owner_b"])
     out = joined.withColumn("similarity", tanimoto(F.col("bits_a"), F.col("bits_b")))
-    return out.where(F.col("similarity") >= floor).select(*keys, "owner_a", "owner_b", "similarity")
+    return out.where(F.col("similarity") >= least - slack).select(*keys, "owner_a", "owner_b", "similarity")
 
 
 def identity_flags(query: DataFrame, reference: DataFrame, keys: dict[str, tuple[Column, Column]]) -> DataFrame:

@@ -306,25 +306,27 @@ LEFT JOIN (SELECT context, group_key, configuration, count(*) AS n FROM edge_lon
 LEFT JOIN (SELECT context, group_key, configuration, count(*) AS n FROM participants GROUP BY ALL) p ON p.context = g.context AND p.group_key = g.group_key AND p.configuration = c.configuration"""
 
 
-def _cliffs(spark, d):
-    """Pairs with a group, and the edges among them."""
+def _cliff_rows(spark, d):
+    """Pairs, and the sets of the entities with a group."""
     sets = similarity.shingle_bits(entities(spark, d).where(~F.col("is_solo")), "words", 2, SPACE, unit="char").select("entity", "group_key", "bits")
-    sets = materialize(sets)
-    pairs = materialize(targets(spark, d, False).select("entity", "context", "target"))
-    members = pairs.join(sets.select("entity", "group_key"), "entity")
-    return members, materialize(cliffs.cliff_edges(pairs, sets, "entity", "context", "group_key", "target"))
+    return targets(spark, d, False).select("entity", "context", "target"), materialize(sets)
+
+
+def _cliff_counts(spark, d):
+    return cliffs.CliffCounts(*_cliff_rows(spark, d), "entity", "context", "group_key", "target")
 
 
 @query("cliff_edges", "SELECT * FROM edges", ["target_a", "target_b", "gap", "similarity"])
 def cliff_edges(spark, d):
     """Alike entities of one group and context with a large gap of the target."""
-    return _cliffs(spark, d)[1]
+    pairs, sets = _cliff_rows(spark, d)
+    return cliffs.cliff_edges(materialize(pairs), sets, "entity", "context", "group_key", "target")
 
 
 @query("edge_participants", "SELECT DISTINCT configuration, context, entity FROM participants")
 def edge_participants(spark, d):
     """Distinct end points of the edges of each configuration."""
-    return cliffs.edge_participants(cliffs.edge_configurations(_cliffs(spark, d)[1]), ["configuration", "context"])
+    return cliffs.edge_participants(cliffs.edge_configurations(cliff_edges(spark, d)), ["configuration", "context"])
 
 
 @query(
@@ -350,9 +352,8 @@ def within_group_pairs(spark, d):
     ["least_similarity", "least_gap", "edge_fraction", "participant_fraction"],
 )
 def cliff_group_burden(spark, d):
-    """Burden of every group, those without an edge included."""
-    members, edges = _cliffs(spark, d)
-    return cliffs.cliff_group_summary(edges, members, "context", "group_key", "entity")
+    """Burden of every group, those without an edge included, counted without emitting edges."""
+    return _cliff_counts(spark, d).group_summary()
 
 
 def _roll(keys: str) -> str:
@@ -389,7 +390,8 @@ _MAES = ["participant_mae", "other_mae", "delta_mae"]
 
 
 def _cliff_error(spark, d):
-    return cliffs.cliff_error(predictions(spark, d), _cliffs(spark, d)[1], "context", "entity")
+    involved = _cliff_counts(spark, d).participants().select("configuration", "context", "entity")
+    return cliffs.participant_error(predictions(spark, d), involved, "context", "entity")
 
 
 @query("cliff_error_by_context", "SELECT * FROM cliff_errors", _MAES)

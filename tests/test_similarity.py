@@ -24,11 +24,11 @@ def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 0.0
 
 
-@pytest.mark.parametrize("steps", [(0.8, 0.6, 0.45, 0.3, 0.15), (), (0.9, 0.1)])
-def test_nearest_is_exact(spark, steps):
+@pytest.mark.parametrize("hot_above", [0, 5, 256])
+def test_nearest_is_exact(spark, hot_above):
     q, r = sets(60, 1), sets(80, 2)
     got = similarity.nearest_by_tanimoto(
-        spark.createDataFrame(q, "qid long, bits array<long>"), spark.createDataFrame(r, "rid long, bits array<long>"), "qid", "rid", steps=steps
+        spark.createDataFrame(q, "qid long, bits array<long>"), spark.createDataFrame(r, "rid long, bits array<long>"), "qid", "rid", hot_above=hot_above
     ).collect()
     assert len(got) == len(q)
     for row in got:
