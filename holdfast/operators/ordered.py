@@ -1,10 +1,12 @@
 """Ordered sums, ranks, row numbers and exact quantiles that never put one large group into one task.
 
 Groups of up to ``HOT_ROWS`` rows take a plain window or aggregate: one
-shuffle. A larger group is cut into order-preserving buckets: sums run inside
-a bucket, and the totals of the group's earlier buckets are added. A count per
+shuffle. A larger group is cut into order-preserving buckets of about equally
+many rows, at splitters from a quantile sketch of the group: sums run inside a
+bucket, and the totals of the group's earlier buckets are added. A count per
 group, combined on the map side, tells which groups are large; the list of
-them is written, and the optimizer chooses the join by its size.
+them and their splitters are written, and the optimizer chooses the joins by
+their size.
 
 Order values that are no plain numbers have one place on either path, that of
 a Spark sort: missing first, then minus infinity, the numbers, infinity, NaN.
@@ -12,6 +14,7 @@ a Spark sort: missing first, then minus infinity, the numbers, infinity, NaN.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -26,12 +29,15 @@ BUCKET = "order_bucket"
 # Rows of a group that one task sorts or holds with ease.
 HOT_ROWS = 1_000_000
 
+# Least buckets of a large group; more where it is more than so many parts of HOT_ROWS.
+BUCKETS = 64
+
 
 class Hot:
     """Large groups of a table: none, some (a written list of keys), or the whole table."""
 
-    def __init__(self, keys: Sequence[str], groups: DataFrame | None = None, everything: bool = False):
-        self.keys, self.groups, self.everything = list(keys), groups, everything
+    def __init__(self, keys: Sequence[str], groups: DataFrame | None = None, everything: bool = False, buckets: int = BUCKETS):
+        self.keys, self.groups, self.everything, self.buckets = list(keys), groups, everything, buckets
 
     def usual(self, df: DataFrame) -> DataFrame | None:
         if self.everything:
@@ -58,27 +64,47 @@ class Hot:
 def find_hot(df: DataFrame, keys: Sequence[str], hot_above: int = HOT_ROWS) -> Hot:
     """Look for groups above ``hot_above`` rows. Runs one count over the rows; only its outcome reaches the driver."""
     keys = list(keys)
+
+    def cut(rows: int) -> int:
+        return max(BUCKETS, -(-4 * rows // hot_above))
+
     if not keys:
-        return Hot(keys, everything=df.count() > hot_above)
-    groups = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_above).select(*keys))
-    return Hot(keys, None if groups.isEmpty() else groups)
+        rows = df.count()
+        return Hot(keys, everything=rows > hot_above, buckets=cut(rows))
+    groups = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_n")).where(F.col("group_n") > hot_above))
+    most = groups.agg(F.max("group_n")).first()[0]
+    return Hot(keys) if most is None else Hot(keys, groups.select(*keys), buckets=cut(most))
 
 
-def numeric_bucket(value: Column, steps: int = 16) -> Column:
-    """Order-preserving bucket of a number: each doubling of its size is cut into ``steps`` parts.
+def balanced_buckets(df: DataFrame, keys: Sequence[str], order: str, buckets: int) -> DataFrame:
+    """Add the order-preserving ``order_bucket`` of a number: about as many rows of a group in each.
 
-    Missing, infinite and NaN values have a bucket each, where a sort puts them.
+    The splitters come from one quantile sketch per group, put together from the tasks' sketches; equal values
+    share a bucket. Missing, infinite and NaN values have a bucket each, where a sort puts them.
     """
-    x = value.cast("double")
+    keys = list(keys)
+    if not keys:
+        return balanced_buckets(df.withColumn("whole_table", F.lit(0)), ["whole_table"], order, buckets).drop("whole_table")
+    x = F.col(order).cast("double")
     least, most = F.lit(float("-inf")), F.lit(float("inf"))
     plain = x.isNotNull() & ~F.isnan(x) & (x != least) & (x != most)
-    size = F.when(plain & (x != 0), F.abs(x)).otherwise(1.0)
-    power = F.floor(F.log2(size))
-    part = F.floor((size / F.pow(F.lit(2.0), power.cast("double")) - 1) * steps)
-    bucket = (power + 1100) * steps + part
-    end = F.lit(5000 * steps).cast("bigint")
-    special = F.when(x.isNull(), -end - 1).when(F.isnan(x), end + 1).when(x == least, -end).when(x == most, end)
-    return F.coalesce(special, F.when(x == 0, F.lit(0).cast("bigint")).when(x > 0, bucket).otherwise(-bucket))
+    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    sketched = df.where(plain).groupBy(*keys).agg(F.percentile_approx(x, shares, F.lit(max(10_000, 50 * buckets))).alias("splitters"))
+    # Two steps of comparisons instead of one over all splitters: first with every n-th of them.
+    step = math.isqrt(buckets) + 1
+    coarse = F.transform(F.sequence(F.lit(0), F.size("splitters") - 1, F.lit(step)), lambda i: F.get("splitters", i))
+    splitters = materialize(sketched.select(*keys, "splitters", coarse.alias("coarse")))
+    joined = df.join(splitters, keys, "left")
+
+    def up_to(values: Column) -> Column:
+        return F.size(F.filter(values, lambda s: s <= x))
+
+    ahead = up_to(F.col("coarse"))
+    start = F.greatest(ahead - 1, F.lit(0)) * step
+    number = F.when(ahead == 0, F.lit(0)).otherwise(start + up_to(F.slice("splitters", start + 1, F.lit(step)))) + 1
+    end = F.lit(buckets + 1)
+    bucket = F.when(x.isNull(), -1).when(F.isnan(x), end + 1).when(x == least, 0).when(x == most, end).otherwise(number)
+    return joined.select(*df.columns, bucket.alias(BUCKET))
 
 
 def ordered_sums(
@@ -92,14 +118,13 @@ def ordered_sums(
     """Add, per name in ``sums``, ``<name>_upto`` (sum over all rows of the group with an order
     value at most this row's, ties included) and ``<name>_total`` (sum over the group).
 
-    ``bucket`` must not decrease with ``order``; by default it comes from :func:`numeric_bucket`.
+    ``bucket`` must not decrease with ``order``; by default it comes from :func:`balanced_buckets`.
     Pre-aggregate to one row per (keys, order) where ties may be many. ``hot`` is the outcome of
     :func:`find_hot` when the caller has it already.
     """
     keys = list(keys)
     hot = hot or find_hot(df, keys)
-    cut = numeric_bucket(F.col(order)) if bucket is None else bucket
-    return hot.split(df, lambda x: _windowed(x, keys, order, sums), lambda x: _bucketed(x, keys, order, sums, cut))
+    return hot.split(df, lambda x: _windowed(x, keys, order, sums), lambda x: _bucketed(x, keys, order, sums, bucket, hot.buckets))
 
 
 def _windowed(df: DataFrame, keys: list[str], order: str, sums: Mapping[str, Column]) -> DataFrame:
@@ -112,8 +137,9 @@ def _windowed(df: DataFrame, keys: list[str], order: str, sums: Mapping[str, Col
     )
 
 
-def _bucketed(df: DataFrame, keys: list[str], order: str, sums: Mapping[str, Column], bucket: Column) -> DataFrame:
-    scoped = df.select("*", bucket.alias(BUCKET), *[e.alias(f"{n}_w") for n, e in sums.items()])
+def _bucketed(df: DataFrame, keys: list[str], order: str, sums: Mapping[str, Column], bucket: Column | None, buckets: int) -> DataFrame:
+    cut = balanced_buckets(df, keys, order, buckets) if bucket is None else df.withColumn(BUCKET, bucket)
+    scoped = cut.select("*", *[e.alias(f"{n}_w") for n, e in sums.items()])
     if not keys:
         keys, scoped = ["whole_table"], scoped.withColumn("whole_table", F.lit(0))
     cell = [*keys, BUCKET]
@@ -186,7 +212,7 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Want
     rows = df.where(F.col(value).isNotNull()).select(*keys, value)
     specs = {n: s if isinstance(s, tuple) else (s, _same) for n, s in wanted.items()}
     hot = hot or find_hot(rows, keys, hot_above)
-    out = hot.split(rows, lambda x: _plain_quantiles(x, keys, value, specs), lambda x: _bucketed_quantiles(x, keys, value, specs))
+    out = hot.split(rows, lambda x: _plain_quantiles(x, keys, value, specs), lambda x: _bucketed_quantiles(x, keys, value, specs, hot.buckets))
     return out.withColumnRenamed("n_group", count) if count else out.drop("n_group")
 
 
@@ -208,10 +234,10 @@ def _plain_quantiles(rows: DataFrame, keys: list[str], value: str, specs: Mappin
     return found.select(*keys, *[picks[n] for n in specs], "n_group")
 
 
-def _bucketed_quantiles(rows: DataFrame, keys: list[str], value: str, specs: Mapping[str, tuple[float, Callable]]) -> DataFrame:
+def _bucketed_quantiles(rows: DataFrame, keys: list[str], value: str, specs: Mapping[str, tuple[float, Callable]], buckets: int) -> DataFrame:
     """Quantiles from the distinct values next to each wanted place, found by ordered sums."""
     counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    placed = _bucketed(counts, keys, value, {"n": F.col("n")}, numeric_bucket(F.col(value)))
+    placed = _bucketed(counts, keys, value, {"n": F.col("n")}, None, buckets)
     first, last = F.col("n_upto") - F.col("n"), F.col("n_upto") - 1
     ends, parts, covers = [], [], F.lit(False)
     for name, (p, fn) in specs.items():

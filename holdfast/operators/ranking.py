@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import TOP_K
 from ..functions.scalar import ratio
-from ..functions.seeding import hash_long, hash_unit, seeded_key
+from ..functions.seeding import hash_long, seeded_key
 from ..session import materialize
+from .bootstrap import poisson_metrics
 from .ordered import Hot, find_hot, number_rows, ordered_sums
 
 
@@ -102,19 +102,6 @@ def resample(df: DataFrame, keys: Sequence[str], row_key: str, replicates: int,
     return rows.join(times, [*keys, "row_index"]).drop("row_index", "group_rows")
 
 
-def poisson_resample(df: DataFrame, row_key: str, replicates: int, seed: int) -> DataFrame:
-    """Large-sample form: each row draws its own Poisson(1) count per replicate, without any shuffle."""
-    steps, total, term = [], 0.0, math.exp(-1)
-    for k in range(12):
-        total += term
-        steps.append(total)
-        term /= k + 1
-    u = hash_unit(seeded_key(F.lit(seed), F.col("replicate"), F.col(row_key)))
-    times = F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: s <= F.col("u"))).cast("bigint")
-    out = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    return out.withColumn("u", u).withColumn("times", times).drop("u").where(F.col("times") > 0)
-
-
 def replicate_metrics(drawn: DataFrame, keys: Sequence[str], label: str, scores: Mapping[str, str], hot: Hot | None = None) -> DataFrame:
     """AUROC and average precision of every model on every replicate; one resample serves all models.
 
@@ -140,27 +127,36 @@ def _limits(values: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def _draw(df: DataFrame, keys: Sequence[str], row_key: str, label: str, scores: Mapping[str, str], replicates: int, seed: int, first: int, method: str, hot: Hot | None) -> DataFrame:
+    """Metrics per model and replicate: with Poisson weights, or on resamples of the cohort's size."""
+    if method == "poisson":
+        return poisson_metrics(df, keys, row_key, label, scores, replicates, seed, first)
+    return replicate_metrics(resample(df, keys, row_key, replicates, seed, first), keys, label, scores, hot)
+
+
 def bootstrap_metric(df: DataFrame, keys: Sequence[str], row_key: str, label: str, scores: Mapping[str, str], replicates: int, seed: int, method: str = "multinomial") -> DataFrame:
     """Estimate and percentile interval of each model's metrics; one-class replicates are left out.
 
-    A one-class cohort stays, with a missing estimate and limits and no replicates.
+    ``method`` is "multinomial" (resamples of the cohort's size, rows x replicates shuffled) or "poisson"
+    (weight vectors, see :mod:`.bootstrap`). A one-class cohort stays, with a missing estimate and limits and no replicates.
     """
     keys = list(keys)
     hot = find_hot(df, keys).within()  # a replicate never holds more rows than its cohort
     point = _tall(ranking_metrics(melt_scores(df, [*keys, label], scores), [*keys, "model"], label, "score", hot=hot), [*keys, "model"])
-    drawn = poisson_resample(df, row_key, replicates, seed) if method == "poisson" else resample(df, keys, row_key, replicates, seed)
-    values = _tall(replicate_metrics(drawn, keys, label, scores, hot).where(F.col("auroc").isNotNull()), [*keys, "model"])
+    drawn = _draw(df, keys, row_key, label, scores, replicates, seed, 0, method, hot)
+    values = _tall(drawn.where(F.col("auroc").isNotNull()), [*keys, "model"])
     at = [*keys, "model", "metric"]
     out = point.withColumnRenamed("value", "estimate").join(_limits(values, at), at, "left")
     return out.withColumn("replicates", F.coalesce("replicates", F.lit(0)))
 
 
-def paired_bootstrap(df: DataFrame, keys: Sequence[str], row_key: str, label: str, a: str, b: str, replicates: int, seed: int, rounds: int = 50) -> DataFrame:
+def paired_bootstrap(df: DataFrame, keys: Sequence[str], row_key: str, label: str, a: str, b: str, replicates: int = 5000, seed: int = 0, rounds: int = 50, method: str = "poisson") -> DataFrame:
     """Difference of two scores' metrics on common resamples, with the rejected one-class replicates counted.
 
     Replicates are drawn in rounds of ``replicates`` for the cohorts that still lack valid ones, and the
-    first ``replicates`` valid ones are used. After ``rounds`` rounds a cohort keeps what it has, which
-    its ``replicates`` column tells. A one-class cohort stays, with its status and missing figures.
+    first ``replicates`` valid ones are used. After ``rounds`` rounds a cohort keeps what it has, with the
+    status "incomplete". A one-class cohort stays, with its status and missing figures. ``method`` as in
+    :func:`bootstrap_metric`.
     """
     keys = list(keys)
     scores = {"a": a, "b": b}
@@ -180,8 +176,8 @@ def paired_bootstrap(df: DataFrame, keys: Sequence[str], row_key: str, label: st
     estimate = _tall(points.withColumn("status", status), [*keys, "status"]).withColumnRenamed("value", "difference")
     lacking, gaps = points.where(F.col("auroc").isNotNull()).select(*keys), None
     for turn in range(rounds):
-        drawn = resample(df.join(lacking, keys, "left_semi"), keys, row_key, replicates, seed, turn * replicates)
-        found = difference(replicate_metrics(drawn, keys, label, scores, hot), ["replicate"])
+        drawn = _draw(df.join(lacking, keys, "left_semi"), keys, row_key, label, scores, replicates, seed, turn * replicates, method, hot)
+        found = difference(drawn, ["replicate"])
         gaps = found if gaps is None else gaps.unionByName(found)
         valid = gaps.groupBy(*keys).agg(F.count("auroc").alias("valid")).where(F.col("valid") < replicates)
         lacking = materialize(valid.select(*keys))
@@ -196,4 +192,6 @@ def paired_bootstrap(df: DataFrame, keys: Sequence[str], row_key: str, label: st
         F.count_if(F.col("auroc").isNull() & (F.col("replicate") < F.col("last_used"))).alias("rejected")
     )
     out = estimate.join(limits, [*keys, "metric"], "left").join(rejected, keys, "left")
-    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("replicates", "rejected")})
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("replicates", "rejected")})
+    lacks = (F.col("status") == "estimable") & (F.col("replicates") < replicates)
+    return out.withColumn("status", F.when(lacks, "incomplete").otherwise(F.col("status")))

@@ -219,12 +219,12 @@ def _over_hot(q: DataFrame, r: DataFrame, met: DataFrame, hot: DataFrame, by: li
 
 def _same_sketch(q_hot: DataFrame, classes: DataFrame, by: list[str]) -> DataFrame:
     """Pairs that share a sketch: the positions that a seeded hash puts first. A bucket lends at most ``STAND_INS`` sets, as this is for a bound only."""
-    at = [*by, "seed", "sketch"]
+    at = [*by, "sketch_no", "sketch"]
 
     def sketched(sets: DataFrame) -> DataFrame:
         def first(i: int) -> Column:
             order = F.array_sort(F.transform("hot", lambda h: F.struct(F.xxhash64(F.lit(i), h["bit"]).alias("h"))))
-            return F.struct(F.lit(i).alias("seed"), F.xxhash64(F.slice(order, 1, DRAWN)).alias("sketch"))
+            return F.struct(F.lit(i).alias("sketch_no"), F.xxhash64(F.slice(order, 1, DRAWN)).alias("sketch"))
 
         return sets.select(*[c for c in sets.columns if c != "hot"], F.inline(F.array(*[first(i) for i in range(SKETCHES)])))
 

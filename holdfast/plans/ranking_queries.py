@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from ..functions.constants import SEEDS, TOP_K
 from ..functions.scalar import any_active
 from ..functions.seeding import hash_unit, seeded_key
 from ..operators import contrasts, joins, metrics, ranking, reshape
+from ..operators.bootstrap import PRIME, poisson_steps
 from ..session import materialize
 from ..sources.io import table
 from .bindings import screen
@@ -20,9 +19,13 @@ from .split_queries import explode_screen, screen_flags
 from .sql import CTES, hash_int, hash_long, ranking_select, t_stats
 
 SCORES = {"length": "score_length", "hash": "score_hash"}
-# Replicates of the queries; the operators take any number, and their users thousands.
-REPLICATES, PAIRED_REPLICATES, CONTROL_REPLICATES = 100, 80, 60
-SPARE = 60  # further draws of the SQL twins, which cannot draw in rounds
+# Replicates with Poisson weights, and of resamples of the cohort's size, which shuffle rows x replicates.
+DRAWS, COHORT_DRAWS = 5000, 2000
+REPLICATES, PAIRED_REPLICATES = 100, 80
+SPARE = 60  # further resamples of the SQL twins, which cannot draw in rounds
+# Further draws of the SQL twins for cohorts whose smaller class is below FEW and may be missing from a replicate:
+# with one row each the chance is 0.6, so that two and a half times the draws and some more do.
+FEW, SPARE_DRAWS = 20, 9000
 BOOT_SEED = 4711
 
 CTES["cohort_rows"] = """
@@ -172,7 +175,7 @@ def topk_enrichment_over_k(spark, d):
 # --- bootstrap -----------------------------------------------------------------------------
 
 
-def _drawn_sql(label: str, scores: dict[str, str], replicates: int, seed: int) -> str:
+def _drawn_sql(label: str, scores: dict[str, str], replicates: int, seed: int, spare: int = 0) -> str:
     models = ", ".join(f"'{m}'" for m in scores)
     values = ", ".join(scores.values())
     return f"""
@@ -204,9 +207,33 @@ def bootstrap_intervals(spark, d):
     return ranking.bootstrap_metric(rows, ["cohort"], "doc_id", "quality", SCORES, REPLICATES, BOOT_SEED)
 
 
-def _paired_sql(label: str, a: str, b: str, replicates: int, spare: int, seed: int) -> str:
+def _weighted_sql(label: str, scores: dict[str, str], replicates: int, seed: int, spare: int = 0, source: str = "cohort_rows") -> str:
+    """Poisson weights from a random cubic of the row's hash, and the metrics of every replicate; as rm and pm."""
+    models = ", ".join(f"'{m}'" for m in scores)
+    values = ", ".join(scores.values())
+    part = lambda at: f"(('0x' || substr(md5('{seed}:' || doc_id), {at}, 8))::BIGINT % {PRIME})"
+    cubic = f"(((((c3 * h1 + c2) % {PRIME}) * h1 + c1) % {PRIME}) * h1 + c0) % {PRIME}"
+    drawn = ", ".join(f"""{hash_int(f"'{seed}:' || replicate || ':{k}'")} % {PRIME} AS c{k}""" for k in range(5))
+    return f"""
+base AS (SELECT cohort, doc_id, {label} AS label, {values}, {part(1)} AS h1, {part(9)} AS h2 FROM {source}),
+replicates AS (SELECT replicate, {drawn} FROM (SELECT unnest(range(0, {replicates})) AS replicate)),
+weighted AS (SELECT cohort, replicate, label, {values}, len(list_filter({poisson_steps()}::DOUBLE[], lambda s: s <= u)) AS w FROM (
+ SELECT *, (({cubic}) + (c4 * h2) % {PRIME}) % {PRIME} / {PRIME}::DOUBLE AS u
+ FROM (SELECT *, sum(label) OVER of_cohort AS n_pos, count(*) OVER of_cohort AS n_all FROM base WINDOW of_cohort AS (PARTITION BY cohort))
+ JOIN replicates ON replicate < {replicates - spare} OR least(n_pos, n_all - n_pos) < {FEW})),
+by_score AS (SELECT cohort, replicate, model, score, sum(w * label)::DOUBLE AS p, sum(w)::DOUBLE AS c FROM (
+ SELECT cohort, replicate, label, w, unnest([{models}]) AS model, unnest([{values}]) AS score FROM weighted WHERE w > 0) GROUP BY ALL),
+rm AS (SELECT cohort, replicate, model, CASE WHEN sum(p) > 0 AND sum(p) < sum(c) THEN sum(p * (below + (c - p) / 2)) / (sum(p) * (sum(c) - sum(p))) END AS auroc,
+ CASE WHEN sum(p) > 0 AND sum(p) < sum(c) THEN sum(CASE WHEN p > 0 THEN p * hits / seen ELSE 0 END) / sum(p) END AS average_precision FROM (
+ SELECT *, sum(c - p) OVER up - (c - p) AS below, sum(p) OVER down AS hits, sum(c) OVER down AS seen FROM by_score
+ WINDOW up AS (PARTITION BY cohort, replicate, model ORDER BY score), down AS (PARTITION BY cohort, replicate, model ORDER BY score DESC)) GROUP BY ALL),
+base_long AS (SELECT cohort, label, unnest([{models}]) AS model, unnest([{values}]) AS score FROM base),
+pm AS ({ranking_select('base_long', 'cohort, model', 'label', 'score')})"""
+
+
+def _paired_sql(label: str, a: str, b: str, replicates: int, spare: int, seed: int, drawn=_weighted_sql) -> str:
     return f"""
-WITH {_drawn_sql(label, {'a': a, 'b': b}, replicates + spare, seed)},
+WITH {drawn(label, {'a': a, 'b': b}, replicates + spare, seed, spare)},
 gap AS (SELECT x.cohort, x.replicate, x.auroc - y.auroc AS auroc, x.average_precision - y.average_precision AS average_precision FROM rm x JOIN rm y
  ON x.cohort = y.cohort AND x.replicate = y.replicate AND x.model = 'a' AND y.model = 'b'),
 used AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY replicate) AS place FROM gap WHERE auroc IS NOT NULL) WHERE place <= {replicates}),
@@ -221,55 +248,47 @@ FROM point p LEFT JOIN tall t ON p.cohort = t.cohort AND p.metric = t.metric LEF
 _PAIRED = ["difference", "ci_low", "ci_high"]
 
 
-def _paired(spark, d, label, a, b, replicates, seed):
+def _paired(spark, d, label, a, b, replicates, seed, method="poisson"):
     rows = materialize(cohort_rows(spark, d).select("cohort", "doc_id", label, *SCORES.values()))
-    return ranking.paired_bootstrap(rows, ["cohort"], "doc_id", label, a, b, replicates, seed)
+    return ranking.paired_bootstrap(rows, ["cohort"], "doc_id", label, a, b, replicates, seed, method=method)
 
 
-@query("paired_bootstrap", _paired_sql("quality", "score_length", "score_hash", PAIRED_REPLICATES, SPARE, BOOT_SEED), _PAIRED)
+@query("paired_bootstrap", _paired_sql("quality", "score_length", "score_hash", DRAWS, SPARE_DRAWS, BOOT_SEED), _PAIRED)
 def paired_bootstrap(spark, d):
-    """Difference of two scores on common resamples."""
-    return _paired(spark, d, "quality", "score_length", "score_hash", PAIRED_REPLICATES, BOOT_SEED)
+    """Difference of two scores on common replicates of Poisson weights."""
+    return _paired(spark, d, "quality", "score_length", "score_hash", DRAWS, BOOT_SEED)
 
 
-@query("bootstrap_vs_control", _paired_sql("toxic", "score_hash", "score_length", CONTROL_REPLICATES, SPARE, 7), _PAIRED)
-def bootstrap_vs_control(spark, d):
-    """A score against the control score, with the rejected one-class resamples counted."""
-    return _paired(spark, d, "toxic", "score_hash", "score_length", CONTROL_REPLICATES, 7)
+@query("paired_bootstrap_resampled", _paired_sql("quality", "score_length", "score_hash", PAIRED_REPLICATES, SPARE, BOOT_SEED, _drawn_sql), _PAIRED)
+def paired_bootstrap_resampled(spark, d):
+    """The same on resamples of the cohort's size."""
+    return _paired(spark, d, "quality", "score_length", "score_hash", PAIRED_REPLICATES, BOOT_SEED, "multinomial")
 
 
-def _poisson_steps() -> list[float]:
-    out, total, term = [], 0.0, math.exp(-1)
-    for k in range(12):
-        total += term
-        out.append(total)
-        term /= k + 1
-    return out
+@query("bootstrap_vs_control", _paired_sql("toxic", "score_hash", "score_length", DRAWS, SPARE_DRAWS, 7), _PAIRED)
+def bootstrap_vs_control(spark, d):
+    """A score against the control score, with the rejected one-class replicates counted."""
+    return _paired(spark, d, "toxic", "score_hash", "score_length", DRAWS, 7)
 
 
 @query(
     "poisson_bootstrap_intervals",
     f"""
-WITH base AS (SELECT doc_id, quality AS label, score_length, score_hash FROM screen),
- times AS (SELECT *, len(list_filter({_poisson_steps()}::DOUBLE[], lambda s: s <= u)) AS times FROM (
-  SELECT b.*, replicate, {hash_int(f"'{BOOT_SEED}:' || replicate || ':' || doc_id")} / 4294967296.0::DOUBLE AS u FROM base b, (SELECT unnest(range(0, {REPLICATES})) AS replicate))),
- copies AS (SELECT *, unnest(range(0, times)) AS copy FROM times),
- long AS (SELECT replicate, label, unnest(['length', 'hash']) AS model, unnest([score_length, score_hash]) AS score FROM copies),
- one AS (SELECT label, unnest(['length', 'hash']) AS model, unnest([score_length, score_hash]) AS score FROM base),
- tall AS (SELECT model, unnest(['auroc', 'average_precision']) AS metric, unnest([auroc, average_precision]) AS value FROM ({ranking_select('long', 'model, replicate', 'label', 'score')}) WHERE auroc IS NOT NULL),
- point AS (SELECT model, unnest(['auroc', 'average_precision']) AS metric, unnest([auroc, average_precision]) AS estimate FROM ({ranking_select('one', 'model', 'label', 'score')}))
+WITH {_weighted_sql('quality', SCORES, DRAWS, BOOT_SEED, source="(SELECT 'all' AS cohort, * FROM screen)")},
+ tall AS (SELECT model, unnest(['auroc', 'average_precision']) AS metric, unnest([auroc, average_precision]) AS value FROM rm WHERE auroc IS NOT NULL),
+ point AS (SELECT model, unnest(['auroc', 'average_precision']) AS metric, unnest([auroc, average_precision]) AS estimate FROM pm)
 SELECT 'all' AS cohort, p.model, p.metric, estimate, count(value) AS replicates, quantile_cont(value, 0.025::DOUBLE) AS ci_low, quantile_cont(value, 0.975::DOUBLE) AS ci_high
 FROM point p LEFT JOIN tall t ON p.model = t.model AND p.metric = t.metric GROUP BY ALL""",
     ["estimate", "ci_low", "ci_high"],
 )
 def poisson_bootstrap_intervals(spark, d):
-    """Large-sample form of the bootstrap: every row draws its own multiplicity."""
+    """Large-sample form of the bootstrap: every row draws its own weights."""
     rows = screen(spark, d).select(F.lit("all").alias("cohort"), "doc_id", "quality", *SCORES.values())
-    return ranking.bootstrap_metric(rows, ["cohort"], "doc_id", "quality", SCORES, REPLICATES, BOOT_SEED, "poisson")
+    return ranking.bootstrap_metric(rows, ["cohort"], "doc_id", "quality", SCORES, DRAWS, BOOT_SEED, "poisson")
 
 
-CTES["canonical_bootstrap"] = _paired_sql("quality", "score_length", "score_hash", REPLICATES, SPARE, BOOT_SEED)
-CTES["cohort_bootstrap"] = _paired_sql("quality", "score_length", "score_hash", PAIRED_REPLICATES, SPARE, BOOT_SEED)
+CTES["cohort_bootstrap"] = _paired_sql("quality", "score_length", "score_hash", COHORT_DRAWS, SPARE_DRAWS, BOOT_SEED)
+CTES["canonical_bootstrap"] = _paired_sql("quality", "score_length", "score_hash", DRAWS, SPARE_DRAWS, BOOT_SEED)
 
 
 @query(
@@ -292,7 +311,7 @@ def cohort_summary(spark, d):
         F.max("n").alias("n"), F.max("positives").alias("positives"),
         *[pick(c, m) for c in ("auroc", "average_precision") for m in SCORES],
     )
-    paired = ranking.paired_bootstrap(rows, ["cohort"], "doc_id", "quality", "score_length", "score_hash", PAIRED_REPLICATES, BOOT_SEED)
+    paired = ranking.paired_bootstrap(rows, ["cohort"], "doc_id", "quality", "score_length", "score_hash", COHORT_DRAWS, BOOT_SEED)
     at = lambda c, m, out: F.max(F.when(F.col("metric") == m, F.col(c))).alias(out)
     delta = paired.groupBy("cohort").agg(
         at("difference", "auroc", "delta_auroc"), at("ci_low", "auroc", "delta_auroc_low"),
@@ -319,13 +338,13 @@ def ablation_table(spark, d):
         F.lit("internal").alias("source"), F.concat_ws("_minus_", "candidate", "reference").alias("comparison"), "metric",
         F.col("mean").alias("difference"), "ci_low", "ci_high",
     )
-    outer = _paired(spark, d, "quality", "score_length", "score_hash", PAIRED_REPLICATES, BOOT_SEED).select(
+    outer = _paired(spark, d, "quality", "score_length", "score_hash", COHORT_DRAWS, BOOT_SEED).select(
         F.lit("external").alias("source"), F.concat(F.lit("length_minus_hash_"), "cohort").alias("comparison"), "metric",
         "difference", "ci_low", "ci_high",
     )
     both = reshape.union_all([inner, outer])
     # The primary cohort's limits come from the run with the canonical number of replicates.
-    canonical = _paired(spark, d, "quality", "score_length", "score_hash", REPLICATES, BOOT_SEED).where("cohort = 'primary'").select(
+    canonical = _paired(spark, d, "quality", "score_length", "score_hash", DRAWS, BOOT_SEED).where("cohort = 'primary'").select(
         F.lit("external").alias("source"), F.concat(F.lit("length_minus_hash_"), "cohort").alias("comparison"), "metric", "ci_low", "ci_high"
     )
     return contrasts.overwrite_from(both, canonical, ["source", "comparison", "metric"], ["ci_low", "ci_high"])

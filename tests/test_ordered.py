@@ -88,9 +88,23 @@ def test_ordered_sums_paths_agree(spark):
 
 def test_bucket_keeps_order(spark):
     values = sorted([0.0, -0.0, 1e-300, -1e-300] + [s * m * 2.0**e for s in (1, -1) for e in range(-60, 60) for m in (1.0, 1.0000001, 1.5, 1.9999999)])
-    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", ordered.numeric_bucket(F.col("v")).alias("b"))
-    buckets = [r["b"] for r in df.orderBy("v").collect()]
-    assert buckets == sorted(buckets)
+    values += [None, float("-inf"), float("inf"), float("nan")]
+    df = ordered.balanced_buckets(spark.createDataFrame([(v,) for v in values], "v double"), [], "v", 40)
+    buckets = [r["order_bucket"] for r in df.orderBy("v").collect()]
+    assert buckets == sorted(buckets) and len(set(buckets)) > 30
+    assert [buckets.count(b) for b in (buckets[0], buckets[1], buckets[-2], buckets[-1])] == [1, 1, 1, 1]
+
+
+def test_buckets_are_balanced(spark):
+    """Scores all in [0.5, 1), most of them in a narrow range; a group of another size beside."""
+    df = spark.range(40_000).select(
+        F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("g"), (1 - F.pow(F.rand(3), 6) / 2 - 1e-9).alias("v"), "id"
+    )
+    for buckets in (64, 150):
+        sizes = ordered.balanced_buckets(df, ["g"], "v", buckets).groupBy("g", "order_bucket").count().collect()
+        for g, rows in (("a", 36_000), ("b", 4_000)):
+            own = [r["count"] for r in sizes if r["g"] == g]
+            assert sum(own) == rows and len(own) == buckets and max(own) < 2 * rows / buckets
 
 
 def test_find_hot(spark):
