@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import is_close, normal_unit
-from .ordered import group_quantiles
+from ..session import materialize
+from .ordered import Hot, group_quantiles
 
 RETAINED = "retained"
 
@@ -67,16 +68,18 @@ def aggregate_pairs(
     first: Mapping[str, tuple[str, str]] | None = None,
     extra: Sequence[Column] = (),
     log: Callable[[Column], Column] = F.log2,
+    hot: Hot | None = None,
 ) -> DataFrame:
     """One row per key: medians of the value and of its log2, quartiles and IQR of the log2,
     record count, distinct counts (missing values are not counted) and first values.
 
     ``distinct`` maps output to column, ``first`` maps output to (column, order column).
     ``log`` is the transform of a record's value, :func:`log2_grid` for targets that are summed later.
+    ``hot`` is the outcome of ``find_hot`` when the caller has it already.
     """
     keys = list(keys)
     wanted = {f"median_{value}": 0.5, log_value: (0.5, log), f"{log_value}_q25": (0.25, log), f"{log_value}_q75": (0.75, log)}
-    quantiles = group_quantiles(df, keys, value, wanted, count="n_records").withColumn(
+    quantiles = group_quantiles(df, keys, value, wanted, count="n_records", hot=hot).withColumn(
         f"{log_value}_iqr", F.col(f"{log_value}_q75") - F.col(f"{log_value}_q25")
     )
     aggs = [
@@ -120,8 +123,11 @@ def field_distributions(df: DataFrame, fields: Sequence[str]) -> DataFrame:
             for f in fields
         ]
     )
-    counts = df.select(F.inline(cells)).groupBy("field", "value").agg(F.count(F.lit(1)).alias("records"))
-    return counts.withColumn("denominator", F.sum("records").over(W.partitionBy("field")))
+    rows = df.select(F.inline(cells))
+    sets = rows.groupingSets([["field", "value"], ["field"]], "field", "value").agg(F.grouping("value").alias("whole"), F.count(F.lit(1)).alias("records"))
+    sets = materialize(sets)
+    totals = sets.where("whole = 1").select("field", F.col("records").alias("denominator"))
+    return sets.where("whole = 0").drop("whole").join(totals, "field").select("field", "value", "records", "denominator")
 
 
 def relation_profile(df: DataFrame, keys: Sequence[str], relation: str, exact: Sequence[str], censored: Sequence[str]) -> DataFrame:

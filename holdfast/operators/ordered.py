@@ -61,9 +61,15 @@ class Hot:
         return self if self.groups is None and not self.everything else None
 
 
-def find_hot(df: DataFrame, keys: Sequence[str], hot_above: int = HOT_ROWS) -> Hot:
-    """Look for groups above ``hot_above`` rows. Runs one count over the rows; only its outcome reaches the driver."""
+def find_hot(df: DataFrame, keys: Sequence[str], hot_above: int = HOT_ROWS, within: DataFrame | None = None) -> Hot:
+    """Look for groups above ``hot_above`` rows. Runs one count over the rows; only its outcome reaches the driver.
+
+    ``within`` is a stored table with at least as many rows as df: if it has too few for any large group, which
+    its footers tell, df is not computed for the count.
+    """
     keys = list(keys)
+    if within is not None and within.count() <= hot_above:
+        return Hot(keys)
 
     def cut(rows: int) -> int:
         return max(BUCKETS, -(-4 * rows // hot_above))

@@ -50,9 +50,11 @@ def records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
+    rows = records(spark, d)
+    hot = find_hot(rows, PAIR_KEYS, within=table(spark, d, "lineitem"))
     return aggregate_pairs(
-        records(spark, d), PAIR_KEYS, "value", "target",
-        {"n_documents": "document", "n_strains": "strain", "n_units": "unit"}, log=log2_grid,
+        rows, PAIR_KEYS, "value", "target",
+        {"n_documents": "document", "n_strains": "strain", "n_units": "unit"}, log=log2_grid, hot=hot,
     )
 
 
@@ -61,7 +63,9 @@ def targets(spark: SparkSession, d: str, spread: bool = True) -> DataFrame:
     wanted = {"target": (0.5, log2_grid)}
     if spread:
         wanted |= {"q25": (0.25, log2_grid), "q75": (0.75, log2_grid)}
-    q = group_quantiles(records(spark, d), PAIR_KEYS, "value", wanted, count="n_records")
+    rows = records(spark, d)
+    hot = find_hot(rows, PAIR_KEYS, within=table(spark, d, "lineitem"))
+    q = group_quantiles(rows, PAIR_KEYS, "value", wanted, count="n_records", hot=hot)
     extra = [(F.col("q75") - F.col("q25")).alias("target_iqr")] if spread else []
     return q.select(*PAIR_KEYS, "target", "n_records", *extra)
 
@@ -96,7 +100,7 @@ def guesses(rows: DataFrame) -> DataFrame:
     joined to the rows. The rows themselves are joined once.
     """
     train = rows.where("split = 'train'")
-    hot = find_hot(train, ["seed"])
+    hot = find_hot(train, ["seed"], within=rows)
     cells = rows.select("seed", "context", "kind").distinct()
     levels = {"by_context": ["seed", "context"], "by_kind": ["seed", "context", "kind"], "kind_only": ["seed", "kind"], "overall": ["seed"]}
     for out, keys in levels.items():

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as x
 from ..operators import contracts, curation, joins, reshape, splits
 from ..session import shared_folder
-from ..sources.io import file_hashes, lookup_vectors, read_mapping, read_table, table, union_runs, write_table
+from ..sources.io import TABLES, file_hashes, lookup_vectors, read_mapping, read_table, table, union_runs, write_table
 from .bindings import PAIR_KEYS, corpus, entities, pairs, records, screen, targets
 from .registry import query
 from .sql import grid
@@ -170,8 +170,8 @@ def json_mapping(spark, d):
 
 @query("lookup_file_hashes")
 def lookup_file_hashes(spark, d):
-    """SHA-256 of the lookup files."""
-    return file_hashes(spark, [f"{d}/{n}.parquet" for n in ("nation", "region")])
+    """SHA-256 of all given files, and the root over the hashes of their ranges."""
+    return file_hashes(spark, d, [f"{n}.parquet" for n in TABLES]).drop("range_hashes")
 
 
 # --- row expressions ----------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,12 +74,22 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
         raise ValueError(f"unknown format {fmt}")
 
 
-def file_hashes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """SHA-256 of each file, one task per file; for lookup and configuration files that fit one row."""
-    files = spark.read.format("binaryFile").load(paths)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
-    )
+RANGE = 1 << 20  # bytes of a file that are hashed together
+
+
+def file_hashes(spark: SparkSession, folder: str, names: Sequence[str], length: int = RANGE) -> DataFrame:
+    """SHA-256 of every file below ``folder`` in the named files or folders, and the root over its ranges.
+
+    ``file`` is the path below the folder. ``root`` is the SHA-256 over the hex digests of the file's ranges of
+    ``length`` bytes, each written on a line: ranges that changed show in ``range_hashes``. The files are listed
+    and read by Spark, from any store; a file is one row on the way, so it may have at most 2 GB.
+    """
+    files = spark.read.format("binaryFile").load([f"{folder}/{n}" for n in names])
+    starts = F.sequence(F.lit(0), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(length))
+    digests = F.transform(starts, lambda at: F.sha2(F.substring("content", at.cast("int") + 1, F.lit(length)), 256))
+    below = F.element_at(F.split("path", F.lit("/" + re.escape(folder.rstrip("/").split("/")[-1]) + "/"), 2), -1)
+    hashed = files.select(below.alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), digests.alias("range_hashes"))
+    return hashed.withColumn("root", F.sha2(F.array_join("range_hashes", "\n").cast("binary"), 256))
 
 
 def union_runs(runs: Mapping[str, DataFrame], tag: str = "run_tag") -> DataFrame:

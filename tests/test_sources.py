@@ -22,8 +22,22 @@ def test_mapping_and_hash(spark, tmp_path):
     path = tmp_path / "map.json"
     path.write_text(json.dumps({"a": "x", "b": "y"}))
     assert {(r["key"], r["value"]) for r in io.read_mapping(spark, str(path)).collect()} == {("a", "x"), ("b", "y")}
-    row = io.file_hashes(spark, str(path)).first()
-    assert row["sha256"] == hashlib.sha256(path.read_bytes()).hexdigest()
+    row = io.file_hashes(spark, str(tmp_path), ["map.json"]).first()
+    assert row["file"] == "map.json" and row["sha256"] == hashlib.sha256(path.read_bytes()).hexdigest()
+
+
+def test_file_hashes_by_ranges(spark, tmp_path):
+    """Files of any length, an empty one and one in a folder; a changed byte changes one range."""
+    (tmp_path / "part").mkdir()
+    content = {"a.bin": bytes(range(256)) * 10, "empty.bin": b"", "part/b.bin": b"x" * 1000}
+    for name, data in content.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r["file"]: r for r in io.file_hashes(spark, str(tmp_path), ["a.bin", "empty.bin", "part"], 1000).collect()}
+    assert set(got) == set(content)
+    for name, data in content.items():
+        ranges = [hashlib.sha256(data[i : i + 1000]).hexdigest() for i in range(0, max(len(data), 1), 1000)]
+        assert (got[name]["bytes"], got[name]["sha256"]) == (len(data), hashlib.sha256(data).hexdigest())
+        assert got[name]["range_hashes"] == ranges and got[name]["root"] == hashlib.sha256("\n".join(ranges).encode()).hexdigest()
 
 
 def test_vector_lookup_reports_missing(spark):
