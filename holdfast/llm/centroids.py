@@ -58,12 +58,12 @@ class Rotation:
 def fit_rotation(vectors: DataFrame, components: int, leading: int = LEADING) -> Rotation:
     """Principal axes of all vectors (column ``vector``), from a covariance added up over the tasks. With fewer than two vectors, the first axes as they are."""
     leading = min(leading, components)
-    features = vectors.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
-    seen = features.agg(Summarizer.metrics("mean", "count").summary(F.col("features")).alias("s")).select("s.mean", "s.count").first()
-    if not seen or seen["count"] < 2:
+    if vectors.count() < 2:
         return Rotation(np.zeros(components), np.eye(components)[:, :leading])
+    features = vectors.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
+    centre = features.agg(Summarizer.mean(F.col("features")).alias("centre")).first()["centre"]
     axes = PCA(k=leading, inputCol="features", outputCol="turned").fit(features).pc.toArray()
-    return Rotation(seen["mean"].toArray(), np.linalg.qr(axes)[0])
+    return Rotation(centre.toArray(), np.linalg.qr(axes)[0])
 
 
 def nearest_centroids(vectors: np.ndarray, lead: np.ndarray, rest: np.ndarray, centroids: np.ndarray, rotation: Rotation) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -81,7 +81,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-MIN_SITES = 10
+MIN_SITES, SHORT_SITES = 5, 10
 
 LINES_SQL = rf"""
 WITH docs AS (SELECT *, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
@@ -92,7 +92,7 @@ found AS (
 ),
 wide AS (
   SELECT line, min({{'doc_id': doc_id, 'digest': digest, 'place': place}}) AS first
-  FROM found WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}
+  FROM found WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= CASE WHEN length(line) >= {lines.LONG} THEN {MIN_SITES} ELSE {SHORT_SITES} END
 ),
 kept AS (
   SELECT d.doc_id, d.source, d.lang, d.text, len(d.parts) AS n_lines, i, d.parts[i] AS part,
@@ -109,7 +109,7 @@ FROM kept GROUP BY rn, doc_id, n_lines, text
 
 @_register("op6_line_dedup", LINES_SQL)
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(table(spark, sf_dir, "documents"), MIN_SITES).select("doc_id", "n_lines", "n_removed", "text")
+    return lines.dedup_lines(table(spark, sf_dir, "documents"), MIN_SITES, short_sites=SHORT_SITES).select("doc_id", "n_lines", "n_removed", "text")
 
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]

@@ -206,6 +206,8 @@ def score_toxicity(docs: DataFrame, model: np.ndarray, flag: float = 0.3) -> Dat
                 a, found = 0.0, []
                 if text:
                     low = text.lower()
+                    if len(low) != len(text):  # some letters grow when lowered: those stay, so that places are the text's
+                        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
                     for part in SENTENCE.finditer(low):
                         words = LETTERS.findall(part[0])
                         if words:

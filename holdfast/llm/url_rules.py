@@ -103,16 +103,21 @@ def url_verdicts(pages: DataFrame, rules: Sequence[Rule], url: str = "url", defa
     the longest answer is kept.
     """
     out = pages.withColumns({"host": url_host(url), "path": url_path(url)})
-    answers = []
-    for start in range(0, max(1, len(rules)), RULES_AT_ONCE):
+
+    def answer(start: int) -> Column:
         part = list(rules[start : start + RULES_AT_ONCE])
 
-        @F.pandas_udf("length int, host_length int, rule string, verdict string")
+        @F.pandas_udf("length int, host_length int, before long, rule string, verdict string")
         def fitting(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
             for hosts, paths in batches:
-                found = [(f[0], len(part[f[1]][0]), part[f[1]][0] + part[f[1]][1], part[f[1]][2]) if f else (-1, -1, None, default) for f in judge(hosts, paths, part)]
-                yield pd.DataFrame(found, columns=["length", "host_length", "rule", "verdict"])
+                found = []
+                for f in judge(hosts, paths, part):
+                    host, path, verdict = part[f[1]] if f else ("", "", default)
+                    found.append((f[0], len(host), -(start + f[1]), host + path, verdict) if f else (-1, -1, 1, None, default))
+                yield pd.DataFrame(found, columns=["length", "host_length", "before", "rule", "verdict"])
+
+        return fitting("host", "path")
 
-        answers.append(fitting("host", "path"))
+    answers = [answer(start) for start in range(0, max(1, len(rules)), RULES_AT_ONCE)]
     best = F.greatest(*answers) if len(answers) > 1 else answers[0]
     return out.withColumn("_found", best).withColumns({"rule": F.col("_found.rule"), "verdict": F.col("_found.verdict")}).drop("_found")

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from holdfast.llm import centroids, queries, shards, spelling
+from holdfast.llm import centroids, lines, queries, shards, spelling, toxicity, url_rules
 
 DOCS = "doc_id long, text string, shard string, slot long"
 
@@ -277,3 +277,33 @@ def test_words_of_documents_against_a_plain_loop(spark):
                 run = ""
     got = queries.spelled_words(frame(spark, rows)).where(F.length("word") >= 5)
     assert Counter(r.word for r in got.collect()) == want and len(want) > 5
+
+
+# --- mended operators -----------------------------------------------------------------------------
+
+
+def test_of_equal_rules_the_first_wins_in_any_number_of_passes(spark, monkeypatch):
+    rules = [("a.com", "/x", "allow"), ("b.com", "/", "block"), ("a.com", "/x", "block"), ("com", "/", "block")]
+    pages = frame(spark, [(1, "http://a.com/x1"), (2, "http://q.a.com/y")], "page_id long, url string")
+    for at_once in (10, 2, 1):
+        monkeypatch.setattr(url_rules, "RULES_AT_ONCE", at_once)
+        got = {r.page_id: (r.rule, r.verdict) for r in url_rules.url_verdicts(pages, rules).collect()}
+        assert got == {1: ("a.com/x", "allow"), 2: ("com/", "block")}
+
+
+def test_short_lines_need_more_sites(spark):
+    long = "a passage of many words that only few of all the sites have"
+    rows = [(i, f"{long}\nshort line\nown {i}", f"s{i % 6}", i) for i in range(12)]
+    docs = frame(spark, rows, "doc_id long, text string, source string, n_chars long")
+    got = {g.doc_id: g.text for g in lines.dedup_lines(docs, 5, short_sites=10).collect()}
+    assert got[0] == rows[0][1] and all(got[i] == f"short line\nown {i}" for i in range(1, 12))
+    got = {g.doc_id: g.text for g in lines.dedup_lines(docs, 5).collect()}
+    assert all(got[i] == f"own {i}" for i in range(1, 12))
+
+
+def test_toxic_sentences_keep_their_places_where_lowering_lengthens(spark):
+    texts = [f"a zonk sits here number {i}" if i % 2 else f"a good day number {i}" for i in range(200)]
+    weights = toxicity.fit(texts, np.array([float(i % 2) for i in range(200)]), np.ones(200))
+    text = "İİİİ is fine. a zonk sits."
+    row = toxicity.score_toxicity(frame(spark, [(1, text)], "doc_id long, text string"), weights).first()
+    assert [text[s.start : s.end].strip() for s in row.toxic_sentences] == ["a zonk sits"]
