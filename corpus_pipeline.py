@@ -11,7 +11,7 @@ from holdfast.llm import decontaminate, lines, mixing, near_dup, toxicity
 from holdfast.llm.common import remainder, stored, table
 
 TOXIC = 0.3  # least score of a rejected document
-MIN_SITES = 10  # sources on which a line counts as boilerplate
+MIN_SITES, SHORT_SITES = 5, 10  # sources on which a line counts as boilerplate, and a short one
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -24,7 +24,7 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that are found across sites; each such line stays in one place."""
-    return lines.dedup_lines(docs, MIN_SITES).select(*docs.columns)
+    return lines.dedup_lines(docs, MIN_SITES, short_sites=SHORT_SITES).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
