@@ -16,7 +16,7 @@ from ..functions.constants import SEEDS
 from ..functions.scalar import group_or_solo, is_solo, log2_grid
 from ..functions.seeding import hash_unit
 from ..operators.curation import aggregate_pairs
-from ..operators.ordered import find_hot, group_quantiles
+from ..operators.ordered import Hot, find_hot, group_quantiles
 from ..operators.metrics import apply_intervals, conformal_quantile, median_baseline
 from ..operators.splits import grouped_partition
 from ..session import materialize
@@ -92,8 +92,34 @@ def labelled(spark: SparkSession, d: str, seeds: Sequence[int] = tuple(SEEDS), k
     return materialize(parted(spark, d, seeds).select("seed", "split", "entity", *entity_columns).join(own, "entity"))
 
 
-def guesses(rows: DataFrame) -> DataFrame:
-    """Median baselines of the training rows for the other rows, one row per model.
+# What each model looks up, in this order, until there is a median.
+LOOKUPS = {
+    "context_median": ["by_context"],
+    "kind_median": ["by_kind", "by_context"],
+    "kind_entity_only": ["kind_only", "overall"],
+    "overall_entity_only": ["overall"],
+}
+LEVELS = {"by_context": ["seed", "context"], "by_kind": ["seed", "context", "kind"], "kind_only": ["seed", "kind"], "overall": ["seed"]}
+
+
+def _medians(train: DataFrame, levels: dict[str, list[str]], hot: Hot) -> dict[str, DataFrame]:
+    """Median target per level. Without a large group all levels are found in one pass, as grouping sets."""
+    if hot.within() is None:
+        return {out: median_baseline(train, keys, "target", out, hot if keys == ["seed"] else None) for out, keys in levels.items()}
+    finest = [c for c in ("seed", "context", "kind") if any(c in keys for keys in levels.values())]
+    sets = train.groupingSets(list(levels.values()), *finest).agg(F.grouping_id().alias("level"), F.percentile("target", F.lit(0.5)).alias("median"))
+    sets = materialize(sets)
+
+    def of(out: str, keys: list[str]) -> DataFrame:
+        # Bit i from the right is set where the i-th column from the right is not part of the set.
+        level = sum(1 << i for i, c in enumerate(reversed(finest)) if c not in keys)
+        return sets.where(F.col("level") == level).select(*keys, F.col("median").alias(out))
+
+    return {out: of(out, keys) for out, keys in levels.items()}
+
+
+def guesses(rows: DataFrame, wanted: Sequence[str] = tuple(MODELS)) -> DataFrame:
+    """Median baselines of the training rows for the other rows, one row per wanted model.
 
     All medians are first put together per (seed, context, kind) and written:
     a table as small as these dimensions, whose known size decides how it is
@@ -101,16 +127,11 @@ def guesses(rows: DataFrame) -> DataFrame:
     """
     train = rows.where("split = 'train'")
     hot = find_hot(train, ["seed"], within=rows)
+    levels = {out: LEVELS[out] for m in wanted for out in LOOKUPS[m]}
     cells = rows.select("seed", "context", "kind").distinct()
-    levels = {"by_context": ["seed", "context"], "by_kind": ["seed", "context", "kind"], "kind_only": ["seed", "kind"], "overall": ["seed"]}
-    for out, keys in levels.items():
-        cells = cells.join(median_baseline(train, keys, "target", out, hot if keys == ["seed"] else hot.within()), keys, "left")
-    guess = F.array(
-        F.struct(F.lit(MODELS[0]).alias("model"), F.col("by_context").alias("y_pred")),
-        F.struct(F.lit(MODELS[1]).alias("model"), F.coalesce("by_kind", "by_context").alias("y_pred")),
-        F.struct(F.lit(MODELS[2]).alias("model"), F.coalesce("kind_only", "overall").alias("y_pred")),
-        F.struct(F.lit(MODELS[3]).alias("model"), F.col("overall").alias("y_pred")),
-    )
+    for out, medians in _medians(train, levels, hot).items():
+        cells = cells.join(medians, levels[out], "left")
+    guess = F.array(*[F.struct(F.lit(m).alias("model"), F.coalesce(*LOOKUPS[m]).alias("y_pred")) for m in wanted])
     medians = materialize(cells.select("seed", "context", "kind", guess.alias("guess")))
     joined = rows.where("split <> 'train'").join(medians, ["seed", "context", "kind"])
     return joined.select(*rows.columns, F.inline("guess")).withColumnRenamed("target", "y_true")
@@ -125,10 +146,10 @@ def calibrate(rows: DataFrame) -> DataFrame:
     return apply_intervals(rows.where("split = 'test'"), materialize(pooled), materialize(own), RUN, "context")
 
 
-def predictions(spark: SparkSession, d: str, seeds: Sequence[int] = tuple(SEEDS), keep: Sequence[str] = ()) -> DataFrame:
-    """Calibrated test predictions of the baselines, written once because the reports read them twice."""
+def predictions(spark: SparkSession, d: str, seeds: Sequence[int] = tuple(SEEDS), keep: Sequence[str] = (), wanted: Sequence[str] = tuple(MODELS)) -> DataFrame:
+    """Calibrated test predictions of the wanted baselines, written once because the reports read them twice."""
     rows = labelled(spark, d, seeds, ("kind", *keep))
-    return materialize(calibrate(guesses(rows)).drop("split", "kind"))
+    return materialize(calibrate(guesses(rows, wanted)).drop("split", "kind"))
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators import contrasts, diversity, joins, metrics, reshape
 from ..operators.ordered import spearman as grouped_spearman
 from ..session import materialize
 from ..sources.io import table
-from .bindings import RUN, calibrate, entities, guesses, labelled, predictions, records, targets
+from .bindings import MODELS, RUN, calibrate, entities, guesses, labelled, predictions, records, targets
 from .curation_queries import PAIR_KEYS, cohort_pairs
 from .registry import query
 from .sql import CTES, spearman, t_stats
@@ -21,12 +21,12 @@ QUALITY = ("n_records", "target_iqr")
 ALL_METRICS = [*POINTS, "coverage", "width", "coverage_context", "width_context"]
 
 
-def context_metrics(spark, d):
-    return metrics.regression_metrics(predictions(spark, d), [*RUN, "context"], extra=metrics.interval_aggregates())
+def context_metrics(spark, d, wanted=tuple(MODELS)):
+    return metrics.regression_metrics(predictions(spark, d, wanted=wanted), [*RUN, "context"], extra=metrics.interval_aggregates())
 
 
-def macro_metrics(spark, d):
-    return metrics.macro_mean(context_metrics(spark, d), RUN, ALL_METRICS)
+def macro_metrics(spark, d, wanted=tuple(MODELS)):
+    return metrics.macro_mean(context_metrics(spark, d, wanted), RUN, ALL_METRICS)
 
 
 _MELT = ", ".join(f"'{m}'" for m in ALL_METRICS)
@@ -40,7 +40,7 @@ CTES["tall_macro"] = f"SELECT model, seed, unnest([{_MELT}]) AS metric, unnest([
 )
 def macro_baseline_report(spark, d):
     """Flagship: equal-context errors and coverage of the context-median baseline under every partition."""
-    return macro_metrics(spark, d).where("model = 'context_median'").drop("model", "spearman")
+    return macro_metrics(spark, d, ["context_median"]).drop("model", "spearman")
 
 
 @query("context_median_predictions", "SELECT model, seed, entity, context, split, y_pred, target AS y_true FROM guesses", ["y_pred", "y_true"])
@@ -260,7 +260,7 @@ FROM macro_metrics a JOIN macro_metrics b ON a.seed = b.seed AND a.model = 'kind
 )
 def paired_models(spark, d):
     """Candidate and reference side by side per seed."""
-    return joins.pair_models(macro_metrics(spark, d), ["seed"], "model", "kind_median", "context_median", ["mae", "rmse"])
+    return joins.pair_models(macro_metrics(spark, d, ["kind_median", "context_median"]), ["seed"], "model", "kind_median", "context_median", ["mae", "rmse"])
 
 
 CONTRASTS = [("kind_median", "context_median"), ("kind_median", "kind_entity_only"), ("context_median", "overall_entity_only")]
@@ -317,7 +317,7 @@ FROM context_means a JOIN context_means b ON a.context = b.context AND a.model =
 
 
 def _deltas(spark, d):
-    return contrasts.context_deltas(context_metrics(spark, d), "context", "kind_median", "context_median", ["mae", "rmse"])
+    return contrasts.context_deltas(context_metrics(spark, d, ["kind_median", "context_median"]), "context", "kind_median", "context_median", ["mae", "rmse"])
 
 
 @query("context_deltas", "SELECT * FROM delta_table", ["mae_candidate", "mae_reference", "rmse_candidate", "rmse_reference", "delta_mae", "delta_rmse"])

@@ -334,7 +334,7 @@ SELECT source, comparison, metric, mean AS difference, ci_low, ci_high FROM (
 )
 def ablation_table(spark, d):
     """Internal t contrasts and external bootstrap contrasts in one table; canonical limits overwrite where given."""
-    inner = contrasts.paired_contrast(macro_metrics(spark, d), CONTRASTS[:1], ["seed"], ["mae", "rmse"]).select(
+    inner = contrasts.paired_contrast(macro_metrics(spark, d, CONTRASTS[0]), CONTRASTS[:1], ["seed"], ["mae", "rmse"]).select(
         F.lit("internal").alias("source"), F.concat_ws("_minus_", "candidate", "reference").alias("comparison"), "metric",
         F.col("mean").alias("difference"), "ci_low", "ci_high",
     )

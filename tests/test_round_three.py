@@ -1,13 +1,16 @@
 """Cliffs without edges, nearest sets with hot positions, balanced buckets, vector bootstrap."""
 
 import itertools
+import math
 import random
 import time
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from holdfast.functions.constants import CLIFF_CONFIGS
-from holdfast.operators import cliffs, similarity
+from holdfast.operators import bootstrap, cliffs, ranking, similarity
 from holdfast.operators.similarity import nearest_by_tanimoto
 
 
@@ -126,3 +129,86 @@ def test_candidates_of_a_hot_vocabulary_are_few(spark):
     got = {(p.owner_a, p.owner_b) for p in similarity.similar_sets(df, ["grp"], "owner", "bits", 0.7, 1e-12).collect()}
     candidates = similarity.similar_candidates(df, ["grp"], "owner", "bits", 0.7, 1e-12).count()
     assert got == want and len(want) > 500 and len(want) <= candidates <= 10 * len(want)
+
+
+# --- bootstrap by weight vectors ---------------------------------------------------------------
+
+
+def brute_metrics(rows, weights):
+    """AUROC and average precision of (label, score) rows counted ``weights`` times."""
+    pos, neg = ([(s, w) for (y, s), w in zip(rows, weights, strict=True) if y == k and w] for k in (1, 0))
+    p, n = sum(w for _, w in pos), sum(w for _, w in neg)
+    if not p or not n:
+        return None, None
+    wins = sum(w * v * ((s > t) + 0.5 * (s == t)) for s, w in pos for t, v in neg)
+    ap = 0.0
+    for s, w in pos:
+        hits, seen = sum(v for t, v in pos if t >= s), sum(v for t, v in pos + neg if t >= s)
+        ap += w * hits / seen
+    return wins / (p * n), ap / p
+
+
+def scored_rows(n=90):
+    r = random.Random(11)
+    rows = [(i, "a" if i % 3 else "b", int(r.random() < 0.3), r.choice([None, 1.0, 2.0, r.random() * 3, float("inf")]), r.random()) for i in range(n)]
+    return rows + [(1000, "one", 0, 0.5, 0.5)]
+
+
+def test_weighted_replicates_against_brute_force(spark):
+    """One cell and many cells, several chunks, ties, missing and infinite scores, a cohort with one class."""
+    rows = scored_rows()
+    df = spark.createDataFrame(rows, "id long, cohort string, label int, x double, y double")
+    hashed = {r.id: (r.hash_a, r.hash_b) for r in bootstrap._with_hashes(df, "id", 3).collect()}
+    wanted = {}
+    for cohort in ("a", "b", "one"):
+        own = [r for r in rows if r[1] == cohort]
+        h = np.array([hashed[r[0]] for r in own], np.int64)
+        weights = bootstrap.poisson_weights(h[:, 0], h[:, 1], 3, range(2, 302))
+        for model, at in (("x", 3), ("y", 4)):
+            for b in range(300):
+                cells = [(r[2], float("-inf") if r[at] is None else r[at]) for r in own]
+                wanted[cohort, model, b + 2] = brute_metrics(cells, weights[:, b])
+    for cell_rows in (10**6, 9):
+        got = bootstrap.poisson_metrics(df, ["cohort"], "id", "label", {"x": "x", "y": "y"}, 300, 3, 2, cell_rows).collect()
+        assert len(got) == len(wanted)
+        for g in got:
+            auroc, ap = wanted[g.cohort, g.model, g.replicate]
+            assert g.auroc == (None if auroc is None else pytest.approx(auroc)) and g.average_precision == (None if ap is None else pytest.approx(ap))
+
+
+def test_weights_are_poisson_and_independent():
+    r = np.random.default_rng(1)
+    first, second = r.integers(0, bootstrap.PRIME, (2, 3_000))
+    w = bootstrap.poisson_weights(first, second, 8, range(1_000))
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.01
+    assert abs((w == 0).mean() - math.exp(-1)) < 0.002 and w.max() >= 6
+    rows, columns = np.corrcoef(w[:150]), np.corrcoef(w[:, :150].T)
+    for c in (rows, columns):
+        off = c[~np.eye(150, dtype=bool)]
+        assert abs(off.mean()) < 0.005 and abs(off).max() < 0.2
+    assert abs(w.sum(0).std() / math.sqrt(3_000) - 1) < 0.1
+
+
+def test_paired_weights_count_rejections_and_tell_what_lacks(spark):
+    rows = [(i, "rare", int(i == 0), i / 10, (7 * i) % 10 / 10) for i in range(10)] + [(50 + i, "good", i % 2, i / 40, (3 * i) % 40 / 40) for i in range(40)]
+    rows += [(200 + i, "one", 1, 0.5, 0.5) for i in range(3)]
+    df = spark.createDataFrame(rows, "id long, cohort string, label int, x double, y double")
+    run = lambda rounds: {(r.cohort, r.metric): r for r in ranking.paired_bootstrap(df, ["cohort"], "id", "label", "x", "y", 400, 5, rounds).collect()}
+    short, full = run(1), run(10)
+    assert short["rare", "auroc"].status == "incomplete" and short["rare", "auroc"].replicates < 400
+    assert full["rare", "auroc"].status == "estimable" and full["rare", "auroc"].replicates == 400
+    assert 150 < full["rare", "auroc"].rejected < 350 and full["good", "auroc"].rejected == 0
+    assert full["one", "auroc"].status == "one_class" and full["one", "auroc"].difference is None and full["one", "auroc"].replicates == 0
+    assert full["good", "auroc"].ci_low < full["good", "auroc"].difference < full["good", "auroc"].ci_high
+
+
+def test_poisson_and_resampled_limits_agree(spark):
+    r = random.Random(12)
+    rows = [(i, "c", int(r.random() < 0.4), r.gauss(0, 1), r.gauss(0, 1)) for i in range(300)]
+    rows = [(i, c, y, x + y, z) for i, c, y, x, z in rows]
+    df = spark.createDataFrame(rows, "id long, cohort string, label int, x double, y double")
+    limits = []
+    for method, draws in (("poisson", 2_000), ("multinomial", 400)):
+        got = {g.metric: g for g in ranking.paired_bootstrap(df, ["cohort"], "id", "label", "x", "y", draws, 5, method=method).collect()}
+        limits.append((got["auroc"].ci_low, got["auroc"].ci_high))
+    assert limits[0] == pytest.approx(limits[1], abs=0.03)
