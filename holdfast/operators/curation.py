@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,7 +42,12 @@ def tag_exclusion(df: DataFrame, criteria: Sequence[tuple[str, Column]], out: st
 def waterfall(df: DataFrame, steps: Sequence[tuple[str, Column]]) -> DataFrame:
     """Rows retained and excluded at each ordered step, from a single pass over the records."""
     counts = tag_exclusion(df, steps, "step").groupBy("step").agg(F.count(F.lit(1)).alias("rows_excluded"))
-    names = [name for name, _ in steps]
+    return _ladder(counts, [name for name, _ in steps])
+
+
+def _ladder(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Retained and excluded rows at each step from the rows excluded per step."""
+    counts = df
     ladder = df.sparkSession.createDataFrame(list(enumerate(["input", *names])), "step_order int, step string")
     final = df.sparkSession.createDataFrame([(len(names) + 1, RETAINED)], "step_order int, step string")
     rows = ladder.unionByName(final).join(counts, "step", "left").fillna(0, ["rows_excluded"])
@@ -51,6 +56,30 @@ def waterfall(df: DataFrame, steps: Sequence[tuple[str, Column]]) -> DataFrame:
     return out.where(F.col("step") != RETAINED).select("step_order", "step", "rows_retained", "rows_excluded")
 
 
+def curate(df: DataFrame, steps: Sequence[tuple[str, Column]], gates: Mapping[str, Column] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Write the retained rows and count while writing: (the rows read back, their waterfall, their gates).
+
+    The counts are observed on the write itself, so neither the waterfall nor the gates read the records again.
+    ``gates`` maps a check to the condition that a retained row violates it by; a missing outcome is a violation.
+    A stage that runs again for lost output may be observed twice: if the retained rows observed are not those
+    written, which the footers tell, everything is counted anew from the records. Gates report (check, violations),
+    as the contract checks do.
+    """
+    names, gates = [name for name, _ in steps], dict(gates or {})
+    kept = F.col("exclusion_reason") == RETAINED
+    seen = Observation()
+    tagged = tag_exclusion(df, steps, "exclusion_reason")
+    excluded = [F.count_if(F.col("exclusion_reason") == n).alias(f"step_{i}") for i, n in enumerate([*names, RETAINED])]
+    violated = [F.count_if(kept & F.coalesce(bad, F.lit(True))).alias(f"gate_{i}") for i, bad in enumerate(gates.values())]
+    rows = materialize(tagged.observe(seen, *excluded, *violated).where(kept).drop("exclusion_reason"))
+    found, spark = seen.get, df.sparkSession
+    if found[f"step_{len(names)}"] != rows.count():
+        found = tagged.agg(*excluded, *violated).first().asDict()
+    counts = spark.createDataFrame([(n, found[f"step_{i}"]) for i, n in enumerate([*names, RETAINED])], "step string, rows_excluded long")
+    report = spark.createDataFrame([(n, found[f"gate_{i}"]) for i, n in enumerate(gates)], "check string, violations long")
+    return rows, _ladder(counts, names), report
+
+
 def split_missing(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """Rows with the column known, and the side output where it is missing."""
     return df.where(F.col(column).isNotNull()), df.where(F.col(column).isNull())

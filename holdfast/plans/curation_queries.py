@@ -783,20 +783,56 @@ _REASON = """CASE WHEN NOT coalesce(relation = 'F', false) THEN 'not exact' WHEN
  WHEN NOT coalesce(discount < 0.09, false) THEN 'flagged' ELSE 'retained' END"""
 
 
-@query(
-    "curation_waterfall",
-    f"""
+WATERFALL_SQL = f"""
 WITH t AS (SELECT {_REASON} AS step, count(*) AS n FROM records GROUP BY 1),
  s AS (SELECT unnest(['input', 'not exact', 'wrong unit', 'value out of range', 'no line', 'flagged', 'retained']) AS step, unnest(range(0, 7))::INT AS step_order),
  f AS (SELECT step_order, s.step, coalesce(n, 0) AS rows_excluded FROM s LEFT JOIN t ON s.step = t.step)
 SELECT * FROM (SELECT step_order, step, coalesce(sum(rows_excluded) OVER (ORDER BY step_order DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS rows_retained,
- rows_excluded FROM f) WHERE step <> 'retained'""",
-)
+ rows_excluded FROM f) WHERE step <> 'retained'"""
+
+
+@query("curation_waterfall", WATERFALL_SQL)
 def curation_waterfall(spark, d):
     """Rows retained and excluded at each ordered step."""
     return curation.waterfall(records(spark, d), _criteria())
 
 
+def _curated(spark, d):
+    gates = {
+        "value not finite": ~x.is_finite("value"),
+        "quantity above 40": F.col("quantity") > 40,
+        "unknown unit": ~F.col("unit").isin("R", "A"),
+    }
+    return curation.curate(records(spark, d), _criteria(), gates)
+
+
+@query("waterfall_of_write", WATERFALL_SQL)
+def waterfall_of_write(spark, d):
+    """The same counted while the retained records are written."""
+    return _curated(spark, d)[1]
+
+
+@query(
+    "gates_of_write",
+    f"""SELECT * FROM (SELECT unnest(['value not finite', 'quantity above 40', 'unknown unit']) AS "check",
+ unnest([count(*) FILTER (value IS NULL), count(*) FILTER (quantity > 40), count(*) FILTER (unit NOT IN ('R', 'A'))]) AS violations FROM (SELECT *, {_REASON} AS reason FROM records) WHERE reason = 'retained')""",
+)
+def gates_of_write(spark, d):
+    """Row contracts of the retained records, counted by the write."""
+    return _curated(spark, d)[2]
+
+
+@query(
+    "curated_records",
+    f"SELECT context, unit, count(*) AS rows, sum(value) AS value FROM (SELECT *, {_REASON} AS reason FROM records) WHERE reason = 'retained' GROUP BY context, unit",
+    ["value"],
+    3,
+)
+def curated_records(spark, d):
+    """The records as written, summed per context and unit."""
+    return _curated(spark, d)[0].groupBy("context", "unit").agg(F.count(F.lit(1)).alias("rows"), F.sum("value").alias("value"))
+
+
 @query("exclusion_reasons", f"SELECT context, {_REASON} AS reason, count(*) AS rows, sum(value) AS value FROM records GROUP BY 1, 2", ["value"], 3)
 def exclusion_reasons(spark, d):
     """First failed criterion of every record, summed per context."""

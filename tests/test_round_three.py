@@ -10,11 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from holdfast.functions.constants import CLIFF_CONFIGS
-from holdfast.operators import bootstrap, cliffs, ranking, similarity
+from holdfast.operators import bootstrap, cliffs, curation, ranking, similarity
 from holdfast.operators.similarity import nearest_by_tanimoto
 
 
-def rows(df):
+def rows_of(df):
     return sorted(map(str, (tuple(r) for r in df.collect())))
 
 
@@ -40,10 +40,10 @@ def test_counts_agree_with_edges(spark):
         counts = cliffs.CliffCounts(pairs, sets, "entity", "context", "grp", "target", hot_above=hot_above)
         want = cliffs.cliff_group_summary(edges, members, "context", "grp", "entity")
         got = counts.group_summary()
-        assert got.columns == want.columns and rows(got) == rows(want)
+        assert got.columns == want.columns and rows_of(got) == rows_of(want)
         assert want.agg(F.sum("edges")).first()[0] > 20
         ends = cliffs.edge_participants(cliffs.edge_configurations(edges), ["configuration", "context", "grp"])
-        assert rows(counts.participants()) == rows(ends)
+        assert rows_of(counts.participants()) == rows_of(ends)
 
 
 def test_a_billion_edges_are_counted_without_being_made(spark):
@@ -212,3 +212,30 @@ def test_poisson_and_resampled_limits_agree(spark):
         got = {g.metric: g for g in ranking.paired_bootstrap(df, ["cohort"], "id", "label", "x", "y", draws, 5, method=method).collect()}
         limits.append((got["auroc"].ci_low, got["auroc"].ci_high))
     assert limits[0] == pytest.approx(limits[1], abs=0.03)
+
+
+# --- counts of a write ---------------------------------------------------------------------------
+
+
+def test_waterfall_and_gates_are_counted_by_the_write(spark):
+    rows = [(i, i % 5 if i % 7 else None, "ab"[i % 2]) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, v long, unit string").repartition(5)
+    steps = [("no value", F.col("v").isNotNull()), ("small", F.col("v") > 1)]
+    kept, ladder, gates = curation.curate(df, steps, {"three": F.col("v") == 3, "unit": F.col("unit") != "a", "unknown": F.lit(None).cast("boolean")})
+    want = [r for r in rows if r[1] is not None and r[1] > 1]
+    assert sorted(map(tuple, kept.collect())) == want
+    assert rows_of(ladder) == rows_of(curation.waterfall(df, steps))
+    assert {g["check"]: g.violations for g in gates.collect()} == {"three": sum(r[1] == 3 for r in want), "unit": sum(r[2] == "b" for r in want), "unknown": len(want)}
+    none, ladder, _ = curation.curate(df.limit(0), steps)
+    assert none.count() == 0 and {r.rows_retained for r in ladder.collect()} == {0}
+
+
+def test_a_write_observed_twice_is_counted_anew(spark, monkeypatch):
+    class Twice(curation.Observation):
+        get = property(lambda self: {k: 2 * v for k, v in super(Twice, self).get.items()})
+
+    monkeypatch.setattr(curation, "Observation", Twice)
+    df = spark.range(30).withColumn("v", F.col("id") % 3)
+    steps = [("zero", F.col("v") > 0)]
+    _, ladder, gates = curation.curate(df, steps, {"one": F.col("v") == 1})
+    assert rows_of(ladder) == rows_of(curation.waterfall(df, steps)) and gates.first().violations == 10
