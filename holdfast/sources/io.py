@@ -82,7 +82,8 @@ def file_hashes(spark: SparkSession, folder: str, names: Sequence[str], length:
 
     ``file`` is the path below the folder. ``root`` is the SHA-256 over the hex digests of the file's ranges of
     ``length`` bytes, each written on a line: ranges that changed show in ``range_hashes``. The files are listed
-    and read by Spark, from any store; a file is one row on the way, so it may have at most 2 GB.
+    and read by Spark, from any store; a file is one row on the way, so it may have at most 2 GB. Spark's reader
+    passes over empty files, so they have no row.
     """
     files = spark.read.format("binaryFile").load([f"{folder}/{n}" for n in names])
     starts = F.sequence(F.lit(0), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(length))

