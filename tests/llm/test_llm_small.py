@@ -319,13 +319,20 @@ def test_many_rules_take_several_passes(spark, monkeypatch):
 # --- near duplicates -----------------------------------------------------------------------------------
 
 
-def labelled(text):
-    w, seen, out = (text or "").lower().split(), Counter(), set()
-    for i in range(max(1, len(w) - 4) if w else 0):
-        k = tuple(w[i : i + 5])
-        out.add((k, seen[k]))
-        seen[k] += 1
-    return out
+def chained(a, b):
+    """Longest common subsequence of words."""
+    last = [0] * (len(b) + 1)
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        last = row
+    return last[-1]
+
+
+def alike(a, b):
+    n = chained(a, b)
+    return a == b if min(len(a), len(b)) < near_dup.SHORT + 4 else n >= 0.8 * (len(a) + len(b) - n)
 
 
 def test_near_duplicates_against_brute_force(spark, monkeypatch):
@@ -342,16 +349,16 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     rows += [rows[0].upper(), rows[0].replace(" ", "  "), None, "", "  ", "one two", "one two", "two one", prose(50, 6), prose(50, 5), prose(60, 20_000), "a a a a a a a a a a", "a a a a a a a a a a a"]
     docs = frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(rows)] + [(3, rows[3], "en", "s", 0), (None, prose(70), "en", "s", 0)])
     got = near_dup.near_duplicates(docs).collect()
-    sets = [labelled(t) for t in rows]
+    held = [(t or "").lower().split() for t in rows]
     root = list(range(len(rows)))
 
     def top(i):
         return i if root[i] == i else top(root[i])
 
     for i, j in itertools.combinations(range(len(rows)), 2):
-        both, least = len(sets[i] & sets[j]), min(len(sets[i]), len(sets[j]))
-        alike = sets[i] == sets[j] if least < near_dup.SHORT else both >= 0.8 * (len(sets[i]) + len(sets[j]) - both)
-        if alike and top(i) != top(j):
+        if min(len(held[i]), len(held[j])) < 0.8 * max(len(held[i]), len(held[j])) or top(i) == top(j):
+            continue
+        if alike(held[i], held[j]):
             root[max(top(i), top(j))] = min(top(i), top(j))
     assert {(g.doc_id, g.class_id) for g in got} == {(i, top(i)) for i in range(len(rows))} | {(None, None)}
     assert len(got) == len(rows) + 2
@@ -361,6 +368,38 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     assert near_dup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def edited(words, n, r):
+    w = list(words)
+    for _ in range(n):
+        at, how = r.randrange(len(w)), r.random()
+        w[at : at + 1] = [] if how < 0.3 else [w[at], "added"] if how < 0.6 else [r.choice("uvwxyz") * 3]
+    return w
+
+
+def test_near_copies_with_scattered_edits_meet(spark):
+    """Pairs only, so no third text helps: at least nine in ten of those with a word similarity of 0.8, all copies with few edits, and nothing else."""
+    r = random.Random(12)
+    pairs = []
+    for g in range(150):
+        base = prose(g, r.choice([40, 150, 600])).split()
+        pairs.append((base, edited(base, max(1, int(len(base) * r.choice([0.02, 0.05, 0.08, 0.1, 0.3]))), r)))
+    docs = frame(spark, [(2 * g + k, " ".join(w), "en", "s", 0) for g, pair in enumerate(pairs) for k, w in enumerate(pair)])
+    of = {x.doc_id: x.class_id for x in near_dup.near_duplicates(docs).collect()}
+    same = [of[2 * g] == of[2 * g + 1] for g in range(len(pairs))]
+    truth = [alike(a, b) for a, b in pairs]
+    assert not any(s and not t for s, t in zip(same, truth))
+    assert sum(same) >= 0.9 * sum(truth) and 50 < sum(truth) < 140
+    assert len(set(of.values())) == 2 * len(pairs) - sum(same)
+
+
+def test_many_links_to_one_centre_go_through_stand_ins(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 10)
+    base, r = prose(5, 120).split(), random.Random(2)
+    docs = frame(spark, [(i, " ".join(edited(base, 2, r)), "en", "s", 0) for i in range(200)])
+    got = near_dup.near_duplicates(docs.repartition(4)).collect()
+    assert len(got) == 200 and {(x.class_id, x.class_size) for x in got} == {(0, 200)}
+
+
 def test_one_of_each_goes_by_class_not_by_doc_id(spark):
     def near(seed):
         return prose(seed, 80) + " end"
@@ -381,6 +420,16 @@ def test_alignment_minds_the_order():
     assert near_dup.aligned(a[:0], a[:0]) == 1 and near_dup.aligned(a[:0], a) == 0
 
 
+def test_alignment_against_the_full_table():
+    r = random.Random(6)
+    for n in [*range(1, 60), 3_000]:  # the last takes several stretches
+        a = [r.randint(0, r.choice([3, 300])) for _ in range(n)]
+        b = [int(x) if str(x).isdigit() else 999 for x in edited(a[:-1] + [1], n // 15, r)] or [1]
+        both = chained(a, b)
+        share, got = both / (len(a) + len(b) - both), near_dup.aligned(np.array(a, np.uint64), np.array(b, np.uint64))
+        assert got == share if share >= 0.8 else got <= share
+
+
 # --- chat -----------------------------------------------------------------------------------------------
 
 
