@@ -75,10 +75,41 @@ def pivoted(sizes: np.ndarray, share: np.ndarray, draws: np.ndarray) -> tuple[np
     return np.array(p), held
 
 
+def pooled(sizes: np.ndarray, share: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Shares after the largest documents, which come first, were settled against the pool of all smaller ones.
+
+    A fractional share becomes 1 with a chance of that share, else 0, and the fractional shares after
+    it give or take the words in proportion to what they hold or have room for. Pairing it with one
+    small document at a time would fill up the small ones and leave the large one open. If the pool
+    can make up for one end only, it goes there; if for neither, it stays open. The words of all are
+    the same before and after.
+    """
+    p, z = share.astype(np.float64).copy(), np.maximum(sizes, 1).astype(np.float64)
+    open_ = np.flatnonzero((p > 0) & (p < 1))
+    p, z, u, out = p[open_], z[open_], draws[open_], p
+    for i in range(p.size - 1):
+        rest, words = p[i + 1 :], z[i + 1 :]
+        held = float(rest @ words)
+        room = float(words.sum()) - held
+        up, down = (1.0 - p[i]) * z[i], p[i] * z[i]
+        one, none = up < held, down < room
+        if not (one or none):
+            continue
+        if one and (not none or u[i] < p[i]):
+            rest *= 1.0 - up / held
+            p[i] = 1.0
+        else:
+            rest += (1.0 - rest) * (down / room)
+            p[i] = 0.0
+    out[open_] = p
+    return out
+
+
 def _round_block(pdf: pd.DataFrame) -> pd.DataFrame:
     # Large documents first: the one left over at the end is small, and so is its rounding error.
     pdf = pdf.sort_values(["size", "draw", "row"], ascending=[False, True, True], kind="stable")
-    p, held = pivoted(pdf["size"].to_numpy(), pdf["share"].to_numpy(), pdf["draw"].to_numpy())
+    sizes, draws = pdf["size"].to_numpy(), pdf["draw"].to_numpy()
+    p, held = pivoted(sizes, pooled(sizes, pdf["share"].to_numpy(), draws), draws)
     out = pdf.assign(share=p, open=False)
     if held >= 0:
         out.iloc[held, out.columns.get_loc("open")] = True
@@ -90,10 +121,12 @@ def mixed_copies(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: f
 
     ``docs`` has doc_id, text and source; other columns are ignored. The size is the text's words
     (missing: none). A document is wanted target / source size times. Its whole part is taken as it
-    is. The fractions of a source are rounded to 0 or 1 by pairing (``pivoted``): blocks of about
-    ``PER_BLOCK`` documents first, whose one remaining fraction each goes up a tree with ``FAN_IN``
+    is. The fractions of a source are rounded to 0 or 1 in blocks of about ``PER_BLOCK`` documents:
+    from the largest on, each against the pool of the smaller ones (``pooled``), what is left by
+    pairing (``pivoted``). The one remaining fraction of each block goes up a tree with ``FAN_IN``
     branches until a source has one left, which goes to the nearer end. A source's words thus differ
-    from its target by at most half of that last document.
+    from its target by at most half of that last document, one of the smallest, unless one document
+    outweighs all others.
 
     Draws are hashes of the seed and the row, so reruns agree. Rows equal in doc_id, source and text
     are interchangeable and may get different copies. Documents without words are taken 0 times. A
@@ -108,7 +141,7 @@ def mixed_copies(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: f
     most_blocks = per.agg(F.max("blocks")).first()[0] or 1
     rows = base.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).join(per.drop("source"), "key")
     wanted = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(0.0)
-    # A draw per row; equal rows get different ones by their places, which are interchangeable.
+    # A draw per row; equal rows have one draw and are told apart by their places, which are interchangeable.
     draw = F.pmod(F.xxhash64(F.lit(seed), "row", "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     rows = rows.withColumn("wanted", F.when(F.col("size") > 0, wanted).otherwise(0.0)).select(
         "doc_id", "source", "key", "row", "size", "source_size", "target",

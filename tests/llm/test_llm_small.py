@@ -316,6 +316,29 @@ def test_many_rules_take_several_passes(spark, monkeypatch):
     assert url_rules.url_verdicts(pages.limit(0), rules).count() == 0
 
 
+# --- mixing with long documents -----------------------------------------------------------------------
+
+
+def test_a_long_document_does_not_move_a_source_from_its_target(spark):
+    r = random.Random(8)
+    rows = [(0, "w " * 5_000, "en", "s3", 0)] + [(i, "w " * r.randint(50, 500), "en", f"s{i % 6}", 0) for i in range(1, 240)]
+    for x in mixing.mixed_copies(frame(spark, rows)).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.min("size").alias("least"), F.max("copies").alias("most")).collect():
+        assert abs(x.taken - x.target) <= 100 and x.most <= 2
+
+
+def test_settling_against_the_pool_keeps_words_and_expectation():
+    r = np.random.default_rng(5)
+    sizes = np.array([900, 300, 200, 150, 150, 100, 90, 80, 60, 50, 40, 30])
+    runs = [mixing.pooled(sizes, np.full(12, 0.4), r.random(12)) for _ in range(4_000)]
+    assert all(abs(p @ sizes - 0.4 * sizes.sum()) < 1e-6 and ((p >= 0) & (p <= 1)).all() for p in runs)
+    assert all(((p > 0) & (p < 1)).sum() <= 4 for p in runs)
+    # The first one outweighs what the others can give up, so it goes to 0; the share of words stays.
+    assert all(p[0] == 0 for p in runs)
+    fair = [mixing.pooled(sizes[1:], np.full(11, 0.4), r.random(11)) for _ in range(4_000)]
+    assert abs(np.mean([p[0] for p in fair]) - 0.4) < 0.03
+    assert mixing.pooled(sizes[:1], np.array([0.4]), r.random(1)).tolist() == [0.4] and mixing.pooled(sizes[:0], np.empty(0), r.random(0)).size == 0
+
+
 # --- near duplicates -----------------------------------------------------------------------------------
 
 
