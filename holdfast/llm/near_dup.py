@@ -243,7 +243,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     are then still of several components are compared further, in blocks, and only across components.
     """
     rows = stored(sketched(docs))
-    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("words").alias("words"), F.first("sketches").alias("sketches")))
+    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("words").alias("words"), F.first("sketches").alias("sketches"), F.min(F.struct("doc_id", "digest")).alias("row")))
     # Buckets: the text with the least hash is the centre; it is the same in most buckets of a group.
     buckets = nodes.where("sketches is not null").select(F.explode("sketches").alias("bucket"), F.struct(F.xxhash64("node").alias("rank"), "node", "words").alias("text"))
     buckets = stored(buckets)
@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = best.join(sized, "centre").select("node", "centre", F.pmod(key, F.col("blocks")).alias("block"))
     hosts = sized.select(F.col("centre").alias("node"), "centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     wanted = stored(members.unionByName(hosts))
-    texts = rows.select("doc_id", "digest", "node").join(shared.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("row"))
+    texts = nodes.select("node", "row").join(shared.select("node").distinct(), "node")
     given = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.select("node", F.col("row.doc_id").alias("_id"), F.col("row.digest").alias("_digest"))
     texts = given.join(texts, given["doc_id"].eqNullSafe(texts["_id"]) & (given["digest"] == texts["_digest"])).select("node", "text")
