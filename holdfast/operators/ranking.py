@@ -99,7 +99,8 @@ def resample(df: DataFrame, keys: Sequence[str], row_key: str, replicates: int,
     times = draws.select(*keys, "replicate", pick.alias("row_index")).groupBy(*keys, "replicate", "row_index").agg(
         F.count(F.lit(1)).alias("times")
     )
-    return rows.join(times, [*keys, "row_index"]).drop("row_index", "group_rows")
+    # The optimizer does not see that draws are rows x replicates and would collect them on the driver for a broadcast.
+    return rows.join(times.hint("merge"), [*keys, "row_index"]).drop("row_index", "group_rows")
 
 
 def replicate_metrics(drawn: DataFrame, keys: Sequence[str], label: str, scores: Mapping[str, str], hot: Hot | None = None) -> DataFrame:

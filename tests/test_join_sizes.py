@@ -3,8 +3,11 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from holdfast.operators import ranking
 from holdfast.plans import bindings, model_queries, similarity_queries
+from holdfast.session import materialize
 
 
 def broadcast_keys(df):
@@ -31,3 +34,10 @@ def test_partitions_of_the_sets_are_not_broadcast(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(similarity_queries.similarity, "nearest_by_tanimoto", lambda q, *_, **__: q.select("seed", "entity"))
     similarity_queries.nearest_train(spark, sf_dir)
     assert "entity" not in broadcast_keys(written[0]) and "assigned" not in broadcast_keys(written[0])
+
+
+def test_draws_of_a_resample_are_not_broadcast(spark):
+    rows = materialize(spark.range(1000).select(F.lit("all").alias("cohort"), F.col("id").alias("doc_id"), (F.col("id") % 2).alias("label")))
+    drawn = ranking.resample(rows, ["cohort"], "doc_id", 100, 1)
+    assert "cohort" not in broadcast_keys(drawn)
+    assert drawn.agg(F.sum("times")).first()[0] == 100 * 1000
