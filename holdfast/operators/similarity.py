@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -88,6 +90,9 @@ SPLIT = 20_000
 # Longs of a position map, sketches per set, positions per sketch, sets that stand for a bucket of equal sketches.
 MAP_LONGS, SKETCHES, DRAWN, STAND_INS = 4, 8, 3, 16
 ROUNDING = 1e-12
+# Mean positions of a set from which sets are met in blocks; most and least positions of a block; blocks of one round.
+LONG_SETS = 64
+BLOCK, LEAST_BLOCK, ROUND = 1 << 24, 1 << 20, 4
 
 
 def position_map(bits: Column, longs: int = MAP_LONGS) -> list[Column]:
@@ -125,11 +130,13 @@ def _of_shared(shared: Column, a: Column, b: Column) -> Column:
     return shared.cast("double") / (a + b - shared).cast("double")
 
 
-def nearest_by_tanimoto(query: DataFrame, reference: DataFrame, query_id: str, reference_id: str, bits: str = "bits", by: Sequence[str] = (), hot_above: int = HOT_POSITION) -> DataFrame:
+def nearest_by_tanimoto(query: DataFrame, reference: DataFrame, query_id: str, reference_id: str, bits: str = "bits", by: Sequence[str] = (), hot_above: int = HOT_POSITION, long_sets: int = LONG_SETS, block: int = BLOCK) -> DataFrame:
     """Exact nearest reference row of every query row, ties to the smallest reference id.
 
     Equal sets are merged on both sides first, so groups of copies cost one row, and equal sets meet by their
-    key. The other queries meet reference sets in one join over the positions that few reference sets hold
+    key. Long reference sets (``long_sets`` positions on average) share some position with most queries, so a row
+    per meeting would be quadratic on disk: they are counted in memory, see :func:`_in_blocks`. Shorter ones meet
+    the other queries in one join over the positions that few reference sets hold
     (at most ``hot_above``); counting the meetings gives the similarity. Hot positions take no part in that:
     :func:`_over_hot` reads them only for queries and sets that a bound leaves open. A query sharing no position
     with any reference row gets similarity 0 and the smallest reference id.
@@ -148,19 +155,10 @@ def nearest_by_tanimoto(query: DataFrame, reference: DataFrame, query_id: str, r
     q = materialize(q.where("q_size > 0").join(twins, [*by, "q_set"], "left"))
     open_ = q.where("twin IS NULL").drop("twin")
 
-    on = [*by, "bit"]
-    index = r.select(*by, "r_set", "r_size", "r_id", F.explode("r_bits").alias("bit"))
-    held = index.groupBy(*on).agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > hot_above)
-    hot = materialize(held)
-    any_hot = not hot.isEmpty()
-    if any_hot:
-        index = index.join(hot, on, "left_anti")
-    asked = open_.select(*by, "q_set", "q_size", F.explode("q_bits").alias("bit"))
-    met = asked.join(index, on).groupBy(*by, "q_set", "r_set").agg(
-        F.count(F.lit(1)).alias("shared"), F.max("q_size").alias("q_size"), F.max("r_size").alias("r_size"), F.min("r_id").alias("r_id")
-    )
-    met = met.withColumn("sim", _of_shared(F.col("shared"), F.col("q_size"), F.col("r_size")))
-    scored = _over_hot(open_, r, materialize(met), hot, by) if any_hot else met
+    if (r.agg(F.avg("r_size")).first()[0] or 0) >= long_sets:
+        scored = _in_blocks(open_, r, by, block)
+    else:
+        scored = _by_positions(open_, r, by, hot_above)
     top = scored.groupBy(*by, "q_set").agg(F.min(F.struct((-F.col("sim")).alias("minus"), F.col("r_id").alias("id"))).alias("c"))
     found = top.select(*by, "q_set", (-F.col("c.minus")).alias("sim"), F.col("c.id").alias("near"))
     found = found.unionByName(q.where("twin IS NOT NULL").select(*by, "q_set", F.lit(1.0).alias("sim"), F.col("twin").alias("near")))
@@ -179,6 +177,109 @@ def nearest_by_tanimoto(query: DataFrame, reference: DataFrame, query_id: str, r
     )
 
 
+def _by_positions(open_: DataFrame, r: DataFrame, by: list[str], hot_above: int) -> DataFrame:
+    """Pairs (by, q_set, r_set) that can be nearest, with their similarity, from a join over positions."""
+    on = [*by, "bit"]
+    index = r.select(*by, "r_set", "r_size", "r_id", F.explode("r_bits").alias("bit"))
+    held = index.groupBy(*on).agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > hot_above)
+    hot = materialize(held)
+    any_hot = not hot.isEmpty()
+    if any_hot:
+        index = index.join(hot, on, "left_anti")
+    asked = open_.select(*by, "q_set", "q_size", F.explode("q_bits").alias("bit"))
+    met = asked.join(index, on).groupBy(*by, "q_set", "r_set").agg(
+        F.count(F.lit(1)).alias("shared"), F.max("q_size").alias("q_size"), F.max("r_size").alias("r_size"), F.min("r_id").alias("r_id")
+    )
+    met = met.withColumn("sim", _of_shared(F.col("shared"), F.col("q_size"), F.col("r_size")))
+    return _over_hot(open_, r, materialize(met), hot, by) if any_hot else met
+
+
+def _in_blocks(q: DataFrame, r: DataFrame, by: list[str], block: int = BLOCK) -> DataFrame:
+    """Nearest reference set of every query set within each block of reference sets.
+
+    Sets are dealt by hash into blocks of about ``block`` positions, a quarter of the side if that is less. Every
+    block of queries meets every block of references in one task, where an index of the positions is counted with
+    numpy; a row per query and block comes out. Blocks are copied for ``ROUND`` blocks of references at a time, so
+    what lies on disk at once grows with the input, not with its square.
+    """
+    spark = q.sparkSession
+
+    def dealt(sets: DataFrame, side: str) -> tuple[DataFrame, int]:
+        bits = f"{side}_bits"
+        own = sets.groupBy(*by).agg(F.sum(F.size(bits)).alias("n"), F.max(F.array_max(bits)).alias("last"), F.min(F.array_min(bits)).alias("first"))
+        most, last, first = own.agg(F.max("n"), F.max("last"), F.min("first")).first()
+        most = most or 1
+        number = -(-most // min(block, max(LEAST_BLOCK, -(-most // 4))))
+        if last is not None and -(1 << 31) <= first and last < 1 << 31:
+            sets = sets.withColumn(bits, F.col(bits).cast("array<int>"))
+        return sets.withColumn(f"{side}_block", F.pmod(F.xxhash64(f"{side}_set"), F.lit(number)).cast("int")), number
+
+    mine, n_mine = dealt(q.select(*by, "q_set", "q_bits"), "q")
+    theirs, n_theirs = dealt(r.select(*by, "r_set", "r_id", "r_bits"), "r")
+    theirs = theirs.drop("r_set")
+    types = dict(theirs.dtypes)
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in by], "q_set string", "sim double", f"r_id {types['r_id']}"])
+    key = [*by, "q_block", "r_block"]
+
+    def numbers(first: int, stop: int) -> Column:
+        return F.explode(F.sequence(F.lit(first), F.lit(stop - 1)))
+
+    def met(first: int) -> DataFrame:
+        stop = min(first + ROUND, n_theirs)
+        tasks = 8 * n_mine * (stop - first)  # so many that two pairs of blocks rarely share one
+        a = mine.withColumn("r_block", numbers(first, stop)).repartition(tasks, *key)
+        b = theirs.where(F.col("r_block").between(first, stop - 1)).withColumn("q_block", numbers(0, n_mine)).repartition(tasks, *key)
+        return a.groupBy(*key).cogroup(b.groupBy(*key)).applyInArrow(_nearest_of_block(by), schema)
+
+    if n_theirs <= ROUND:
+        return met(0)
+    rounds = []
+    for first in range(0, n_theirs, ROUND):
+        rounds.append(materialize(met(first)))
+        spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of the round
+    return reduce(DataFrame.unionByName, rounds)
+
+
+def _nearest_of_block(by: list[str]):
+    """Counts shared positions of all query sets with all reference sets of a block; ties go to the smallest id."""
+
+    def flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        whole = lists.combine_chunks()
+        whole = whole.combine_chunks() if isinstance(whole, pa.ChunkedArray) else whole
+        return whole.flatten().to_numpy(zero_copy_only=False), whole.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def nearest(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        theirs = theirs.select(["r_id", "r_bits"]).sort_by("r_id")
+        at, sims, ids = [], [], []
+        if mine.num_rows and theirs.num_rows:
+            bits, r_size = flat(theirs["r_bits"])
+            order = np.argsort(bits, kind="stable")
+            owner = np.repeat(np.arange(len(r_size), dtype=np.int32), r_size)[order]
+            known, start = np.unique(bits[order], return_index=True)
+            held = np.diff(np.append(start, len(bits)))
+            asked, q_size = flat(mine["q_bits"])
+            place = np.minimum(np.searchsorted(known, asked), len(known) - 1) if len(known) else np.zeros(len(asked), np.int64)
+            shared = known[place] == asked if len(known) else np.zeros(len(asked), bool)
+            ends = np.cumsum(q_size)
+            for i, (stop, size) in enumerate(zip(ends, q_size)):
+                span = slice(stop - size, stop)
+                own = place[span][shared[span]]
+                if not len(own):
+                    continue
+                n = held[own]
+                lists = np.repeat(start[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                counts = np.bincount(owner[lists], minlength=len(r_size))
+                sim = counts / (size + r_size - counts)
+                best = int(np.argmax(sim))
+                at.append(i)
+                sims.append(sim[best])
+                ids.append(best)
+        rows = mine.select([*by, "q_set"]).take(pa.array(at, pa.int64()))
+        return rows.append_column("sim", pa.array(sims, pa.float64())).append_column("r_id", theirs["r_id"].take(pa.array(ids, pa.int64())))
+
+    return nearest
+
+
 def _over_hot(q: DataFrame, r: DataFrame, met: DataFrame, hot: DataFrame, by: list[str]) -> DataFrame:
     """Every pair (by, q_set, r_set) that can be nearest, with its similarity, where some positions are hot.
 

@@ -70,3 +70,44 @@ def test_shingles(spark):
 def test_empty_sets_have_similarity_zero(spark):
     df = spark.createDataFrame([([], [])], "a array<long>, b array<long>")
     assert df.select(similarity.tanimoto(F.col("a"), F.col("b"))).first()[0] == 0.0
+
+
+@pytest.mark.parametrize("block", [25, 1 << 24])
+def test_nearest_in_blocks_is_exact(spark, monkeypatch, block):
+    monkeypatch.setattr(similarity, "LEAST_BLOCK", 20)
+    q, r = sets(60, 1), sets(80, 2)
+    q.append((900, [1 << 40]))  # shares nothing; too large for an int
+    written = []
+    monkeypatch.setattr(similarity, "materialize", lambda df, keep=similarity.materialize: written.append(df.columns) or keep(df))
+    got = similarity.nearest_by_tanimoto(
+        spark.createDataFrame(q, "qid long, bits array<long>"), spark.createDataFrame(r, "rid long, bits array<long>"), "qid", "rid", long_sets=0, block=block
+    ).collect()
+    assert len(got) == len(q)
+    for row in got:
+        bits = dict(q)[row["qid"]]
+        best = max(((jaccard(bits, b), -i) for i, b in r if set(bits) & set(b)), default=(0.0, 0))
+        assert (row["similarity"], row["nearest_id"]) == (pytest.approx(best[0]), -best[1])
+    assert (["q_set", "sim", "r_id"] in written) == (block == 25)  # many small blocks take rounds
+
+
+def test_long_sets_write_no_row_per_meeting(spark, monkeypatch):
+    """Texts that all share positions: what is written on the way grows with the texts, not with the pairs."""
+    rng = random.Random(5)
+    q, r = ([(i, sorted(rng.sample(range(2000), 100))) for i in range(150)] for _ in "qr")
+    monkeypatch.setattr(similarity, "_over_hot", lambda *_: pytest.fail("a row per pair was made"))
+    got = similarity.nearest_by_tanimoto(
+        spark.createDataFrame(q, "qid long, bits array<long>"), spark.createDataFrame(r, "rid long, bits array<long>"), "qid", "rid", hot_above=1
+    ).collect()
+    for row in got:
+        best = max((jaccard(dict(q)[row["qid"]], b), -i) for i, b in r)
+        assert (row["similarity"], row["nearest_id"]) == (pytest.approx(best[0]), -best[1])
+
+
+def test_nearest_in_blocks_within_keys(spark):
+    q = [(s, i, b) for s in (1, 2) for i, b in sets(20, 3)]
+    r = [(s, i, b) for s in (1, 2) for i, b in sets(30, 4 + s)]
+    schema = "seed int, {} long, bits array<long>"
+    of = lambda n: similarity.nearest_by_tanimoto(
+        spark.createDataFrame(q, schema.format("qid")), spark.createDataFrame(r, schema.format("rid")), "qid", "rid", by=["seed"], long_sets=n
+    )
+    assert sorted(map(tuple, of(0).collect())) == sorted(map(tuple, of(10_000).collect()))
