@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 
 import pytest
 
@@ -54,3 +55,27 @@ def test_union_runs_fills_missing_columns(spark):
     a = spark.createDataFrame([(1,)], "x int")
     b = spark.createDataFrame([(2, 3)], "x int, y int")
     assert {tuple(r) for r in io.union_runs({"a": a, "b": b}).select("run_tag", "x", "y").collect()} == {("a", 1, None), ("b", 2, 3)}
+
+
+def test_files_are_hashed_piece_by_piece(spark, tmp_path):
+    """Line feeds, marks and splits come back as they were, and a plan without packed files holds no file as one row."""
+    feed = bytes(random.Random(1).randrange(256) for _ in range(300_000))
+    content = {
+        "a.bin": feed, "feeds.bin": b"\n\n\n", "mark.bin": b"\xef\xbb\xbfa\nb\n", "mark2.bin": b"\xef\xbb\xbfa\r\nb",
+        "two +words%.bin": b"\r\n" + feed[:5000] + b"\n\n", "packed.gz": b"no gzip at all\n", "none.bin": b"z" * 5000,
+    }
+    for name, data in content.items():
+        (tmp_path / name).write_bytes(data)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = io.file_hashes(spark, str(tmp_path), ["."], 1000)
+        got = {r["file"]: r for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert "MapInArrow" in df._jdf.queryExecution().executedPlan().toString()
+    assert set(got) == set(content)
+    for name, r in got.items():
+        data = content[name]
+        ranges = [hashlib.sha256(data[i : i + 1000]).hexdigest() for i in range(0, len(data), 1000)]
+        assert (r["bytes"], r["sha256"], r["range_hashes"]) == (len(data), hashlib.sha256(data).hexdigest(), ranges)
