@@ -28,6 +28,11 @@ def test_partitions_of_the_vectors_are_not_broadcast(spark, sf_dir, monkeypatch)
     assert "entity" not in broadcast_keys(model_queries.labelled_vectors(spark, sf_dir, [42, 100]))
 
 
+def test_views_of_the_entities_are_not_broadcast(spark, sf_dir):
+    views = model_queries.vector_views(spark, sf_dir)
+    assert "entity" not in broadcast_keys(views) and "entity" not in broadcast_keys(bindings.entities(spark, sf_dir).select("entity").join(views, "entity"))
+
+
 def test_partitions_of_the_sets_are_not_broadcast(spark, sf_dir, monkeypatch):
     written = []
     monkeypatch.setattr(similarity_queries, "materialize", lambda df: written.append(df) or df)
