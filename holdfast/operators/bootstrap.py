@@ -2,8 +2,8 @@
 
 A row's weights are a vector with one Poisson(1) count per replicate, computed from its hash and the
 replicate's number wherever the row is, so they are never shuffled. Rows are cut into cells by the order of
-their score; a cell meets a chunk of replicates, adds its weights up per distinct score as one matrix and
-returns one row per replicate. A cohort above the size of a cell is read twice: the cells' totals first, then
+their score; a cell meets a chunk of replicates, adds its weights up per distinct score, one replicate after
+the other, so that what is worked on stays in the processor's cache, and returns one row per replicate. A cohort above the size of a cell is read twice: the cells' totals first, then
 the metrics with the totals of the cells below. What is shuffled are the rows, once per chunk of replicates.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -42,21 +42,42 @@ def coefficients(seed: int, replicate: int) -> list[int]:
     return [int(hashlib.md5(f"{seed}:{replicate}:{k}".encode()).hexdigest()[:8], 16) % PRIME for k in range(5)]
 
 
-def poisson_weights(first: np.ndarray, second: np.ndarray, seed: int, replicates: Sequence[int]) -> np.ndarray:
-    """Weights of rows (by two hashes below PRIME) in replicates: a random cubic of the first hash, shifted by the second.
+def _least_draw(step: float) -> int:
+    """Least y with y / PRIME >= step, as doubles are divided."""
+    y = math.ceil(step * PRIME) - 2
+    while y / PRIME < step:
+        y += 1
+    return y
+
+
+DRAW_STEPS = [y for y in map(_least_draw, poisson_steps()) if y < PRIME]
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """A smaller number with the same remainder: PRIME is 2^31 - 1, so that no division is needed."""
+    return (x & PRIME) + (x >> 31)
+
+
+def replicate_weights(first: np.ndarray, second: np.ndarray, seed: int, replicate: int) -> np.ndarray:
+    """Weights of rows (by two hashes below PRIME) in a replicate: a random cubic of the first hash, shifted by the second.
 
     For any four rows with different hashes these are independent draws.
     """
-    c = np.array([coefficients(seed, b) for b in replicates], np.int64).T
-    x = first[:, None]
-    y = (c[3] * x + c[2]) % PRIME
-    y = (y * x + c[1]) % PRIME
-    y = (y * x + c[0]) % PRIME
-    u = ((y + c[4] * second[:, None] % PRIME) % PRIME) / PRIME
-    out = np.zeros(u.shape, np.int64)
-    for step in poisson_steps():
-        out += u >= step
-    return out
+    c = coefficients(seed, replicate)
+    y = _folded(_folded(c[3] * first + c[2]))
+    y = _folded(_folded(y * first + c[1]))
+    y = _folded(_folded(y * first + c[0]))
+    y = _folded(_folded(y + _folded(c[4] * second)))
+    y = np.where(y == PRIME, 0, y).astype(np.int32)
+    out = (y >= DRAW_STEPS[0]).astype(np.int8)
+    for step in DRAW_STEPS[1:]:
+        out += y >= step
+    return out.astype(np.int64)
+
+
+def poisson_weights(first: np.ndarray, second: np.ndarray, seed: int, replicates: Sequence[int]) -> np.ndarray:
+    """The same in several replicates, one column each."""
+    return np.stack([replicate_weights(first, second, seed, b) for b in replicates], axis=1)
 
 
 def _with_hashes(df: DataFrame, row_key: str, seed: int) -> DataFrame:
@@ -66,14 +87,16 @@ def _with_hashes(df: DataFrame, row_key: str, seed: int) -> DataFrame:
     return df.withColumns({"hash_a": part(1), "hash_b": part(9)})
 
 
-def _weights_by_score(cell: pa.Table, seed: int, replicates: range) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of positives and of all rows per distinct score (ascending) and replicate."""
+def _weights_by_score(cell: pa.Table, seed: int, replicates: range) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Weights of positives and of all rows per distinct score (ascending), for each replicate."""
     score = cell["score"].to_numpy()
     order = np.argsort(score, kind="stable")
     _, starts = np.unique(score[order], return_index=True)
-    weights = poisson_weights(cell["hash_a"].to_numpy()[order], cell["hash_b"].to_numpy()[order], seed, replicates)
-    label = cell["label"].to_numpy()[order]
-    return np.add.reduceat(weights * label[:, None], starts, axis=0), np.add.reduceat(weights, starts, axis=0)
+    first, second, label = (cell[c].to_numpy()[order] for c in ("hash_a", "hash_b", "label"))
+    for replicate in replicates:
+        weights = replicate_weights(first, second, seed, replicate)
+        pos = weights * label
+        yield (pos, weights) if len(starts) == len(order) else (np.add.reduceat(pos, starts), np.add.reduceat(weights, starts))
 
 
 def poisson_metrics(df: DataFrame, keys: Sequence[str], row_key: str, label: str, scores: Mapping[str, str], replicates: int, seed: int, first: int = 0, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -104,23 +127,27 @@ def poisson_metrics(df: DataFrame, keys: Sequence[str], row_key: str, label: str
 
     def totals(cell: pa.Table) -> pa.Table:
         over = part_of(cell["chunk"][0].as_py())
-        pos, every = _weights_by_score(cell, seed, over)
-        return labelled(cell, over, {"pos": pos.sum(0), "n": every.sum(0)})
+        first, second, label = (cell[c].to_numpy() for c in ("hash_a", "hash_b", "label"))
+        weights = (replicate_weights(first, second, seed, replicate) for replicate in over)
+        pos, every = np.array([(int(w @ label), int(w.sum())) for w in weights], np.int64).T
+        return labelled(cell, over, {"pos": pos, "n": every})
 
     def sums(cell: pa.Table, around: pa.Table | None = None) -> pa.Table:
         over = part_of(cell["chunk"][0].as_py())
-        pos, every = _weights_by_score(cell, seed, over)
-        own = {"pos": pos.sum(0), "n": every.sum(0)}
-        if around is None:
-            pos_before, before, pos_total, total = 0, 0, own["pos"], own["n"]
-        else:
+        if around is not None:
             around = around.sort_by("replicate")
-            pos_before, before, pos_total, total = (around[c].to_numpy() for c in ("pos_before", "n_before", "pos_total", "n_total"))
-        pos_below, below = pos_before + pos.cumsum(0) - pos, before + every.cumsum(0) - every
-        negative = every - pos
-        wins = pos * (below - pos_below + negative / 2)
-        seen = np.maximum(total - below, 1)
-        return labelled(cell, over, own | {"wins": wins.sum(0), "precision_sum": (pos * (pos_total - pos_below) / seen).sum(0)})
+            known = np.stack([around[c].to_numpy() for c in ("pos_before", "n_before", "pos_total", "n_total")], axis=1)
+        found = []
+        for i, (pos, every) in enumerate(_weights_by_score(cell, seed, over)):
+            pos_sum, n_sum = pos.sum(), every.sum()
+            pos_before, before, pos_total, total = (0, 0, pos_sum, n_sum) if around is None else known[i]
+            pos_below, below = pos_before + pos.cumsum() - pos, before + every.cumsum() - every
+            drawn = np.flatnonzero(pos)  # only scores with positives add anything
+            p, pos_below, below, negative = pos[drawn], pos_below[drawn], below[drawn], (every - pos)[drawn]
+            seen = np.maximum(total - below, 1)
+            found.append((pos_sum, n_sum, (p * (below - pos_below + negative / 2)).sum(), (p * (pos_total - pos_below) / seen).sum()))
+        pos, n, wins, precision_sum = (np.array(v) for v in zip(*found))
+        return labelled(cell, over, {"pos": pos, "n": n, "wins": wins, "precision_sum": precision_sum})
 
     summed = f"{shown}, pos bigint, n bigint, wins double, precision_sum double"
     by_cell = cut.groupBy(*group, BUCKET, "chunk")
