@@ -338,13 +338,18 @@ def ablation_table(spark, d):
         F.lit("internal").alias("source"), F.concat_ws("_minus_", "candidate", "reference").alias("comparison"), "metric",
         F.col("mean").alias("difference"), "ci_low", "ci_high",
     )
-    outer = _paired(spark, d, "quality", "score_length", "score_hash", COHORT_DRAWS, BOOT_SEED).select(
+    rows = materialize(cohort_rows(spark, d).select("cohort", "doc_id", "quality", *SCORES.values()))
+
+    def drawn(part, replicates):
+        return ranking.paired_bootstrap(part, ["cohort"], "doc_id", "quality", "score_length", "score_hash", replicates, BOOT_SEED)
+
+    outer = drawn(rows, COHORT_DRAWS).select(
         F.lit("external").alias("source"), F.concat(F.lit("length_minus_hash_"), "cohort").alias("comparison"), "metric",
         "difference", "ci_low", "ci_high",
     )
     both = reshape.union_all([inner, outer])
     # The primary cohort's limits come from the run with the canonical number of replicates.
-    canonical = _paired(spark, d, "quality", "score_length", "score_hash", DRAWS, BOOT_SEED).where("cohort = 'primary'").select(
+    canonical = drawn(rows.where("cohort = 'primary'"), DRAWS).select(
         F.lit("external").alias("source"), F.concat(F.lit("length_minus_hash_"), "cohort").alias("comparison"), "metric", "ci_low", "ci_high"
     )
     return contrasts.overwrite_from(both, canonical, ["source", "comparison", "metric"], ["ci_low", "ci_high"])
